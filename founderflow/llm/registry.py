@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, tokencount
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
+    "op7_token_counts": tokencount.op7_token_counts,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLES = {
+    "op2_chat_format": chat.OP2_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
