@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, tokencount
+from . import chat, mixing, quality, tokencount, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_token_counts": tokencount.op7_token_counts,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
