@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, tokencount, toxicity
+from . import chat, decontamination, mixing, quality, tokencount, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_token_counts": tokencount.op7_token_counts,
     "op9_mix_sources": mixing.op9_mix_sources,
