@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, quality, tokencount, toxicity
+from . import chat, decontamination, mixing, neardup, quality, tokencount, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_token_counts": tokencount.op7_token_counts,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality": quality.op10_quality,
