@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, neardup, quality, tokencount, toxicity
+from . import chat, decontamination, mixing, neardup, pii, quality, tokencount, toxicity
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_chat_format": chat.op2_chat_format,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
