@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, neardup, pii, quality, tokencount, toxicity
+from . import ann, chat, decontamination, mixing, neardup, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op8_nearest": ann.op8_nearest,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality": quality.op10_quality,
 }
