@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontamination, mixing, neardup, pii, quality, tokencount, toxicity
+from . import ann, chat, decontamination, katz, mixing, neardup, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_katz_scores": katz.op3_katz_scores,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_near_duplicates": neardup.op6_near_duplicates,
