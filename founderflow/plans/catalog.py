@@ -1,4 +1,331 @@
-"""All queries of the barcode engine, by name, with their SQL oracles."""
+"""All queries of the barcode engine, by name, with their SQL oracles.
 
-QUERIES: dict = {}
+The star-schema tables hold no barcodes, so they are derived from lineitem: a parent a part, one edit in some rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from founderflow.functions import sequences as S
+from founderflow.operators import clustering, compare, estimate, quality, reads, simulate
+from founderflow.operators.similarity import similar_pairs
+from founderflow.plans.storage import materialise
+from founderflow.sources import tables
+
+D = 2
+
+READS_SQL = """
+base as (select l_orderkey, l_linenumber, l_partkey, l_returnflag as group_id,
+    translate(substr(md5(cast(l_partkey % 100 as string)), 1, 18), '0123456789abcdef', 'ACGTACGTACGTACGT') as parent,
+    cast((l_orderkey * 7 + l_linenumber * 3) % 18 + 1 as int) as p, cast((l_orderkey + l_linenumber) % 12 as int) as m,
+    substr('ACGT', cast((l_orderkey + l_suppkey) % 4 + 1 as int), 1) as base from lineitem),
+reads as (select l_orderkey, l_linenumber, group_id, parent, p, m, base,
+    case when m = 0 then concat(substr(parent, 1, p - 1), base, substr(parent, p + 1))
+         when m = 1 then concat(substr(parent, 1, p - 1), substr(parent, p + 1))
+         when m = 2 then concat(substr(parent, 1, p), base, substr(parent, p + 1)) else parent end as umi from base)"""
+COUNTS_SQL = READS_SQL + """,
+counts as (select group_id, umi, count(*) as n_reads from reads group by group_id, umi),
+rows_ as (select group_id, umi, n_reads, row_number() over (partition by group_id order by n_reads desc, umi) as input_pos from counts)"""
+
+
+def reads_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spark.sql("with " + READS_SQL.replace("from lineitem", "from {lineitem}") + " select * from reads", lineitem=lineitem)
+
+
+def counts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = reads_view(spark, sf_dir).groupBy("group_id", "umi").agg(F.count(F.lit(1)).alias("n_reads"))
+    return clustering.with_positions(counts)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+KMERS = "list_distinct(list_filter(list_transform(range(1, greatest(length({0}) - 4, 1)), lambda i: upper(substr({0}, i, 6))), lambda x: regexp_full_match(x, '[ACGT]{{6}}')))"
+EDGES_SQL = COUNTS_SQL + f""",
+grams as (select group_id, input_pos, umi, unnest({KMERS.format('umi')}) as g from rows_),
+edges as (select distinct a.group_id, a.input_pos as a_pos, b.input_pos as b_pos, levenshtein(a.umi, b.umi) as dist
+    from grams a join grams b on a.group_id = b.group_id and a.g = b.g and a.input_pos > b.input_pos
+    where abs(length(a.umi) - length(b.umi)) <= {D} and levenshtein(a.umi, b.umi) <= {D})"""
+CLUSTER_SQL = """,
+near as (select group_id, a_pos, list(b_pos) as nbs from high group by group_id, a_pos),
+walk as (select group_id, 0::bigint as pos, []::bigint[] as founders from (select distinct group_id from rows_)
+    union all select w.group_id, w.pos + 1, case when n.nbs is null or not list_has_any(n.nbs, w.founders) then list_append(w.founders, w.pos + 1) else w.founders end
+    from walk w left join near n on n.group_id = w.group_id and n.a_pos = w.pos + 1
+    where w.pos < (select max(input_pos) from rows_ r where r.group_id = w.group_id and r.n_reads >= {min_reads})),
+founders as (select group_id, unnest(founders) as pos from (select group_id, arg_max(founders, pos) as founders from walk group by group_id)),
+best as (select e.group_id, e.a_pos, min(e.dist * 10000000 + e.b_pos) as x from usable e join founders f on f.group_id = e.group_id and f.pos = e.b_pos group by e.group_id, e.a_pos),
+clustered as (select r.group_id, r.input_pos, r.umi, r.n_reads, f.pos is not null as is_founder,
+    case when f.pos is not null or b.x is null then r.input_pos else b.x % 10000000 end as founder_pos,
+    case when f.pos is not null or b.x is null then 0 else b.x // 10000000 end as dist
+    from rows_ r left join founders f on f.group_id = r.group_id and f.pos = r.input_pos left join best b on b.group_id = r.group_id and b.a_pos = r.input_pos),
+named as (select c.*, r.umi as founder from clustered c join rows_ r on r.group_id = c.group_id and r.input_pos = c.founder_pos)"""
+HIGH_SQL = "with recursive " + EDGES_SQL + ", high as (select * from edges), usable as (select * from edges)" + CLUSTER_SQL.format(min_reads=1)
+CUT = 3
+LOW_SQL = "with recursive " + EDGES_SQL + f""",
+high as (select e.* from edges e join rows_ a on a.group_id = e.group_id and a.input_pos = e.a_pos where a.n_reads >= {CUT}),
+usable as (select * from edges)""" + CLUSTER_SQL.format(min_reads=CUT)
+
+
+@query("with " + COUNTS_SQL + " select group_id, umi, n_reads::bigint as n_reads, input_pos::bigint as input_pos from rows_")
+def umi_read_counts(spark, sf_dir):
+    return counts_view(spark, sf_dir)
+
+
+@query("with " + COUNTS_SQL + " select group_id, substr(umi, 1, 12) as umi12, n_reads::bigint as n_reads, n_reads < 3 as is_low from rows_ where n_reads > 0")
+def umi_truncate_split(spark, sf_dir):
+    c = tables.read_weights(counts_view(spark, sf_dir))
+    return c.select("group_id", S.truncated(F.col("umi"), 12).alias("umi12"), "n_reads", (F.col("n_reads") < 3).alias("is_low"))
+
+
+@query("with " + COUNTS_SQL + f" select group_id, input_pos::bigint as input_pos, unnest({KMERS.format('umi')}) as kmer from rows_")
+def umi_kmer_explode(spark, sf_dir):
+    return counts_view(spark, sf_dir).select("group_id", "input_pos", F.explode(S.kmers(F.col("umi"))).alias("kmer"))
+
+
+@query("with " + EDGES_SQL + " select group_id, a_pos::bigint as a_pos, b_pos::bigint as b_pos, dist::int as dist from edges")
+def umi_similarity_pairs(spark, sf_dir):
+    rows = materialise(counts_view(spark, sf_dir))
+    return similar_pairs(rows, rows, D).select("group_id", F.col("a_pos").cast("long").alias("a_pos"), F.col("b_pos").cast("long").alias("b_pos"), "dist")
+
+
+@query("""with g as (select l.x as len, e.x as err from (select unnest([8, 12, 15, 16, 18, 19, 25, 26, 36, 50]) as x) l, (select unnest([0.001, 0.005, 0.01, 0.02, 0.03, 0.05]::double[]) as x) e),
+z as (select *, len * err + (case when len <= 15 then 1.96 when len <= 25 then 2.576 when len <= 35 then 3.29 else 3.89 end)::double * sqrt(err * (1 - err) * len) as x from g)
+select len, err, (1 + case when len <= 15 then floor(x) else floor(x + 0.5) end)::int as bound from z""")
+def umi_dist_bound(spark, sf_dir):
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (8, 12, 15, 16, 18, 19, 25, 26, 36, 50)))).alias("len")).select("len", F.explode(F.array(*map(F.lit, (0.001, 0.005, 0.01, 0.02, 0.03, 0.05)))).alias("err"))
+    return grid.select("len", "err", S.distance_bound_column(F.col("len"), F.col("err")).alias("bound"))
+
+
+@query(HIGH_SQL + " select group_id, umi, founder, dist::int as dist, is_founder from named")
+def umi_clusters(spark, sf_dir):
+    return clustering.cluster(materialise(counts_view(spark, sf_dir)), D).select("group_id", "umi", "founder", "dist", "is_founder")
+
+
+@query(LOW_SQL.replace("from usable e join founders", "from (select group_id, a_pos, b_pos, dist from edges union all select e.group_id, e.b_pos, e.a_pos, e.dist from edges e join rows_ l on l.group_id = e.group_id and l.input_pos = e.b_pos where l.n_reads < 3) e join founders") + " select group_id, umi, founder, dist::int as dist, is_founder from named")
+def umi_lowread_assign(spark, sf_dir):
+    return clustering.cluster(materialise(counts_view(spark, sf_dir)), D, min_reads=CUT).select("group_id", "umi", "founder", "dist", "is_founder")
+
+
+@query(HIGH_SQL + ", sums as (select group_id, founder_pos, sum(n_reads) as s from named group by group_id, founder_pos) select n.group_id, n.umi, coalesce(s.s, 0)::bigint as n_reads from named n left join sums s on s.group_id = n.group_id and s.founder_pos = n.input_pos")
+def umi_founder_counts(spark, sf_dir):
+    return clustering.founder_counts(clustering.cluster(materialise(counts_view(spark, sf_dir)), D))
+
+
+ORDERED_SQL = """,
+d as (select n_reads::bigint as n, row_number() over (order by n_reads desc) - 1 as i, count(*) over () as size, sum(n_reads) over () as total,
+    sum(n_reads) over (order by n_reads desc rows unbounded preceding) as cum from {table} where n_reads > 0)"""
+MEDIAN_SQL = "(select case when max(total) % 2 = 1 then max(n) filter (cum - n <= total // 2 and total // 2 < cum) else (max(n) filter (cum - n <= total // 2 and total // 2 < cum) + max(n) filter (cum - n <= total // 2 - 1 and total // 2 - 1 < cum)) // 2 end from d)"
+KNEE_SQL = ORDERED_SQL + f""",
+xy as (select *, (i::double / size) as x, (cum::double / total) as y from d where i < size - 2),
+angles as (select *, floor(acos(greatest(-1.0, least(1.0, (x * x + y * y + (x - 1) * (x - 1) + (y - 1) * (y - 1) - 2) / (2 * sqrt(x * x + y * y) * sqrt((x - 1) * (x - 1) + (y - 1) * (y - 1)))))) * 180 / 3.1415926535 + 0.5)::int as angle from xy),
+low as (select min(angle) as low from angles),
+pick as (select low + 1 as knee_angle, coalesce((select max(i) from angles where angle = low + 1), (select max(i) from angles where angle = low)) as idx from low),
+val as (select p.*, d.n, d.size, (select min(i) from d e where e.n = d.n) as first, (select max(i) from d e where e.n = d.n) as last, (select min(n) from d e where e.n > d.n) as larger,
+    (select count(*) from d e where e.n = (select min(n) from d)) as tail from pick p join d on d.i = p.idx),
+cut as (select *, case when n = 1 and idx < (first + last) // 2 and larger is not null then larger else n end as rpu_cutoff from val),
+knee as (select 'KP' as model, knee_angle::int as knee_angle, {MEDIAN_SQL}::bigint as median_rpu, rpu_cutoff::bigint as rpu_cutoff,
+    (case when idx = size - 2 and tail > 1 then size else idx + 1 end)::bigint as estimated_molecules, (select count(*) from d where d.n >= rpu_cutoff)::bigint as after_rpu_cutoff_molecules from cut)"""
+NB_SQL = f""",
+mom as (select avg(n)::double as mean, var_samp(n) as var, min(n) as low from d),
+rp as (select *, mean / var as p, mean * mean / (var - mean) as r from mom),
+cdf as (select k, sum(exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(p) + k * ln(1 - p))) over (order by k) as c from rp, (select unnest(range(0, 5000)) as k) where var > mean),
+nbcut as (select case when var > mean then greatest(1, coalesce((select max(k) from cdf where c <= 0.0005), 0)) else low end as rpu_cutoff from rp),
+nb as (select 'NB' as model, null::int as knee_angle, {MEDIAN_SQL}::bigint as median_rpu, rpu_cutoff::bigint as rpu_cutoff, (select count(*) from d where d.n >= rpu_cutoff)::bigint as estimated_molecules,
+    (select count(*) from d where d.n >= rpu_cutoff)::bigint as after_rpu_cutoff_molecules from nbcut)"""
+
+
+@query("with " + COUNTS_SQL + KNEE_SQL.replace("{table}", "rows_") + " select * from knee")
+def umi_knee(spark, sf_dir):
+    return estimate.knee(materialise(counts_view(spark, sf_dir)))
+
+
+@query("with " + COUNTS_SQL + ORDERED_SQL.replace("{table}", "rows_") + f" select count(*)::bigint as n_umis, round(avg(n), 6)::double as mean_rpu, round(var_samp(n), 6)::double as var_rpu, round(mad(n), 6)::double as mad, {MEDIAN_SQL}::bigint as median_rpu from d")
+def umi_moments_weighted_median(spark, sf_dir):
+    c = materialise(counts_view(spark, sf_dir))
+    m = estimate.moments(c).crossJoin(F.broadcast(estimate.weighted_median(estimate.histogram(c))))
+    return m.select("n_umis", F.round("mean_rpu", 6).alias("mean_rpu"), F.round("var_rpu", 6).alias("var_rpu"), F.round("mad", 6).alias("mad"), "median_rpu")
+
+
+COUNTED_SQL = HIGH_SQL + ", counted as (select sum(n_reads) as n_reads from named group by group_id, founder_pos)"
+
+
+@query(COUNTED_SQL + ORDERED_SQL.replace("{table}", "counted") + NB_SQL + " select model, median_rpu, rpu_cutoff, estimated_molecules, after_rpu_cutoff_molecules from nb")
+def umi_nb_estimate(spark, sf_dir):
+    counted = materialise(clustering.founder_counts(clustering.cluster(materialise(counts_view(spark, sf_dir)), D)))
+    return estimate.negative_binomial(counted).drop("knee_angle")
+
+
+@query(COUNTED_SQL + KNEE_SQL.replace("{table}", "counted") + NB_SQL + " select model, coalesce(knee_angle, -1) as knee_angle, median_rpu, rpu_cutoff, estimated_molecules, after_rpu_cutoff_molecules from (select * from knee where knee_angle <= 120 union all select * from nb where not exists (select 1 from knee where knee_angle <= 120))")
+def umi_auto_estimate(spark, sf_dir):
+    counted = materialise(clustering.founder_counts(clustering.cluster(materialise(counts_view(spark, sf_dir)), D)))
+    return estimate.auto(counted).withColumn("knee_angle", F.coalesce("knee_angle", F.lit(-1)))
+
+
+@query(HIGH_SQL + """, labels as (select r.group_id || r.parent as c, n.group_id || n.founder as k, count(*)::double as n from reads r join named n on n.group_id = r.group_id and n.umi = r.umi group by 1, 2),
+m as (select *, sum(n) over (partition by c) as nc, sum(n) over (partition by k) as nk, sum(n) over () as t from labels),
+h as (select sum(-n / t * ln(nc / t)) as hc, sum(-n / t * ln(nk / t)) as hk, sum(-n / t * ln(n / nk)) as hck, sum(-n / t * ln(n / nc)) as hkc from m),
+s as (select 1 - hck / hc as h, 1 - hkc / hk as c from h) select round(h, 6) as homogeneity, round(c, 6) as completeness, round(2 * h * c / (h + c), 6) as v_measure from s""")
+def umi_vmeasure(spark, sf_dir):
+    c = clustering.cluster(materialise(counts_view(spark, sf_dir)), D).select("group_id", "umi", "founder")
+    both = reads_view(spark, sf_dir).join(c, ["group_id", "umi"]).select(F.concat("group_id", "parent").alias("truth"), F.concat("group_id", "founder").alias("predicted"))
+    got = quality.scores(both)
+    return got.select(*[F.round(x, 6).alias(x) for x in got.columns])
+
+
+FASTQ_SQL = ", fq as (select l_orderkey * 10 + l_linenumber as read_id, 'r' || l_orderkey || '_' || l_linenumber as name, umi || 'GATTACA' as seq, group_id, umi from reads)"
+
+
+@query("with " + READS_SQL + FASTQ_SQL + " select read_id::bigint as read_id, substr(seq, 1, 12) as umi, name || '_' || substr(seq, 1, 12) as name1, substr(seq, 13) as seq1, repeat('F', length(substr(seq, 13))) as qual1 from fq")
+def umi_tag_reads(spark, sf_dir):
+    return reads.extract(_fastq(spark, sf_dir), None, (1, 12))
+
+
+def _fastq(spark, sf_dir):
+    r = reads_view(spark, sf_dir)
+    seq = F.concat("umi", F.lit("GATTACA"))
+    return r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), F.concat(F.lit("r"), "l_orderkey", F.lit("_"), "l_linenumber").alias("name"), seq.alias("seq"), F.repeat(F.lit("F"), F.length(seq)).alias("qual"), "group_id", "umi")
+
+
+@query(HIGH_SQL + FASTQ_SQL + " select f.group_id, f.umi, n.founder, f.name || '_' || n.founder as name, f.seq from fq f join named n on n.group_id = f.group_id and n.umi = f.umi")
+def umi_regroup_reads(spark, sf_dir):
+    c = clustering.cluster(materialise(counts_view(spark, sf_dir)), D)
+    fq = _fastq(spark, sf_dir).withColumn("name", S.tagged(F.col("name"), F.col("umi"))).drop("umi")
+    return reads.regroup(fq, c, by_group=True).drop("qual")
+
+
+NEAR_SQL = COUNTS_SQL + """,
+g as (select group_id, count(*) as size, arg_min(length(umi), input_pos) as len from rows_ group by group_id),
+sl as (select r.group_id, r.umi, r.n_reads, s.i, case when g.size <= 25 then '' when s.i = 0 then substr(umi, 1, (len // 2 + len % 2)::int) else substr(umi, (len // 2 + len % 2 + 1)::int, (len // 2)::int) end as s from rows_ r join g using (group_id), (select 0 as i union all select 1) s),
+near as (select distinct a.group_id, a.umi as ua, b.umi as ub, a.n_reads as na, b.n_reads as nb from sl a join sl b on a.group_id = b.group_id and a.i = b.i and a.s = b.s and a.umi < b.umi where levenshtein(a.umi, b.umi) <= 1)"""
+ADJ_SQL = NEAR_SQL + ", adj as (select group_id, ua as src, ub as dst from near union all select group_id, ub, ua from near)"
+DIR_SQL = NEAR_SQL + ", adj as (select group_id, ua as src, ub as dst from near where na >= 2 * nb - 1 union all select group_id, ub, ua from near where nb >= 2 * na - 1)"
+REACH_SQL = """, reach as (select group_id, umi, input_pos as lead from rows_ union select r.group_id, a.dst, r.lead from reach r join adj a on a.group_id = r.group_id and a.src = r.umi)
+select r.group_id, x.umi, x.n_reads::bigint as n_reads, min(r.lead)::bigint as lead from reach r join rows_ x on x.group_id = r.group_id and x.umi = r.umi group by all"""
+
+
+@query("with " + ADJ_SQL + " select * from adj")
+def umi_adjacency_edges(spark, sf_dir):
+    return compare.adjacency_edges(materialise(counts_view(spark, sf_dir).drop("input_pos")))
+
+
+@query("with " + DIR_SQL + " select * from adj")
+def umi_directional_edges(spark, sf_dir):
+    return compare.directional_edges(materialise(counts_view(spark, sf_dir).drop("input_pos")))
+
+
+def _grouped(method):
+    def f(spark, sf_dir):
+        got = compare.groups(materialise(counts_view(spark, sf_dir).drop("input_pos")), method)
+        return got.select("group_id", "umi", "n_reads", F.col("lead").cast("long").alias("lead"))
+
+    f.__name__ = f"umi_groups_{method}"
+    return f
+
+
+query("with recursive " + ADJ_SQL + REACH_SQL)(_grouped("cluster"))
+query("with recursive " + DIR_SQL + REACH_SQL)(_grouped("directional"))
+query("with " + COUNTS_SQL + ", c as (select group_id, median(n_reads) / 100 as cut from rows_ group by group_id) select r.group_id, umi, n_reads::bigint as n_reads, input_pos::bigint as lead from rows_ r join c using (group_id) where n_reads > cut")(_grouped("percentile"))
+query("with " + COUNTS_SQL + " select group_id, umi, n_reads::bigint as n_reads, input_pos::bigint as lead from rows_")(_grouped("unique"))
+query()(_grouped("adjacency"))
+
+
+@query(("with recursive " + DIR_SQL + REACH_SQL).replace("select r.group_id, x.umi", ", t as (select r.group_id, x.umi") + ") select t.group_id, r.umi, sum(t.n_reads)::bigint as n_reads from t join rows_ r on r.group_id = t.group_id and r.input_pos = t.lead group by t.group_id, r.umi, t.lead")
+def umi_representatives(spark, sf_dir):
+    return compare.representatives(compare.groups(materialise(counts_view(spark, sf_dir).drop("input_pos"))))
+
+
+FACTS_SQL = "facts as (select l_shipmode_ as tool, (l_linenumber * 6)::int as umi_len, (l_suppkey % 3)::int as num_founder, l_discount as v from (select *, 't' || (l_partkey % 4) as l_shipmode_ from lineitem))"
+
+
+def _facts(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select(F.concat(F.lit("t"), F.col("l_partkey") % 4).alias("tool"), (F.col("l_linenumber") * 6).cast("int").alias("umi_len"), (F.col("l_suppkey") % 3).cast("int").alias("num_founder"), F.col("l_discount").alias("V-measure"))
+
+
+@query("with " + FACTS_SQL + " select tool, case when umi_len in (12, 18) then 'short' when umi_len in (25, 50) then 'long' else 'unknown' end as read_type, num_founder, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, count(v)::bigint as n from facts group by 1, 2, 3")
+def umi_tool_summary(spark, sf_dir):
+    return quality.summary(_facts(spark, sf_dir))
+
+
+def _features(spark, sf_dir):
+    r = reads_view(spark, sf_dir).groupBy(F.concat(F.lit("t"), (F.col("l_orderkey") % 4).cast("string")).alias("tools"), F.col("group_id").alias("platform"), (F.col("p") % 3).cast("string").alias("condition"), (F.col("m") % 2).alias("replicate"), F.substring("parent", 1, 4).alias("clonotype")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.features(r, "n")
+
+
+FEATURES_SQL = READS_SQL + ", f as (select 't' || (l_orderkey % 4) as tools, concat_ws('_', group_id, (p % 3)::varchar, (m % 2)::varchar, substr(parent, 1, 4)) as feature, log10(count(*)) as value from reads group by 1, 2)"
+
+
+@query("with " + FEATURES_SQL + " select a.tools as tool_a, b.tools as tool_b, round(corr(a.value, b.value), 6) as r from f a join f b using (feature) group by 1, 2")
+def umi_tool_corr(spark, sf_dir):
+    return quality.correlations(_features(spark, sf_dir)).withColumn("r", F.round("r", 6))
+
+
+@query("with " + FEATURES_SQL + " select feature, " + ", ".join(f"round(max(value) filter (tools = 't{i}'), 6) as t{i}" for i in range(4)) + " from f group by feature")
+def umi_pivot(spark, sf_dir):
+    got = quality.pivoted(_features(spark, sf_dir), ["t0", "t1", "t2", "t3"])
+    return got.select("feature", *[F.round(f"t{i}", 6).alias(f"t{i}") for i in range(4)])
+
+
+ERR_SQL = ", e as (select case m when 0 then p || ':A/' || base when 1 then p || ':A/' when 2 then p || ':A/A' || base else '' end as err, m, parent from reads)"
+
+
+def _errors(spark, sf_dir):
+    r = reads_view(spark, sf_dir)
+    p = F.col("p").cast("string")
+    return r.select(F.when(F.col("m") == 0, F.concat(p, F.lit(":A/"), "base")).when(F.col("m") == 1, F.concat(p, F.lit(":A/"))).when(F.col("m") == 2, F.concat(p, F.lit(":A/A"), "base")).otherwise("").alias("err"), F.col("parent").alias("label"))
+
+
+@query("with " + READS_SQL + """, k as (select count(*) filter (m = 0) as s, count(*) filter (m = 1) as d, count(*) filter (m = 2) as i from reads)
+select (s + d + i)::bigint as edited, s::bigint as substitution_only, (d + i)::bigint as with_indel, i::bigint as ins, d::bigint as del, s::bigint as sub,
+    printf('%.3f-%.3f-%.3f', i / least(i, d, s), d / least(i, d, s), s / least(i, d, s)) as ratio from k""")
+def umi_edit_totals(spark, sf_dir):
+    got = quality.edit_totals(_errors(spark, sf_dir))
+    return got.select(*[F.col(c).cast("long").alias(c) for c in got.columns if c != "ratio"], "ratio")
+
+
+@query("with " + READS_SQL + ", c as (select parent, count(*) as n from reads group by parent) select avg(n)::double as mean_children, floor(var_samp(n))::bigint as variance_children from c")
+def umi_children(spark, sf_dir):
+    return quality.children(_errors(spark, sf_dir))
+
+
+@query("with " + COUNTS_SQL + " select count(distinct umi)::bigint as n_unique, count(*) filter (n_reads > 0)::bigint as n_with_reads, max(length(umi))::int as longest from rows_")
+def umi_unique(spark, sf_dir):
+    return quality.unique_barcodes(counts_view(spark, sf_dir))
+
+
+@query(HIGH_SQL + " select group_id, umi, founder, (dense_rank() over (order by group_id, founder) - 1)::int as label from named")
+def umi_dense_labels(spark, sf_dir):
+    c = clustering.cluster(materialise(counts_view(spark, sf_dir)), D).select("group_id", "umi", "founder")
+    return tables.dense_labels(c).select("group_id", "umi", "founder", "label")
+
+
+@query("with " + COUNTS_SQL + " select group_id, umi, reverse(translate(umi, 'ACGT', 'TGCA')) as rc, 'NNN' || umi || 'NNN' as padded from rows_")
+def umi_sequences(spark, sf_dir):
+    u = F.col("umi")
+    return counts_view(spark, sf_dir).select("group_id", "umi", S.reverse_complement(u).alias("rc"), S.padded(u).alias("padded"))
+
+
+@query()
+def umi_greedy(spark, sf_dir):
+    return clustering.cluster_groups(counts_view(spark, sf_dir), D, greedy=True, pool=500, head=50)
+
+
+@query()
+def umi_simulate(spark, sf_dir):
+    return simulate.reads(simulate.parents(spark, 100, 18), 0.005, mean_children=20)
