@@ -87,7 +87,7 @@ def cluster(rows: DataFrame, d: int = 1, min_reads: int = 1, max_length: int | N
     marked = founders.withColumn("is_founder", F.lit(True))
     out = rows.join(best, ["group_id", "input_pos"], "left").join(marked, ["group_id", "input_pos"], "left")
     own = F.col("founder_pos").isNull() | F.coalesce("is_founder", F.lit(False))
-    out = out.withColumn("founder_pos", F.when(own, F.col("input_pos")).otherwise(F.col("founder_pos"))).withColumn("dist", F.when(own, F.lit(0)).otherwise(F.col("dist")))
+    out = out.withColumns({"founder_pos": F.when(own, F.col("input_pos")).otherwise(F.col("founder_pos")), "dist": F.when(own, F.lit(0)).otherwise(F.col("dist"))})
     return out.join(names, ["group_id", "founder_pos"]).select("group_id", "input_pos", "umi", "n_reads", "founder", "founder_pos", "dist", F.coalesce("is_founder", F.lit(False)).alias("is_founder"))
 
 
