@@ -20,6 +20,8 @@ repeated rows are each rewritten alike; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +48,25 @@ KINDS = {
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?|(?:{_any(GIVEN_M, GIVEN_F)}) \p{{Lu}}[\p{{L}}'\-]+)",
+    "name": rf"(?=[A-ZÀ-ÞА-Я])(?<!\p{{L}})(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?|(?:{_any(GIVEN_M, GIVEN_F)}) \p{{Lu}}[\p{{L}}'\-]+)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 ATTEMPTS = 24
 
 
+def has_entity(t: Column) -> Column:
+    """Whether the pattern matches, kind by kind, each behind a cheap test that its matches must pass."""
+    hit = lambda kinds: t.rlike("|".join(f"(?:{KINDS[k]})" for k in kinds))
+    any_of = lambda parts: reduce(lambda a, b: a | b, (t.contains(p) for p in parts))
+    return (
+        (t.contains("@") & hit(["email"]))
+        | (t.rlike("[0-9]") & hit(["ip", "iban", "card", "ssn", "phone"]))
+        | (any_of(["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]) & hit(["key"]))
+        | (any_of(["=", ":"]) & hit(["secret"]))
+        | hit(["name"])
+    )
+
+
 def kind_of(raw: Column) -> Column:
     out = None
     for kind, pattern in KINDS.items():
@@ -190,7 +205,7 @@ def anonymise(docs: DataFrame, key: str = "surrogate-key-1", text: str = "text")
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
     digest = F.sha2(t, 256)
-    has = F.coalesce(t.rlike(PATTERN), F.lit(False))
+    has = F.coalesce(has_entity(t), F.lit(False))
     hit = docs.filter(has)
     lists = common.materialise(hit.select(digest.alias("ff_d"), found.alias("ff_e")).groupBy("ff_d").agg(F.first("ff_e").alias("ff_e")))
     each = lists.select("ff_d", F.posexplode("ff_e").alias("i", "raw"))
