@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
+_STARTS = re.compile(f"(?={'|'.join(map(re.escape, CONTROL))})(.)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _SEGMENT = re.compile(r"<\|turn\|>((?:[^\\\n]|\\.)*)\n(.*)<\|end\|>\n", re.DOTALL)
 _PLACEHOLDER = re.compile(r"<\|(image|audio|document)\|>")
@@ -42,8 +42,8 @@ DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint
 
 
 def escape(text: str) -> str:
-    """Backslashes doubled, then one put after the first character of each control string."""
-    return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+    """Backslashes doubled, then one put after the first character of each control string, overlapping ones too."""
+    return _STARTS.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
@@ -166,15 +166,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(probe))).drop("n_attachments")
 
 
-OP2_SQL = r"""
+_ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROL)
+OP2_SQL = f"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, replace(role, chr(92), repeat(chr(92), 2)) as r1, regexp_replace(replace(text, chr(92), repeat(chr(92), 2)),
-    '(<)(<SYS>>|</SYS>>|s>|/s>|\|)|(\[)(/?INST\])|(\|)(>)', '\1\3\5' || repeat(chr(92), 2) || '\2\4\6', 'g') as x from t)
+e as (select *, length(replace(role, chr(92), 'xx')) as role_chars, length(replace(text, chr(92), 'xx')) + {_ESCAPES} as text_chars from t)
 select conv_id, count(*)::bigint as n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, x)) as turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
     coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-    sha256(coalesce(string_agg(text, '' order by turn, role, x) filter (role = 'assistant'), '')) as loss_sha256,
-    sum(length('<|turn|>' || r1 || chr(10) || x || '<|end|>' || chr(10)))::bigint as formatted_chars
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(length('<|turn|>' || chr(10) || '<|end|>' || chr(10)) + role_chars + text_chars)::bigint as formatted_chars
 from e group by conv_id
 """
