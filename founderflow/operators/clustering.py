@@ -69,15 +69,44 @@ def elect(rows: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
         left = materialise(after)
 
 
-def cluster(rows: DataFrame, d: int = 1, min_reads: int = 1, max_length: int | None = None, tail: int = TAIL) -> DataFrame:
+def _split(rows: DataFrame, head_rows: int, head_share: float) -> tuple[DataFrame, DataFrame]:
+    """The first part of each group by position, and the rest; groups up to head_rows are all in the first part."""
+    cut = F.when(F.count(F.lit(1)) <= head_rows, F.max("input_pos")).otherwise(F.percentile_approx("input_pos", head_share, 1000))
+    marked = rows.join(rows.groupBy("group_id").agg(cut.alias("cut")), "group_id")
+    return (marked.filter(F.col("input_pos") <= F.col("cut")).drop("cut"), marked.filter(F.col("input_pos") > F.col("cut")).drop("cut"))
+
+
+def _founders(high: DataFrame, d: int, tail: int, head_rows: int, head_share: float) -> tuple[DataFrame, DataFrame]:
+    """Founders (group_id, input_pos) of high, and all pairs of a row and an earlier founder.
+
+    Most founders stand at the head of a group. The head is settled by itself; the others meet the head's founders
+    only, and what they leave unmatched is settled among itself. So pairs of two children are never formed but in
+    the head, and comparisons grow with rows times founders, not with rows squared.
+    """
+    row = ["group_id", "input_pos"]
+    as_b = lambda f: f.select("group_id", F.col("input_pos").alias("b_pos"))
+    head, rest = _split(high, head_rows, head_share)
+    head, rest = materialise(head), materialise(rest)
+    edges = materialise(similar_pairs(head, head, d))
+    first = materialise(elect(head, edges, tail))
+    near = edges.join(as_b(first), ["group_id", "b_pos"], "left_semi")
+    if rest.isEmpty():
+        return first, near
+    met = materialise(similar_pairs(rest, head.join(first, row, "left_semi"), d))
+    left = materialise(rest.join(met.select("group_id", F.col("a_pos").alias("input_pos")), row, "left_anti"))
+    edges = materialise(similar_pairs(left, left, d))
+    second = materialise(elect(left, edges, tail))
+    late = similar_pairs(rest, left.join(second, row, "left_semi"), d)
+    return first.unionByName(second), near.unionByName(met).unionByName(late)
+
+
+def cluster(rows: DataFrame, d: int = 1, min_reads: int = 1, max_length: int | None = None, tail: int = TAIL, head_rows: int = 5_000, head_share: float = 0.05) -> DataFrame:
     """rows: group_id, umi, n_reads, input_pos (unique within a group). One row each: its founder and the distance."""
     rows = rows.select("group_id", "umi", F.col("n_reads").cast("long").alias("n_reads"), F.col("input_pos").cast("long").alias("input_pos"))
     if max_length is not None:
         rows = rows.withColumn("umi", truncated(F.col("umi"), max_length))
     high = rows.filter(F.col("n_reads") >= min_reads)
-    edges = materialise(similar_pairs(high, high, d))
-    founders = materialise(elect(high, edges, tail))
-    near = edges.join(founders.select("group_id", F.col("input_pos").alias("b_pos")), ["group_id", "b_pos"], "left_semi")
+    founders, near = _founders(high, d, tail, head_rows, head_share)
     if min_reads > 1:
         chosen = rows.join(founders, ["group_id", "input_pos"], "left_semi")
         near = near.unionByName(similar_pairs(rows.filter(F.col("n_reads") < min_reads), chosen, d, ordered=False))

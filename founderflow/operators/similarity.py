@@ -3,7 +3,7 @@
 A pair within d edits has one of the d + 1 equal pieces of the indexed barcode unchanged in the other, at a shift
 that the piece's number and the lengths' difference bound (multi-match-aware partition, Li et al. 2011). So the join
 is an equi-join on (group, length, piece, letters) that Catalyst can shuffle and adaptive execution can split, with
-few chance candidates. The banded edit distance and then the common 6-mer, which is part of the result's
+few chance candidates. Where pieces would be too short for that, candidates share a 6-mer. The banded edit distance and then the common 6-mer, which is part of the result's
 definition, are checked on candidates only.
 """
 
@@ -52,7 +52,8 @@ def similar_pairs(later: DataFrame, earlier: DataFrame, d: int, ordered: bool =
     With `ordered`, only pairs whose b row comes before its a row. Barcodes shorter than 6, or without a window of
     A, C, G, T, match nothing, not even equal ones.
     """
-    if d > K - 1:
+    shortest = earlier.filter(F.length("umi") >= K).agg(F.min(F.length("umi"))).first()[0] or 0
+    if shortest < K * (d + 1) - d:  # pieces of fewer than 5 letters would meet more by chance than 6-mers do
         found = _by_kmers(later, earlier)
     else:
         found = probes(later, d).join(indexed(earlier, d), ["group_id", "ln", "piece", "letters"])

@@ -36,10 +36,10 @@ def simulated(seed, parents=25, length=14, groups=2):
     return rows
 
 
-@pytest.mark.parametrize("d,min_reads,tail", [(1, 1, 10**9), (2, 1, 10**9), (2, 3, 10**9), (2, 1, 0), (3, 1, 10**9)])
-def test_relational_equals_serial(spark, d, min_reads, tail):
+@pytest.mark.parametrize("d,min_reads,tail,head", [(1, 1, 10**9, 10**6), (2, 1, 10**9, 10), (2, 3, 10**9, 10), (2, 1, 0, 10**6), (3, 1, 10**9, 10)])
+def test_relational_equals_serial(spark, d, min_reads, tail, head):
     rows = simulated(d * 10 + min_reads)
-    got = {(r.group_id, r.input_pos): (r.founder_pos, r.dist, r.is_founder) for r in clustering.cluster(spark.createDataFrame(rows, SCHEMA), d, min_reads, tail=tail).collect()}
+    got = {(r.group_id, r.input_pos): (r.founder_pos, r.dist, r.is_founder) for r in clustering.cluster(spark.createDataFrame(rows, SCHEMA), d, min_reads, tail=tail, head_rows=head, head_share=0.2).collect()}
     want = {}
     for g in {r[0] for r in rows}:
         for pos, founder, dist, is_founder in clustering.serial([(u, n, i) for h, u, n, i in rows if h == g], d, min_reads):
