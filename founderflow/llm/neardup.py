@@ -9,11 +9,13 @@ components are filled, so the horizon grows until they are; its start makes that
 to its shingles plus components, whatever the weights.
 
 Links. Texts with equal multisets are one node (by a 128-bit digest), pre-aggregated. Nodes that share a band are
-compared with their bucket's smallest node first, by exact multiset overlap of whole texts; connected components
-then merge most buckets into one. Where a bucket still spans components, further leaders are tried, and at last all
-pairs across components of the bucket, so no link between different texts that share a band is lost, while no
-group of copies is expanded into its pairs. With 24 bands of 4 a pair at similarity 0.8 shares a band with
-probability 1 - 3e-6. Components come from alternating large-star and small-star steps.
+compared with their bucket's most central node first (the one that meets most others in all its buckets), by exact
+multiset overlap of whole texts; connected components then merge most buckets into one. Where a bucket still spans
+components, the pairs across them are verified too: of small buckets as they are, of large ones after an exact
+prefix filter. So
+no link between different texts that share a band is lost, while no group of copies is expanded into its pairs.
+With 24 bands of 4 a pair at similarity 0.8 shares a band with probability 1 - 3e-6. Components come from
+alternating large-star and small-star steps.
 
 Nothing is collected: nodes, pairs and components are tables in the shared folder. Hot buckets meet in joins that
 adaptive execution splits, and in partial aggregates. Defined results: null and empty texts have no shingle and
@@ -36,6 +38,7 @@ from . import common
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 U64 = np.uint64
 LOW48 = U64((1 << 48) - 1)
+SMALL = 12  # members of a bucket up to which its pairs across components are listed
 STEP = U64(0xD1342543DE82EF95)
 
 
@@ -147,6 +150,38 @@ def signed(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
     return common.materialise(numbered.mapInArrow(run, schema))
 
 
+def likely(rows: DataFrame, nodes: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
+    """Those of rows (node, text) whose node may be in nodes, by a Bloom filter of most_bits bits at most, which is
+    sent to all tasks. It spares the following exact join most of the texts; what it lets through in error goes there."""
+    bits = min(most_bits, max(1 << 12, 1 << int(16 * nodes.count()).bit_length()))
+
+    def places(node: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            return [(common.mix(node.astype(np.int64).view(U64) * STEP + U64(k)) % U64(bits)).astype(np.int64) for k in range(4)]
+
+    def mark(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            at = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
+            word = np.zeros(bits >> 6, np.int64)
+            np.bitwise_or.at(word, at >> 6, np.left_shift(np.int64(1), at & 63))
+            some = np.flatnonzero(word)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(word[some])], ["i", "w"])
+
+    got = nodes.select("node").mapInArrow(mark, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
+    word = np.zeros(bits >> 6, np.int64)
+    word[got["i"].to_numpy(np.int64)] = got["w"].to_numpy(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(word)
+
+    def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            fine = np.ones(batch.num_rows, bool)
+            for at in places(batch.column(0).to_numpy()):
+                fine &= (np.right_shift(sent.value[at >> 6], at & 63) & 1).astype(bool)
+            yield batch.filter(pa.array(fine))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose multisets overlap enough. texts: node and text of all nodes."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -187,36 +222,110 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classes(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY, leaders: int = 3) -> DataFrame:
+def _expanded(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A multiset as a set: the k-th copy of an element is an element of its own."""
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return np.where(copy == 0, np.repeat(element, weight), common.mix(np.repeat(element, weight) + copy.astype(U64) * STEP) & LOW48)
+
+
+def _least_overlap(x, y, similarity: float):
+    return np.ceil(similarity / (1 + similarity) * (x + y) - 1e-9)
+
+
+def across(texts: DataFrame, marks: DataFrame, similarity: float, cells: int = 1 << 18, width: float = 1.05) -> DataFrame:
+    """All pairs (a, b) that may be similar and are in different components, one side of them being minor.
+
+    marks: node, root, minor. An exact prefix filter: in one common order of all shingles, two sets of sizes x and y
+    with an overlap of o or more share one among the first x - o + 1 of the one and y - o + 1 of the other. The order
+    is by frequency in `cells` hash cells (bounded, sent to all tasks), rare ones first, so members of a large
+    group of copies that differ from all others by their own edits meet nobody. Sizes are classed in steps of
+    `width`, so that a prefix is no longer than the class of the other side needs.
+    """
+    spark = texts.sparkSession
+    marked = common.materialise(texts.join(marks, "node").select("node", "root", "minor", "text"))
+
+    def bags_of(batch: pa.RecordBatch):
+        for start, n in _slices(batch.column(3)):
+            part = batch.slice(start, n)
+            doc, element, weight = bags(part.column(3))
+            at = np.searchsorted(doc, np.arange(n + 1))
+            for i in range(n):
+                yield part.column(0)[i].as_py(), part.column(1)[i].as_py(), part.column(2)[i].as_py(), _expanded(element[at[i]:at[i + 1]], weight[at[i]:at[i + 1]])
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in found:
+            for *_, tokens in bags_of(batch):
+                total += np.bincount((tokens % U64(cells)).astype(np.int64), minlength=cells)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    often = np.zeros(cells, np.int64)
+    got = marked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often[got["cell"].to_numpy()] = got["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(often)
+    names = ["side", "token", "class", "node", "root", "place", "size"]
+
+    def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = lambda n: int(np.floor(np.log(n) / np.log(width)))
+        for batch in found:
+            out: list[list] = [[] for _ in names]
+
+            def put(side, tokens, size_class, node, root, size):
+                for column, value in zip(out, (np.full(len(tokens), side), tokens.view(np.int64), np.full(len(tokens), size_class), np.full(len(tokens), node), np.full(len(tokens), root), np.arange(len(tokens)), np.full(len(tokens), size))):
+                    column.append(value)
+
+            for node, root, minor, tokens in bags_of(batch):
+                n = len(tokens)
+                if not n:
+                    continue
+                tokens = tokens[np.lexsort((tokens, sent.value[(tokens % U64(cells)).astype(np.int64)]))]
+                put(0, tokens[:int(n - np.ceil(similarity * n - 1e-9)) + 1], class_of(n), node, root, n)
+                if minor:
+                    for c in range(class_of(max(1, np.ceil(similarity * n - 1e-9))), class_of(n / similarity + 1) + 1):
+                        least = max(np.ceil(width**c - 1e-9), np.ceil(similarity * n - 1e-9))
+                        put(1, tokens[:max(0, int(n - _least_overlap(n, least, similarity)) + 1)], c, node, root, n)
+            if out[0]:
+                kinds = [np.int32, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(out, kinds)], names)
+
+    rows = marked.mapInArrow(cut, "side int, token long, class int, node long, root long, place int, size int")
+    y, x = (rows.filter(F.col("side") == k).select("token", "class", *[F.col(c).alias(f"{c}_{k}") for c in names[3:]]) for k in (0, 1))
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_0") + F.col("size_1")) - 1e-9)
+    near = (F.col("root_0") != F.col("root_1")) & (F.col("place_0") <= F.col("size_0") - least) & (F.col("place_1") <= F.col("size_1") - least)
+    met = x.join(y, (x["token"] == y["token"]) & (x["class"] == y["class"]) & near)
+    return met.select(F.least("node_0", "node_1").alias("a"), F.greatest("node_0", "node_1").alias("b")).distinct()
+
+
+def classes(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(ff_row, root) of all rows of signed(): equal roots are one class."""
     slim = rows.select("ff_row", "ff_digest", "ff_bands")
     nodes = common.materialise(slim.groupBy("ff_digest").agg(F.min("ff_row").alias("node"), F.first("ff_bands").alias("bands")))
     spread = nodes.select("node", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1")
-    open_ = common.materialise(spread.join(shared.select("key", "low"), "key").select("key", "node", "low"))
-    members = open_.select("node").distinct()
-    texts = common.materialise(rows.select(F.col("ff_row").alias("node"), F.col(text).alias("text")).join(members, "node", "left_semi"))
-    pairs = open_.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = common.materialise(spread.join(shared, "key").select("key", "node", "n"))
+    central = held.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
+    texts = likely(rows.select(F.col("ff_row").alias("node"), F.col(text).alias("text")), central)
+    texts = common.materialise(texts.join(central, "node", "left_semi"))
+    lead = held.join(central, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("x")).select("key", (-F.col("x.node")).alias("leader"))
+    pairs = held.join(lead, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     edges = common.materialise(verified(pairs, texts, similarity))
     roots = components(edges)
-    tried = open_.select("key", F.col("low").alias("node")).distinct()
-    for turn in range(leaders):
-        at = common.materialise(open_.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-        mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-        left = at.join(mixed, "key", "left_semi").join(tried, ["key", "node"], "left_anti")
-        lead = left.groupBy("key").agg(F.min(F.struct("node", "root")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        lead = common.materialise(lead.select("key", F.col("l.node").alias("leader"), F.col("l.root").alias("lroot")))
-        if lead.isEmpty():
-            break
-        if turn + 1 < leaders:
-            pairs = at.join(lead, "key").filter("root <> lroot")
-        else:  # all pairs across components that are still open
-            lead = left.select("key", F.col("node").alias("leader"), F.col("root").alias("lroot"))
-            pairs = left.join(lead, "key").filter("root <> lroot")
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        edges = common.materialise(edges.unionByName(verified(pairs, texts, similarity)))
-        roots = components(edges)
-        tried = tried.unionByName(lead.select("key", F.col("leader").alias("node")))
+    # What the leader's comparisons leave open: buckets whose other members are of several components.
+    at = held.join(lead, "key").filter("node <> leader").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    at = common.materialise(at)
+    parts = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("k"))
+    open_ = common.materialise(at.join(parts.filter("k > 1").select("key", F.col("x.root").alias("main")), "key"))
+    few = open_.filter(F.col("n") <= SMALL).select("key", "node", "root")
+    pairs = few.join(few.select("key", F.col("node").alias("other"), F.col("root").alias("oroot")), "key").filter("node < other and root <> oroot").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    marks = open_.filter(F.col("n") > SMALL).groupBy("node").agg(F.min("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("minor"))
+    marks = common.materialise(marks)
+    if not marks.isEmpty():
+        pairs = pairs.unionByName(across(texts, marks, similarity)).distinct()
+    more = common.materialise(verified(pairs, texts, similarity))
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
     named = nodes.select("ff_digest", "node").join(roots, "node", "left").select("ff_digest", F.coalesce("root", "node").alias("root"))
     return slim.select("ff_row", "ff_digest").join(named, "ff_digest").select("ff_row", "root")
 
