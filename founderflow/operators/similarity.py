@@ -59,9 +59,12 @@ def similar_pairs(later: DataFrame, earlier: DataFrame, d: int, ordered: bool =
         found = probes(later, d).join(indexed(earlier, d), ["group_id", "ln", "piece", "letters"])
     if ordered:
         found = found.filter(F.col("a_pos") > F.col("b_pos"))
-    dist = F.levenshtein("a_umi", "b_umi", d)
-    near = found.withColumn("dist", dist).filter("dist >= 0").filter(F.arrays_overlap(kmers(F.col("a_umi")), kmers(F.col("b_umi"))))
-    return near.select("group_id", "a_pos", "b_pos", "dist").distinct()
+    near = found.withColumn("dist", F.levenshtein("a_umi", "b_umi", d)).filter("dist >= 0")
+    # A common piece of 6 or more plain letters is a common 6-mer; only pairs without one have their 6-mers compared.
+    plain = (F.length("letters") >= K) & F.col("letters").rlike("^[ACGTacgt]+$")
+    pairs = near.groupBy("group_id", "a_pos", "b_pos").agg(F.min("dist").alias("dist"), F.max(plain).alias("plain"), F.min("a_umi").alias("a_umi"), F.min("b_umi").alias("b_umi"))
+    shared = F.when(F.col("plain"), True).otherwise(F.arrays_overlap(kmers(F.col("a_umi")), kmers(F.col("b_umi"))))
+    return pairs.filter(shared).select("group_id", "a_pos", "b_pos", "dist")
 
 
 def _by_kmers(later: DataFrame, earlier: DataFrame) -> DataFrame:
