@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, WINDOW, THRESHOLD = 3, 3, 0.5
+N, WINDOW, THRESHOLD = 3, 3, 0.45
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
