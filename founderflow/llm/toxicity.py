@@ -74,6 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     """Sparse weights (indices, values) from a bounded sample of labelled rows; their features are cut out on executors."""
     known = labels.select(F.col("doc_id").alias("ff_id"), F.col(label).cast("int").alias("ff_y")).filter(F.col("ff_y").isin(0, 1) & F.col("ff_id").isNotNull())
     picked = known.withColumn("ff_key", F.xxhash64(F.lit(17), F.col("ff_id"))).orderBy("ff_key", "ff_id", "ff_y").limit(most_rows)
+    picked = F.broadcast(picked)  # most_rows ids at most
     rows = docs.select("doc_id", text).join(picked, docs["doc_id"] == picked["ff_id"]).select("ff_y", "ff_key", F.col(text).alias("ff_text"))
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,12 +85,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
                 blobs = [index[at[i]:at[i + 1]].astype(np.uint32).tobytes() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(blobs, pa.binary())], ["y", "key", "f"])
 
-    sample = rows.mapInArrow(cut, "y int, key long, f binary").orderBy("key", "f").toPandas()
-    model = Ftrl(bits)
-    for _ in range(epochs):
-        for y, blob in zip(sample["y"], sample["f"]):
-            model.learn(np.frombuffer(blob, np.uint32).astype(np.int64), int(y))
-    return model.sparse()
+    def learn(table: pa.Table) -> pa.Table:
+        order = table.select(["key", "y"]).append_column("i", pa.array(np.arange(len(table)))).sort_by([("key", "ascending"), ("y", "ascending")]).column("i").to_numpy()
+        labels, blobs = table.column("y").to_numpy(), table.column("f").combine_chunks()
+        _, at, data = blobs.buffers()
+        at = np.frombuffer(at, np.int32, len(blobs) + 1, blobs.offset * 4) // 4
+        flat = np.frombuffer(data, np.uint32)  # views only: the sample is held once
+        model = Ftrl(bits)
+        for _ in range(epochs):
+            for i in order:
+                model.learn(flat[at[i]:at[i + 1]], int(labels[i]))
+        index, value = model.sparse()
+        return pa.table({"i": pa.array(index, pa.int64()), "w": pa.array(value, pa.float64())})
+
+    # One task learns, as the method is sequential: most_rows rows at most reach it.
+    learned = rows.mapInArrow(cut, "y int, key long, f binary").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "i long, w double")
+    got = learned.orderBy("i").toPandas()
+    return got["i"].to_numpy(np.int64), got["w"].to_numpy(np.float64)
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS, text: str = "text", name: str = "score") -> DataFrame:
