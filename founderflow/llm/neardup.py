@@ -150,9 +150,10 @@ def signed(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
     return common.materialise(numbered.mapInArrow(run, schema))
 
 
-def likely(rows: DataFrame, nodes: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
-    """Those of rows (node, text) whose node may be in nodes, by a Bloom filter of most_bits bits at most, which is
-    sent to all tasks. It spares the following exact join most of the texts; what it lets through in error goes there."""
+def likely(rows: DataFrame, nodes: DataFrame, node: str = "node", most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """Rows whose node may be in nodes, and the others, by a Bloom filter of most_bits bits at most, which is sent to
+    all tasks. It spares the following exact join most of the texts; what it lets through in error goes there."""
+    at_column = rows.columns.index(node)
     bits = min(most_bits, max(1 << 12, 1 << int(16 * nodes.count()).bit_length()))
 
     def places(node: np.ndarray) -> list[np.ndarray]:
@@ -172,14 +173,17 @@ def likely(rows: DataFrame, nodes: DataFrame, most_bits: int = 1 << 24) -> DataF
     word[got["i"].to_numpy(np.int64)] = got["w"].to_numpy(np.int64)
     sent = rows.sparkSession.sparkContext.broadcast(word)
 
-    def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            fine = np.ones(batch.num_rows, bool)
-            for at in places(batch.column(0).to_numpy()):
-                fine &= (np.right_shift(sent.value[at >> 6], at & 63) & 1).astype(bool)
-            yield batch.filter(pa.array(fine))
+    def sieve(wanted: bool):
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                may = np.ones(batch.num_rows, bool)
+                for at in places(batch.column(at_column).to_numpy()):
+                    may &= (np.right_shift(sent.value[at >> 6], at & 63) & 1).astype(bool)
+                yield batch.filter(pa.array(may == wanted))
+
+        return rows.mapInArrow(run, rows.schema)
 
-    return rows.mapInArrow(keep, rows.schema)
+    return sieve(True), sieve(False)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -306,7 +310,7 @@ def classes(rows: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = common.materialise(spread.join(shared, "key").select("key", "node", "n"))
     central = held.groupBy("node").agg(F.sum(F.col("n") - 1).alias("met"))
-    texts = likely(rows.select(F.col("ff_row").alias("node"), F.col(text).alias("text")), central)
+    texts, _ = likely(rows.select(F.col("ff_row").alias("node"), F.col(text).alias("text")), central)
     texts = common.materialise(texts.join(central, "node", "left_semi"))
     lead = held.join(central, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("x")).select("key", (-F.col("x.node")).alias("leader"))
     pairs = held.join(lead, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -343,4 +347,6 @@ def survivors(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = signed(docs, text)
     found = classes(rows, text).join(rows.select("ff_row", F.col("doc_id").alias("ff_id")), "ff_row")
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("ff_id").isNull(), "ff_id", "ff_row")).alias("k")).select(F.col("k.ff_row").alias("ff_row"))
-    return rows.join(common.materialise(keep), "ff_row", "left_semi").select(*docs.columns)
+    gone = common.materialise(rows.select("ff_row").join(keep, "ff_row", "left_anti"))
+    maybe, sure = likely(rows.select(*docs.columns, "ff_row"), gone.withColumnRenamed("ff_row", "node"), "ff_row")
+    return sure.unionByName(maybe.join(gone, "ff_row", "left_anti").select(*docs.columns, "ff_row")).select(*docs.columns)
