@@ -74,28 +74,32 @@ def draw(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     run = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    plan = blocks.alias("b").join(quota.alias("q"), same("b", "q"), "left").select("b.source", "b.block", "b.words", "b.before", "q.source_size", "q.target", "q.copies", "q.rest")
-    left = F.col("rest") - F.col("before")
-    plan = plan.withColumn("part", F.when(left <= 0, F.lit(0)).when(left >= F.col("words"), F.lit(2)).otherwise(F.lit(1))).withColumn("left", left)
-    dealt = _tree(plan, levels)
-    plan = plan.withColumn("group", F.substring("block", 1, 2)).alias("p").join(dealt.alias("t"), same("p", "t") & (F.col("p.group") == F.col("t.group")), "left").select("p.*", "t.shards")
-    plan = common.materialise(plan).select(F.col("source").alias("mix_s"), F.col("block").alias("mix_b"), *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "copies", "part", "left", "shards")])
-    on = F.col("source").eqNullSafe(F.col("mix_s")) & (F.substring("mix_hash", 1, 4) == F.col("mix_b"))
-    rows = keyed.join(plan, on, "left").withColumn("mix_copies", F.coalesce("mix_copies", F.lit(0)))
-    # Only the block in which the rest ends is cut within; the windows of the others are empty.
-    ending = F.col("mix_part") == 1
-    cut = rows.filter(ending)
+    per_block = blocks.alias("b").join(quota.alias("q"), same("b", "q"), "left").select("b.source", "b.block", "b.words", "b.before", "q.source_size", "q.target", "q.copies", "q.rest")
+    per_block = common.materialise(per_block)
+    # The rest ends in one block of each source: those before it are drawn whole, those after it not at all.
+    reach = (F.col("rest") > 0) & (F.col("before") + F.col("words") >= F.col("rest"))
+    ends = F.min(F.when(reach, F.struct("block", (F.col("rest") - F.col("before")).alias("left"))))
+    by_source = per_block.groupBy("source").agg(*[F.max(c).alias(c) for c in ("source_size", "target", "copies")], ends.alias("end"))
+    drawn = per_block.alias("p").join(by_source.select("source", "end").alias("e"), same("p", "e")).select("p.source", "p.block", "p.copies", F.when(F.col("p.block") <= F.col("e.end.block"), 1).otherwise(0).alias("part"))
+    shards = _tree(drawn, levels).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("group", "shards"))).alias("shards"))  # 256 groups a source
+    plan = common.materialise(by_source.alias("s").join(shards.alias("t"), same("s", "t"), "left").select("s.*", "t.shards"))
+    plan = plan.select(F.col("source").alias("mix_s"), F.col("end.block").alias("mix_end"), F.col("end.left").alias("mix_left"), *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "copies")], F.col("shards").alias("mix_map"))
+    # A row a source: below Spark's broadcast threshold no text is moved, above it hot sources are split.
+    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("mix_s")), "left").withColumn("mix_b", F.substring("mix_hash", 1, 4))
+    rows = rows.withColumns({"mix_copies": F.coalesce("mix_copies", F.lit(0)), "mix_shards": F.col("mix_map")[F.substring("mix_b", 1, 2)]}).drop("mix_map")
+    # Only the block in which the rest ends is cut within.
+    ending = F.coalesce(F.col("mix_b") == F.col("mix_end"), F.lit(False))
     within = W.partitionBy("mix_s", "mix_b").orderBy("mix_hash", F.col("doc_id"), "mix_size").rowsBetween(W.unboundedPreceding, -1)
     room = F.col("mix_left") - F.coalesce(F.sum("mix_size").over(within), F.lit(0))
-    cut = cut.withColumn("mix_extra", F.greatest(F.lit(0), F.least(room, F.col("mix_size"))))
-    whole = rows.filter(~ending | F.col("mix_part").isNull()).withColumn("mix_extra", F.when(F.col("mix_part") == 2, F.col("mix_size")).otherwise(F.lit(0).cast("long")))
+    cut = rows.filter(ending).withColumn("mix_extra", F.greatest(F.lit(0), F.least(room, F.col("mix_size"))))
+    whole = rows.filter(~ending).withColumn("mix_extra", F.when(F.col("mix_b") < F.col("mix_end"), F.col("mix_size")).otherwise(F.lit(0).cast("long")))
     out = whole.unionByName(cut)
     words = F.concat(F.array_repeat(F.col("mix_size"), F.col("mix_copies").cast("int")), F.when(F.col("mix_extra") > 0, F.array(F.col("mix_extra"))).otherwise(F.array().cast("array<bigint>")))
     shards = F.transform(
         F.filter(F.transform(words, lambda x, i: F.struct(F.coalesce(F.element_at("mix_shards", (i + 1).cast("int")), F.lit(0)).cast("int").alias("shard"), _key(F.lit("place"), F.col("doc_id"), i).alias("place"), x.alias("words"))), lambda s: s["words"] > 0),
         lambda s: s,
     )
-    return out.withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies") + F.col("mix_extra")).withColumn("mix_shards", shards).drop("mix_hash", "mix_s", "mix_b", "mix_copies", "mix_part", "mix_left", "mix_extra")
+    return out.withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies") + F.col("mix_extra")).withColumn("mix_shards", shards).drop("mix_hash", "mix_s", "mix_b", "mix_end", "mix_copies", "mix_left", "mix_extra")
 
 
 def _tree(plan: DataFrame, levels: int) -> DataFrame:
