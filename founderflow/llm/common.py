@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -44,6 +46,14 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are written and whose frames are gone."""
+    for _ in range(2):  # frames first, then what they held; the cleaner works in the background
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -135,7 +145,7 @@ def ngrams(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return h[whole], doc[whole], whole
 
 
-def batches(column: pa.Array, most: int = 4 << 20):
+def batches(column: pa.Array, most: int = 2 << 20):
     """Slices (start, length) of a batch, each with at most that many bytes of text or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     total = np.cumsum(sizes)

@@ -35,7 +35,7 @@ from . import common
 U64 = np.uint64
 END, BOS = U64(0xE4D0F7E9A1B2C3D5), U64(0xB056A1C2D3E4F501)
 CUT = 5
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 6 << 20
 BLOCK = "block long, doc_ids array<bigint>, n_tokens binary, held binary, vocab binary, idx binary"
 ASK = "kind int, part int, block long, keys binary, a binary, b binary"
 ANSWER = "kind int, part int, block long, a binary, stats array<bigint>"
@@ -86,7 +86,7 @@ def packed(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
 
 
 class Block:
-    """The tokens of a block and, by kind, its distinct keys: kind n for n-grams, -n for contexts of n-grams."""
+    """The tokens of a block and, by kind, its distinct keys: kind n for n-grams, -n for contexts of n-grams (weights)."""
 
     def __init__(self, row: dict, order: int):
         self.number, self.order, self.ids = row["block"], order, row["doc_ids"]
@@ -127,7 +127,7 @@ class Block:
     def take(self, answers: list[dict], weights: dict | None) -> None:
         """The answers of all partitions, in key order: counts (negative: this block owns the type) or weights."""
         self.count, self.owner, self.weight = {}, {}, {}
-        for kind in self.keys:
+        for kind in range(1, self.order + 1):
             got = sorted((x["part"], x["a"]) for x in answers if x["kind"] == kind)
             total = np.frombuffer(b"".join(x for _, x in got), np.int32)
             self.count[kind], self.owner[kind] = np.abs(total).astype(np.int64), total < 0
@@ -135,8 +135,12 @@ class Block:
             self.weight[kind] = np.frombuffer(b"".join(x for _, x in sorted((x["part"], x["a"]) for x in weights if x["kind"] == kind)), np.float64)
 
     def known(self, n: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its count at level n, the discounted share of its n-gram, and the backoff weight."""
-        c, total = self.count[n][self.of[n]], self.count[-n][self.of[-n]]
+        """For each token: the count of its n-gram, that n-gram's discounted share of its context, the context's count."""
+        c = self.count[n][self.of[n]]
+        # A context counts as often as the shorter n-gram that it is; at a text's beginning, as often as there are texts.
+        total = np.empty_like(c)
+        total[1:] = self.count[n - 1][self.of[n - 1]][:-1]
+        total[self.at[:-1]] = self.count[1][self.of[1][self.at[1:] - 1]]
         share = model.discount(n, c) * c / np.maximum(total, 1)
         return c, share, total
 
@@ -222,14 +226,16 @@ class Scorer:
 
     def __init__(self, blocks: DataFrame, order: int = 2):
         self.blocks, self.order = blocks, order
-        self.parts = parts = int(min(65_536, max(4, blocks.count())))
+        self.parts = parts = int(min(65_536, max(4, blocks.count() // 2)))
 
         def ask(b: Block) -> Iterator[pa.RecordBatch]:
-            for kind in b.keys:
+            for kind in range(1, b.order + 1):
                 yield b.asks(kind, parts, np.bincount(b.of[kind][b.train], minlength=len(b.keys[kind])).astype(np.int32))
 
         asked = blocks.mapInArrow(self._over(ask), ASK)
         self.counts = common.materialise(asked.groupBy("kind", "part").applyInArrow(_sum_counts, ANSWER))
+        del asked
+        common.release(blocks.sparkSession)
         sums = self.counts.filter("block = -1 and kind > 0").select("kind", F.posexplode("stats").alias("i", "x")).groupBy("kind", "i").agg(F.sum("x").alias("x")).collect()
         stats = {n: [0] * (CUT + 3) for n in range(1, order + 1)}
         for r in sums:
@@ -271,6 +277,7 @@ class Scorer:
 
         got = common.materialise(self._answered().mapInArrow(self._over(ask), ASK).groupBy("kind", "part").applyInArrow(_sum_weights, ANSWER))
         self.weights = got if self.weights is None else self.weights.unionByName(got)
+        common.release(got.sparkSession)
 
     def scores(self) -> DataFrame:
         model, order = self.model, self.order
