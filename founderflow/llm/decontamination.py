@@ -1,21 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: counted word pairs as a filter without loss, then Smith-Waterman alignment of words.
 
-Seeds. Every run of `window` + `n` - 1 words of a test item holds at least one seed: in each window of `window`
-consecutive n-grams the rarest one is taken, rarity being the number of its occurrences in all passages. So no
-item loses its seeds to a cap, however often its text was copied, while common phrases are only used where an
-item has nothing rarer. Passages are joined to items on their seeds.
+Alignment. A stretch of a document is aligned with a test item word by word (match 2, mismatch -1, gap -1, local).
+The score is divided by that of the whole item against itself; a document with a score of `threshold` or more for an
+item is contaminated. Edits, insertions and dropped words lower the score gently.
 
-Alignment. Around the seed hits of a document and an item, on the diagonal that the hits name, a stretch of the
-document is cut and aligned with the item word by word (match 2, mismatch -1, gap -1, local). The score is divided
-by that of the whole item against itself; a document with a score of `threshold` or more for an item is
-contaminated. Edits, insertions and dropped words lower the score gently.
+Filter. Only pairs of a document and an item that may reach the threshold are aligned, and all of them are: results
+are those of aligning everything with everything. A score S of m matched words and k edits is 2 m - k. Of the m - 1
+gaps between successive matches those with two edits or more use up k, so S / 2 - 1 gaps at least hold one edit or
+none: there the two words are one or two places apart in the document, and one or two in the item. And the whole
+alignment covers at most 3 m - S words of the document. So documents are searched for the items' ordered word pairs
+at distances one and two, and a stretch is aligned if that many hits of an item lie that close. No n-gram is left
+out for being rare or common, and no run of unchanged words is needed.
 
-The items are sent to all tasks if their n-grams number at most `most_grams` (a checked bound). Beyond it the items
+The items are sent to all tasks if their pairs number at most `most_grams` (a checked bound). Beyond it the items
 are dealt into blocks below the bound, and passages are scanned once a block, so nothing is left out.
 
 Words are maximal runs of letters, digits and non-ASCII bytes, in lower case. Defined results: null and empty texts
-and items without words hit nothing; items shorter than n words are one n-gram of their whole length; repeated rows
-each count, and of repeated item ids the best score is kept; ties of best items go to the smallest item id; an
+and items without words hit nothing; items shorter than three words are hit where they occur whole, and longer
+ones by two words at least, however low the threshold; repeated rows each count, and of repeated item ids the best score is kept; ties of best items go to the smallest item id; an
 empty table on either side gives no hits.
 """
 
@@ -30,44 +32,64 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, WINDOW, THRESHOLD = 3, 3, 0.45
+THRESHOLD = 0.45
 MATCH, MISMATCH, GAP = 2, -1, -1
+SHORT, STEPS, CELLS = 3, (1, 2), 1 << 18
+
+
+def _pairs(words: np.ndarray, first: np.ndarray, step: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return common.mix(words[first] * common.BASE + words[first + step])
+
+
+class Known:
+    """The items that hold each of a set of hashes, behind a table of the hashes' low bits."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, hashes))
+        hashes, item = hashes[order], item[order]
+        new = np.ones(len(item), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])
+        self.item = item[new]
+        self.hashes, at = np.unique(hashes[new], return_index=True)
+        self.at = np.append(at, len(self.item))
+        self.mask = np.uint64((1 << min(24, max(16, (32 * len(self.hashes)).bit_length()))) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[self.hashes & self.mask] = True
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        return self.maybe[hashes & self.mask]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in hashes, item) of all hits."""
+        place = np.flatnonzero(self.may_hold(hashes))
+        low = np.searchsorted(self.hashes, hashes[place])
+        same = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes[place]) if len(self.hashes) else place[:0]
+        place, low = place[same], low[same]
+        times = self.at[low + 1] - self.at[low]
+        which = np.repeat(self.at[low] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.repeat(place, times), self.item[which]
 
 
 class Items:
-    """The words and n-grams of test items; seeds() narrows the n-grams down to the rarest of each window."""
+    """The words of test items, the score that each must reach, and where to look for it."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = N):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD):
         texts = pa.array([r[1] for r in rows], pa.string())
         words, at = common.hashed_words(texts, common.is_not_word, "unicode")
-        self.n, self.ids, self.words = n, [], []
-        grams, item, place = [], [], []
-        for k, (i, _) in enumerate(rows):
-            w = words[at[k]:at[k + 1]]
-            if len(w) == 0 or i is None:
-                continue
-            g, _, p = common.ngrams(w, np.array([0, len(w)]), min(n, len(w)))
-            grams.append(g)
-            item.append(np.full(len(g), len(self.ids), np.int64))
-            place.append(p)
-            self.ids.append(int(i))
-            self.words.append(w)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.grams, self.item, self.place = join(grams, np.uint64), join(item, np.int64), join(place, np.int64)
-        self.short = sorted({len(w) for w in self.words if len(w) < n})
-
-    def seeds(self, counts: dict[int, int], window: int = WINDOW) -> Items:
-        keep = np.zeros(len(self.grams), bool)
-        n = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)])
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.item == k)
-            for s in range(max(1, len(own) - window + 1)):
-                part = own[s:s + window]
-                keep[part[np.argmin(n[part])]] = True
-        self.grams, self.item, self.place = self.grams[keep], self.item[keep], self.place[keep]
-        order = np.argsort(self.grams, kind="stable")
-        self.grams, self.item, self.place = self.grams[order], self.item[order], self.place[order]
-        return self
+        found = [(int(i), words[at[k]:at[k + 1]]) for k, (i, _) in enumerate(rows) if i is not None and at[k] < at[k + 1]]
+        self.ids, self.words = [i for i, _ in found], [w for _, w in found]
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.least = np.where(self.length < SHORT, MATCH * self.length, np.maximum(MATCH + 1, np.ceil(threshold * MATCH * self.length - 1e-9))).astype(np.int64)
+        self.span = 3 * self.length - self.least
+        self.pairs = np.maximum(1, -(-(self.least - MATCH) // 2))
+        every = np.concatenate([*self.words, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(self.ids)), self.length)
+        self.word = Known(every, item)
+        alone = self.length[item] == 1
+        self.single = Known(every[alone], item[alone])
+        first = [np.flatnonzero(item[:-step] == item[step:]) for step in STEPS]
+        self.pair = Known(np.concatenate([_pairs(every, f, step) for f, step in zip(first, STEPS)]), np.concatenate([item[f] for f in first]))
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -94,87 +116,73 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _stretches(words: np.ndarray, at: np.ndarray, items: Items):
-    """(document, item, start, end) of the stretches of a batch to align: seed hits merged along their diagonals."""
-    found = []
-    for n in [*items.short, items.n]:
-        g, doc, first = common.ngrams(words, at, n)
-        low = np.searchsorted(items.grams, g, "left")
-        hit = np.flatnonzero((low < len(items.grams)) & (items.grams[np.minimum(low, len(items.grams) - 1)] == g)) if len(items.grams) else np.zeros(0, np.int64)
-        high = np.searchsorted(items.grams, g[hit], "right")
-        times = high - low[hit]
-        src = np.repeat(hit, times)
-        which = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        found.append(np.stack([doc[src], items.item[which], first[src] - items.place[which]]))
-    d, i, begin = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-    length = np.array([len(w) for w in items.words], np.int64)[i] if len(i) else i
-    slack = length // 4 + 4
-    low, high = np.maximum(begin - slack, at[d]), np.minimum(begin + length + slack, at[d + 1])
-    order = np.lexsort((low, i, d))
-    out: list[list[int]] = []
-    for d_, i_, lo, hi, n in zip(d[order].tolist(), i[order].tolist(), low[order].tolist(), high[order].tolist(), length[order].tolist()):
-        if out and out[-1][0] == d_ and out[-1][1] == i_ and lo <= out[-1][3] - n // 2 and hi - out[-1][2] <= 4 * n + 64:
-            out[-1][3] = max(out[-1][3], hi)
-        else:
-            out.append([d_, i_, lo, hi])
-    return out
-
-
-def _counts(docs: DataFrame, items: Items, text: str) -> dict[int, int]:
-    """Occurrences in all passages of the items' n-grams; at most as many numbers as items have n-grams."""
-    sent = docs.sparkSession.sparkContext.broadcast((np.unique(items.grams), items.n, items.short))
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, n, short = sent.value
-        total = np.zeros(len(grams), np.int64)
-        for batch in found:
-            for start, size in common.batches(batch.column(0)):
-                words, at = common.hashed_words(batch.column(0).slice(start, size), common.is_not_word, "unicode")
-                for k in [*short, n]:
-                    g, _, _ = common.ngrams(words, at, k)
-                    place = np.minimum(np.searchsorted(grams, g), max(0, len(grams) - 1))
-                    total += np.bincount(place[grams[place] == g], minlength=len(grams)) if len(grams) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(total[some])], ["g", "n"])
-
-    return {r["g"]: r["n"] for r in docs.select(text).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-
-
-def _scan(known: Items, texts: pa.Array, threshold: float) -> dict[tuple[int, int], float]:
+def _stretches(words: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
+    """Rows (document, item, start, end): the stretches of a batch in which an item may reach its least score."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = items.word.may_hold(words)
+    size = len(words) + 1
+    keys = []
+    for step in STEPS:
+        first = np.flatnonzero(inside[:-step] & inside[step:] & (doc[:-step] == doc[step:]))
+        place, item = items.pair.find(_pairs(words, first, step))
+        keys.append(item * size + first[place])
+    item, place = np.divmod(np.unique(np.concatenate(keys)), size)
+    last = np.arange(len(item)) + items.pairs[item] - 1
+    first = np.flatnonzero(last < len(item))
+    last = last[first]
+    near = (item[first] == item[last]) & (place[last] - place[first] < items.span[item[first]]) & (doc[place[first]] == doc[place[last]])
+    first, last = first[near], last[near]
+    item, d, span = item[first], doc[place[first]], items.span[item[first]]
+    # The whole alignment holds the hits from first to last and is no longer than the span.
+    low, high = np.maximum(place[last] - span, at[d]), np.minimum(place[first] + span + 1, at[d + 1])
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (low[1:] > high[:-1])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(item))[:len(start)] - 1
+    place, alone = items.single.find(words)
+    return np.concatenate([np.stack([d[start], item[start], low[start], high[end]], 1), np.stack([doc[place], alone, place, place + 1], 1)])
+
+
+def _scan(known: Items, texts: pa.Array) -> dict[tuple[int, int], float]:
     """Scores at or above the threshold by (row, item id)."""
     words, at = common.hashed_words(texts, common.is_not_word, "unicode")
     best: dict[tuple[int, int], float] = {}
     todo = _stretches(words, at, known)
-    todo.sort(key=lambda x: (len(known.words[x[1]]), x[3] - x[2]))
-    for k in range(0, len(todo), 256):
-        part = todo[k:k + 256]
-        scores = align([words[lo:hi] for _, _, lo, hi in part], [known.words[i] for _, i, _, _ in part])
-        for (d, i, _, _), s in zip(part, scores / (MATCH * np.array([len(known.words[x[1]]) for x in part]))):
-            if s >= threshold:
-                best[d, known.ids[i]] = max(best.get((d, known.ids[i]), 0.0), float(s))
+    todo = todo[np.lexsort((todo[:, 3] - todo[:, 2], known.length[todo[:, 1]]))]
+    k = 0
+    while k < len(todo):
+        # 256 pairs at once, and of long stretches fewer
+        widest = np.maximum.accumulate(todo[k:k + 256, 3] - todo[k:k + 256, 2])
+        n = max(1, int(np.count_nonzero(widest * np.arange(1, len(widest) + 1) <= CELLS)))
+        part = todo[k:k + n]
+        k += n
+        scores = align([words[lo:hi] for _, _, lo, hi in part], [known.words[i] for i in part[:, 1]])
+        for j in np.flatnonzero(scores >= known.least[part[:, 1]]):
+            d, i = part[j, :2].tolist()
+            key = d, known.ids[i]
+            best[key] = max(best.get(key, 0.0), float(scores[j] / (MATCH * known.length[i])))
     return best
 
 
-def blocks_of(docs: DataFrame, items: DataFrame, text: str, most_grams: int) -> Iterator[Items]:
-    """The items with their seeds, in blocks whose n-grams stay below the bound."""
+def blocks_of(items: DataFrame, threshold: float, most_grams: int) -> Iterator[Items]:
+    """The items in blocks whose word pairs stay below the bound."""
     size = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
-    blocks = 1 + size // (2 * most_grams)  # a word and its blank are two characters at least
+    blocks = 1 + size // most_grams  # a word and its blank are two characters at least, and it begins two pairs
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()
-        known = Items([(r[0], r[1]) for r in rows])
-        yield known.seeds(_counts(docs, known, text))
+        yield Items([(r[0], r[1]) for r in rows], threshold)
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, most_grams: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, score) of aligned pairs at or above the threshold; one row a document row and item."""
     out = None
-    for known in blocks_of(docs, items, text, most_grams):
+    for known in blocks_of(items, threshold, most_grams):
         sent = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(found: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in found:
                 for start, size in common.batches(batch.column(1)):
-                    best = _scan(sent.value, batch.column(1).slice(start, size), threshold)
+                    best = _scan(sent.value, batch.column(1).slice(start, size))
                     keys = sorted(best)
                     rows = batch.column(0).slice(start, size).take(pa.array([d for d, _ in keys], pa.int64()))
                     yield pa.RecordBatch.from_arrays([rows, pa.array([i for _, i in keys], pa.int64()), pa.array([best[k] for k in keys], pa.float64())], ["doc_id", "item_id", "score"])
@@ -188,7 +196,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: floa
     """docs without the contaminated rows; a map over rows, without a shuffle."""
     column = docs.columns.index(text)
     out = docs
-    for known in blocks_of(docs, items, text, most_grams):
+    for known in blocks_of(items, threshold, most_grams):
         sent = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(found: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -196,7 +204,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: floa
                 for start, size in common.batches(batch.column(column)):
                     part = batch.slice(start, size)
                     keep = np.ones(size, bool)
-                    keep[[d for d, _ in _scan(sent.value, part.column(column), threshold)]] = False
+                    keep[[d for d, _ in _scan(sent.value, part.column(column))]] = False
                     yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)

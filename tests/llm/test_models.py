@@ -131,6 +131,38 @@ def test_decontamination(spark):
     assert decontamination.hits(docs, table.limit(0)).count() == 0 and decontamination.clean(docs.limit(0), table).count() == 0
 
 
+def plain_hits(rows, items, threshold=decontamination.THRESHOLD):
+    """Every document aligned with every item."""
+    words = lambda t: common.hashed_words(pa.array([t], pa.string()), common.is_not_word, "unicode")[0]
+    out = {}
+    for i, t in items:
+        w = words(t)
+        for d, s in zip((r[0] for r in rows), decontamination.align([words(r[1]) for r in rows], [w] * len(rows))):
+            if s >= threshold * 2 * len(w) - 1e-9:
+                out[d, i] = round(s / (2 * len(w)), 9)
+    return out
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    rng = random.Random(21)
+    vocabulary = WORDS + [f"w{i}" for i in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(3, 60)))) for i in range(40)]
+    rows = [(i, " ".join(text(rng.randint(0, 300))), "s", "en") for i in range(60)]
+    for i, t in items:
+        for every in (2, 3, 4, 5):  # evenly edited copies: replaced, left out, put in
+            w = t.split()
+            edited = [[f"x{k}" if k % every == every - 1 else x for k, x in enumerate(w)], [x for k, x in enumerate(w) if k % every], [y for k, x in enumerate(w) for y in ([x, "put"] if k % every == 0 else [x])]]
+            edited.append([f"x{k}" if rng.random() < 1 / every else x for k, x in enumerate(w)])
+            for e in edited:
+                rows.append((len(rows), " ".join(text(rng.randint(0, 40)) + e + text(rng.randint(0, 40))), "s", "en"))
+    docs, table = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_hits(rows, items)
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontamination.hits(docs, table).collect()} == want
+    assert len([s for s in want.values() if s < 0.6]) > 100
+    assert {r.doc_id for r in decontamination.clean(docs, table).collect()} == {r[0] for r in rows} - {d for d, _ in want}
+
+
 def test_toxicity(spark, frames):
     rng = random.Random(6)
     rows, labels = [], []
