@@ -2,9 +2,11 @@
 
 Alignment. A stretch of a document is aligned with a test item word by word (match 2, mismatch -1, gap -1, local).
 The score is divided by that of the whole item against itself; a document with a score of `threshold` or more for an
-item is contaminated. Edits, insertions and dropped words lower the score gently.
+item is contaminated. So is one that holds an excerpt: an alignment worth EXCERPT matched words or more, however long
+the item, so that its relative score may be below the threshold. Edits, insertions and dropped words lower the score
+gently.
 
-Filter. Only pairs of a document and an item that may reach the threshold are aligned, and all of them are: results
+Filter. Only pairs of a document and an item that may reach either bound are aligned, and all of them are: results
 are those of aligning everything with everything. A score S of m matched words and k edits is 2 m - k. Of the m - 1
 gaps between successive matches those with two edits or more use up k, so S / 2 - 1 gaps at least hold one edit or
 none: there the two words are one or two places apart in the document, and one or two in the item. And the whole
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD = 0.45
+THRESHOLD, EXCERPT = 0.45, 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHORT, STEPS, CELLS = 3, (1, 2), 1 << 18
 
@@ -80,7 +82,7 @@ class Items:
         found = [(int(i), words[at[k]:at[k + 1]]) for k, (i, _) in enumerate(rows) if i is not None and at[k] < at[k + 1]]
         self.ids, self.words = [i for i, _ in found], [w for _, w in found]
         self.length = np.array([len(w) for w in self.words], np.int64)
-        self.least = np.where(self.length < SHORT, MATCH * self.length, np.maximum(MATCH + 1, np.ceil(threshold * MATCH * self.length - 1e-9))).astype(np.int64)
+        self.least = np.where(self.length < SHORT, MATCH * self.length, np.maximum(MATCH + 1, np.minimum(MATCH * EXCERPT, np.ceil(threshold * MATCH * self.length - 1e-9)))).astype(np.int64)
         self.span = 3 * self.length - self.least
         self.pairs = np.maximum(1, -(-(self.least - MATCH) // 2))
         every = np.concatenate([*self.words, np.zeros(0, np.uint64)])
@@ -144,7 +146,7 @@ def _stretches(words: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
 
 
 def _scan(known: Items, texts: pa.Array) -> dict[tuple[int, int], float]:
-    """Scores at or above the threshold by (row, item id)."""
+    """Scores of contaminated rows by (row, item id)."""
     words, at = common.hashed_words(texts, common.is_not_word, "unicode")
     best: dict[tuple[int, int], float] = {}
     todo = _stretches(words, at, known)
@@ -174,7 +176,7 @@ def blocks_of(items: DataFrame, threshold: float, most_grams: int) -> Iterator[I
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, most_grams: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, score) of aligned pairs at or above the threshold; one row a document row and item."""
+    """(doc_id, item_id, score) of aligned pairs at or above the threshold or an excerpt's worth; one row a document row and item."""
     out = None
     for known in blocks_of(items, threshold, most_grams):
         sent = docs.sparkSession.sparkContext.broadcast(known)

@@ -138,7 +138,7 @@ def plain_hits(rows, items, threshold=decontamination.THRESHOLD):
     for i, t in items:
         w = words(t)
         for d, s in zip((r[0] for r in rows), decontamination.align([words(r[1]) for r in rows], [w] * len(rows))):
-            if s >= threshold * 2 * len(w) - 1e-9:
+            if s >= min(threshold * 2 * len(w) - 1e-9, 2 * decontamination.EXCERPT):
                 out[d, i] = round(s / (2 * len(w)), 9)
     return out
 
@@ -163,6 +163,17 @@ def test_decontamination_equals_alignment_of_all_pairs(spark):
     assert {r.doc_id for r in decontamination.clean(docs, table).collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_decontamination_finds_excerpts_of_long_items(spark):
+    item = [f"w{i}" for i in range(300)]
+    other = " ".join(f"v{i}" for i in range(50))
+    cut = {1: item[100:113], 2: item[:26], 3: item[280:], 4: item[50:62], 5: [x for k, x in enumerate(item[20:40]) if k % 8 != 5]}
+    docs = spark.createDataFrame([(i, f"{other} {' '.join(w)} {other}", "s", "en") for i, w in cut.items()], DOCS)
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: round(r.score * 600) for r in decontamination.hits(docs, table).collect()}
+    assert got == {1: 26, 2: 52, 3: 40, 5: 2 * 18 - 2}  # 12 words are no excerpt
+    assert [r.doc_id for r in decontamination.clean(docs, table).collect()] == [4]
+
+
 def test_toxicity(spark, frames):
     rng = random.Random(6)
     rows, labels = [], []
