@@ -4,7 +4,8 @@ Entities are found by one pattern: e-mail addresses, keys and named secrets, IP
 checked), phone numbers, social security numbers, IBANs, and names after a title or beginning with a known given
 name. Each becomes a keyed, type-consistent replacement: digits for digits, lower and upper case letters for theirs,
 separators in place; cards keep the first digit and a valid check digit, phones their country code, addresses their
-top level domain, octets stay in range, keys their prefix; names keep gender, script and letter case.
+top level domain, octets stay in range, keys their prefix; names keep gender, script and letter case. Keys and
+named secrets are taken to their end, however long.
 
 Coreference and distinctness. Replacements are drawn for canonical forms (letters and digits in lower case, so a
 number written in two ways is one entity; given and family names apart, so "Ms Rossi" and "Anna Rossi" agree). Over
@@ -41,8 +42,8 @@ _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _any = lambda *lists: "|".join(x for one in lists for x in one)
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,64}\b",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b)[ \t]{0,2}[=:][ \t]{0,2}[\"']?[A-Za-z0-9+/_\-]{8,128}",
+    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_\-]{20,}+",
+    "secret": r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_\-]?key)\b)[ \t]{0,2}[=:][ \t]{0,2}[\"']?(?=[+/_.~=\-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~=\-]{8,}+",
     "ip": rf"(?<![\d.])(?:{_octet}\.){{3}}{_octet}(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
@@ -51,6 +52,7 @@ KINDS = {
     "name": rf"(?=[A-ZÀ-ÞА-Я])(?<!\p{{L}})(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?|(?:{_any(GIVEN_M, GIVEN_F)}) \p{{Lu}}[\p{{L}}'\-]+)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+SECRET = r"^([^=:]*[=:][ \t]{0,2}[\"']?)(.*)$"  # what a secret is named, and its value to the end
 ATTEMPTS = 24
 
 
@@ -89,7 +91,8 @@ def _atoms(raw: Column, kind: Column) -> Column:
     """The canonical forms within a raw entity, with the number of characters kept in front and at the end."""
     atom = lambda k, form, front, end: F.struct(k.alias("kind"), form.alias("form"), front.cast("int").alias("front"), end.cast("int").alias("end"))
     zero, plain = F.lit(0), F.regexp_replace(raw, r"[^\p{L}\p{N}]", "")
-    value = F.regexp_extract(raw, r"([A-Za-z0-9+/_\-]+)$", 1)
+    value = F.regexp_extract(raw, SECRET, 2)
+    prefix = F.regexp_replace(F.regexp_extract(raw, "^(?:AKIA|ASIA|gh[pousr]|sk-(?:(?:proj|svcacct|admin)-)?)", 0), "-", "")
     tld = F.length(F.regexp_extract(raw, r"\.([A-Za-z]+)$", 1))
     country = F.when(raw.startswith("+"), F.length(F.regexp_extract(raw, r"^\+(\d+?)(?:[ .\-(]|\d{7,}$)", 1))).otherwise(0)
     words = F.split(F.regexp_replace(raw, r"\.", ""), " ")
@@ -100,8 +103,8 @@ def _atoms(raw: Column, kind: Column) -> Column:
     return (
         F.when(kind == "name", name)
         .when(kind == "email", F.array(atom(kind, F.lower(plain), zero, tld)))
-        .when(kind == "key", F.array(atom(kind, plain, F.least(F.lit(4), F.length(F.regexp_extract(plain, "^(?:AKIA|ASIA|gh[pousr]|sk)", 0))), zero)))
-        .when(kind == "secret", F.array(atom(kind, F.regexp_replace(value, r"[^\p{L}\p{N}]", ""), zero, zero)))
+        .when(kind == "key", F.array(atom(kind, plain, F.length(prefix), zero)))
+        .when(kind == "secret", F.array(atom(kind, value, zero, zero)))
         .when(kind == "card", F.array(atom(kind, plain, F.lit(1), zero)))
         .when(kind == "iban", F.array(atom(kind, plain, F.lit(2), zero)))
         .when(kind == "phone", F.array(atom(kind, plain, country, zero)))
@@ -192,11 +195,10 @@ def replacements(raws: DataFrame, key: str) -> DataFrame:
     titled = F.regexp_replace(words[0], r"\.", "").isin(*TITLES_M, *TITLES_F, *TITLES_U)
     shift = F.when(titled, 1).otherwise(0)
     name = F.array_join(F.transform(words, lambda w, i: F.when(i < shift, w).otherwise(_titled(F.element_at("s", (i - shift + 1).cast("int")), w))), " ")
-    head = F.regexp_extract("raw", r"^(.*?)[A-Za-z0-9+/_\-]+$", 1)
-    value = F.regexp_extract("raw", r"([A-Za-z0-9+/_\-]+)$", 1)
+    head = F.regexp_extract("raw", SECRET, 1)
     sur = F.col("s")[0]
     fits = F.length(F.regexp_replace("raw", r"[^\p{L}\p{N}]", "")) == F.length(F.regexp_replace(sur, r"[^\p{L}\p{N}]", ""))
-    made = F.when(F.col("rk") == "name", name).when(F.col("rk") == "secret", F.concat(head, _filled(value, sur))).when(F.col("rk") == "ip", sur).when(fits, _filled(F.col("raw"), sur)).otherwise(sur)
+    made = F.when(F.col("rk") == "name", name).when(F.col("rk") == "secret", F.concat(head, sur)).when(F.col("rk") == "ip", sur).when(fits, _filled(F.col("raw"), sur)).otherwise(sur)
     return common.materialise(both.select("raw", made.alias("replacement")))
 
 

@@ -163,6 +163,24 @@ def test_surrogates(spark):
     assert "AKIA" in t[3] and "password=" in t[3]
 
 
+def test_secrets_go_to_their_end(spark):
+    rng = random.Random(8)
+    run = lambda n, more="": "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789" + more) for _ in range(n))
+    jwt = [run(36), run(700, "_-"), run(43, "_-")]
+    values = [run(200), run(129), run(900, "+/") + "==", ".".join(jwt), run(40), run(40), "sk-" + run(65), "sk-" + run(300), "sk-proj-" + run(120, "_-"), "ghp_" + run(60), run(20_000)]
+    names = ["token=", "api_key: ", "Secret = '", "token: ", "client_secret=", "access_token: ", "", "", "", "", "password="]
+    rows = [(i, f"before {n}{v} after", "s", "x") for i, (n, v) in enumerate(zip(names, values))] + [(99, "token: ........ and secret ======== stay", "s", "x")]
+    got = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[99].text == rows[-1][1] and got[99].n_entities == 0
+    for i, (n, v) in enumerate(zip(names, values)):
+        new = got[i].text.removeprefix(f"before {n}").removesuffix(" after")
+        assert got[i].n_entities == 1 and len(new) == len(v) and new != v
+        assert [c for c in new if not c.isalnum()] == [c for c in v if not c.isalnum()]
+        assert not any(v[k:k + 8] in new for k in range(8, len(v) - 7))
+    assert got[8].text.startswith("before sk-proj-") and got[9].text.startswith("before ghp_")
+    assert got[3].text.count(".") == 2 and not any(part in got[3].text for part in jwt)
+
+
 def test_surrogates_are_one_to_one(spark):
     forms = [(f"ip", f"{a}.{b}.1.1", 0, 0) for a in range(1, 10) for b in range(1, 10)] + [("family", f"name{i}", 0, 0) for i in range(3000)] + [("ssn", f"{i:09d}", 0, 0) for i in range(2000)]
     df = spark.createDataFrame(forms, "kind string, form string, front int, end int")
