@@ -245,8 +245,8 @@ class Scorer:
         for n in range(2, order + 1):
             self._level(n)
 
-    def _over(self, work):
-        order = self.order
+    def _over(self, work, order: int | None = None):
+        order = order or self.order
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in found:
@@ -259,9 +259,9 @@ class Scorer:
 
         return run
 
-    def _answered(self) -> DataFrame:
+    def _answered(self, order: int) -> DataFrame:
         gather = lambda t, name: t.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "a")).alias(name))
-        out = self.blocks.join(gather(self.counts, "answers"), "block")
+        out = self.blocks.join(gather(self.counts.filter(F.col("kind") <= order), "answers"), "block")
         return out if self.weights is None else out.join(gather(self.weights, "weights"), "block")
 
     def _level(self, n: int) -> None:
@@ -275,7 +275,7 @@ class Scorer:
             size = len(b.keys[-n])
             yield b.asks(-n, parts, np.bincount(b.of[-n][own], share[own], size), np.bincount(b.of[-n][own], lower[own], size))
 
-        got = common.materialise(self._answered().mapInArrow(self._over(ask), ASK).groupBy("kind", "part").applyInArrow(_sum_weights, ANSWER))
+        got = common.materialise(self._answered(n).mapInArrow(self._over(ask, n), ASK).groupBy("kind", "part").applyInArrow(_sum_weights, ANSWER))
         self.weights = got if self.weights is None else self.weights.unionByName(got)
         common.release(got.sparkSession)
 
@@ -289,9 +289,9 @@ class Scorer:
             n = len(b.n)
             yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.n.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(n, model.total, np.int64)), pa.array(add(base)), pa.array(add(b.probabilities(model, order)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        return self._answered().mapInArrow(self._over(work), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return self._answered(order).mapInArrow(self._over(work), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def op3_katz_scores(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+def op3_katz_scores(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return Scorer(packed(docs, common.fold("doc_id", 10) == 0), order).scores()

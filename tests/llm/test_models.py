@@ -85,6 +85,14 @@ def test_katz(spark, order):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
+def test_katz_query_is_of_order_three(spark, frames):
+    path = frames(documents=(corpus(3, 40, 40), DOCS))
+    packed = katz.packed(common.table(spark, path, "documents"), common.fold("doc_id", 10) == 0)
+    scores = lambda df: {r.doc_id: round(r.score, 9) for r in df.collect()}
+    got = scores(katz.op3_katz_scores(spark, path))
+    assert got == scores(katz.Scorer(packed, 3).scores()) != scores(katz.Scorer(packed, 2).scores())
+
+
 def test_katz_empty(spark):
     assert katz.Scorer(katz.packed(spark.createDataFrame([], DOCS), common.fold("doc_id", 10) == 0)).scores().count() == 0
     only = spark.createDataFrame([(1, "a b", "s", "l")], DOCS)
