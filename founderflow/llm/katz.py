@@ -1,21 +1,30 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights, partitioned tables.
 
-Texts are packed in blocks of some megabytes, as arrays of word numbers and the block's own vocabulary (64-bit word
-hashes). Counts are exchanged by request and answer: a block asks, by partition of the key space, for each distinct
-n-gram and context it holds, adding its training count; a partition sums the counts of all blocks and answers each.
-These answers are the model's tables, partitioned by key and block. So a very common n-gram costs one entry a block,
-not one a token, keys are spread by hash, and nothing is broadcast or collected but the counts of counts.
-
     P(w | h) = d(c) c(h w) / c(h)      if c(h w) > 0, with Katz's discount d for counts up to 5
              = a(h) P(w | shorter h)   otherwise; a(h) = (1 - sum of the upper line) / (1 - sum of P(w | shorter h)
                                        over the w of the upper line), so that all probabilities add up to 1
     P(w)     = d(c) c(w) / N, and what the discounts leave is the probability of the one unknown word
 
-The sums over the continuations of a context need each n-gram type once: the partition names one block its owner,
-owners add up their types by context, and a second exchange, a level at a time, gives the weights. If discounts
-leave nothing to a context (all its counts above 5), its counts are divided by c(h) + 1. If counts of counts give no
-valid Good-Turing discount, absolute discounting n1 / (n1 + 2 n2) stands in for it. Every token of a text, its end
-included, is evaluated by this recursion.
+Tables. A level of the model is a table of n-grams: (context, word) -> 64-bit count, and context -> backoff weight. It
+is partitioned by a hash of the context, so a context's counts, the sums over its continuations and its weight need
+no further exchange. Contexts that occur `hot` times or more are partitioned by n-gram instead; their sums are added
+up apart (at most 2^20 such contexts, as `hot` is at least a 2^20th of the tokens, so they can be sent to all tasks).
+Words are numbered by the partition that counts them, and so is every n-gram; an n-gram's key is the number of
+its context and the number of its last word, so only words are hashed, n-grams are exact: two of V words share a
+64-bit hash with probability V^2 / 2^65 (3e-8 for a million words).
+
+Exchange, a level at a time. Texts are packed in blocks of some megabytes. A block sends, by partition, each distinct
+n-gram it holds once, with its count in training texts: so a very common n-gram is an entry a block, not one a token.
+What a lower level has shown not to exist is not asked for. The partition adds up the counts, writes its piece of the
+table and answers each block. There are 256 partitions for each 512 blocks, so up to that size a block is 256
+rows of the exchange and rows grow with the input; beyond it a row is a block's n-grams of one partition,
+never more rows than n-grams. Nothing else is collected but the counts of counts. Shuffle files are removed as soon
+as their level is written.
+
+Every token of a text, its end included, is evaluated by the recursion; `Scorer.score` does so for texts that the model
+has not seen, from the stored tables. If discounts leave nothing to a context (all its counts above 5), its counts are
+divided by c(h) + 1. If counts of counts give no valid Good-Turing discount, absolute discounting n1 / (n1 + 2 n2)
+stands in for it.
 
 Defined results: null texts are empty and consist of the end alone; repeated rows each count; without training rows
 all words are the unknown word of probability 1; an empty table gives no rows; extra columns are ignored.
@@ -33,12 +42,75 @@ from pyspark.sql import functions as F
 from . import common
 
 U64 = np.uint64
-END, BOS = U64(0xE4D0F7E9A1B2C3D5), U64(0xB056A1C2D3E4F501)
+END = U64(0xE4D0F7E9A1B2C3D5)
 CUT = 5
-TEXT_BYTES = 6 << 20
-BLOCK = "block long, doc_ids array<bigint>, n_tokens binary, held binary, vocab binary, idx binary"
-ASK = "kind int, part int, block long, keys binary, a binary, b binary"
-ANSWER = "kind int, part int, block long, a binary, stats array<bigint>"
+TEXT_BYTES = 10 << 20
+PARTS, BLOCKS_A_ROUND = 256, 512
+HOT = 1 << 16
+UNKNOWN = -1  # of an n-gram; 0 is the beginning of a text, others are numbered from 1
+BLOCK = "block long, doc_ids array<bigint>, held binary, vocab binary, tokens binary"
+ASK = "part int, block long, blob binary"
+ANSWER = "level int, part int, block long, blob binary, stats array<bigint>, hot array<struct<ctx:bigint,n:bigint,n1:bigint,n2:bigint,n3:bigint,n4:bigint,n5:bigint,lower:double>>"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+TABLE, HEAD = -1, -2  # in place of a block's number: a piece of a table; what a piece sends to all
+SUMS = ["n", *[f"n{r}" for r in range(1, CUT + 1)], "lower"]  # of a context: its count, its types by low counts, P of them a level lower
+
+
+def freeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of doubles, or of integers from 0, as one compressed blob; integers as planes of as many bytes as needed."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        width = 0
+        if x.dtype.kind != "f":
+            x = np.ascontiguousarray(x).astype(U64)
+            width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+            x = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+        body.append(x.tobytes())
+        head += [len(body[-1]) // (width or 8), width]
+    raw = b"".join(body)
+    return np.array([*head, len(raw)], np.int64).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def thaw(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    head = np.frombuffer(blob, np.int64, 2 * n + 1, 8).tolist()
+    raw = pa.Codec("zstd").decompress(blob[16 * n + 16:], head[-1], asbytes=True)
+    out, at = [], 0
+    for size, width in zip(head[0:-1:2], head[1:-1:2]):
+        if width:
+            wide = np.zeros((size, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+            out.append(wide.reshape(-1).view(np.int64))
+        else:
+            out.append(np.frombuffer(raw, np.float64, size, at))
+        at += size * (width or 8)
+    return out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values of integers from 0, the first place of each, and each element's value's number."""
+    n, x = len(x), x.view(U64)
+    bits = U64(max(1, n - 1).bit_length())
+    if int(x.max(initial=0)).bit_length() + int(bits) <= 64:  # value and place in one word: sorting needs no second array
+        both = np.sort((x << bits) | np.arange(n, dtype=U64))
+        order, values = (both & ((U64(1) << bits) - U64(1))).astype(np.int64), both >> bits
+    else:
+        order = np.argsort(x, kind="stable")
+        values = x[order]
+    new = np.ones(n, bool)
+    new[1:] = values[1:] != values[:-1]
+    of = np.empty(n, np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return values[first].view(np.int64), order[first], of
+
+
+def by_part(part: np.ndarray) -> np.ndarray:
+    return np.argsort(part.astype(np.uint16 if part.max(initial=0) < 1 << 16 else np.int64), kind="stable")
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (((hashes.view(U64) >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
 def packed(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
@@ -48,20 +120,17 @@ def packed(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids: list = []
-        flags: list = []
-        parts: list = []
+        kept: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
-            tokens = np.concatenate([p[0] for p in parts])
-            vocab, idx = np.unique(tokens, return_inverse=True)
-            out = [pa.array([number], pa.int64()), pa.array([[i for part in ids for i in part.to_pylist()]], pa.list_(pa.int64()))]
-            out += [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate([p[1] for p in parts]).astype(np.int32), np.concatenate(flags), vocab, idx.astype(np.int32))]
+            ids, flags, sizes, tokens = zip(*kept)
+            vocab, _, of = distinct(np.concatenate(tokens))
+            blobs = (freeze(np.concatenate(flags), np.concatenate(sizes)), freeze(np.diff(vocab.view(U64), prepend=U64(0))), freeze(of))
+            out = [pa.array([number], pa.int64()), pa.array([[i for x in ids for i in x.to_pylist()]], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in blobs]]
             number, size = number + 1, 0
-            for kept in (ids, flags, parts):
-                kept.clear()
+            kept.clear()
             return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in found:
@@ -73,104 +142,36 @@ def packed(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
                 inner = np.ones(len(tokens), bool)
                 inner[ends] = False
                 tokens[ends], tokens[inner] = END, words
-                ids.append(part.column(0))
-                flags.append(np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool))
-                parts.append((tokens, np.diff(at) + 1))
+                kept.append((part.column(0), np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool), np.diff(at) + 1, tokens))
                 size += part.column(1).nbytes
                 if size >= TEXT_BYTES:
                     yield flush()
-        if parts:
+        if kept:
             yield flush()
 
-    return common.materialise(docs.select(F.col("doc_id").cast("long"), F.col(text), held).mapInArrow(run, BLOCK))
-
-
-class Block:
-    """The tokens of a block and, by kind, its distinct keys: kind n for n-grams, -n for contexts of n-grams (weights)."""
-
-    def __init__(self, row: dict, order: int):
-        self.number, self.order, self.ids = row["block"], order, row["doc_ids"]
-        self.n = np.frombuffer(row["n_tokens"], np.int32)
-        self.held = np.frombuffer(row["held"], bool)
-        tokens = np.frombuffer(row["vocab"], U64)[np.frombuffer(row["idx"], np.int32)]
-        self.train = np.repeat(~self.held, self.n)
-        self.at = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
-        self.keys: dict[int, np.ndarray] = {}
-        self.of: dict[int, np.ndarray] = {}
-        place = np.arange(len(tokens)) - np.repeat(self.at[:-1], self.n)
-        before = np.zeros(len(tokens), U64)
-        with np.errstate(over="ignore"):
-            for n in range(1, order + 1):
-                gram = tokens if n == 1 else common.mix(before * common.BASE + tokens + U64(n))
-                self._add(n, gram)
-                if n > 1:
-                    self._add(-n, common.mix(before + U64(n)))
-                back = np.full(len(tokens), BOS)
-                back[place >= n] = tokens[np.flatnonzero(place >= n) - n]
-                before = before * common.INVERSE + common.mix(back)
-
-    def _add(self, kind: int, each: np.ndarray) -> None:
-        self.keys[kind], self.of[kind] = np.unique(each, return_inverse=True)
-
-    def cuts(self, kind: int, parts: int) -> np.ndarray:
-        """Where the sorted keys of each partition begin and end: partitions are ranges of the keys' first 16 bits."""
-        part = ((self.keys[kind] >> U64(48)) * U64(parts)) >> U64(16)
-        return np.searchsorted(part, np.arange(parts + 1, dtype=U64))
-
-    def asks(self, kind: int, parts: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
-        cut = self.cuts(kind, parts)
-        some = np.flatnonzero(np.diff(cut))
-        blob = lambda x: pa.array([b"" if x is None else x[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary())
-        fixed = lambda v, t: pa.array(np.full(len(some), v), t)
-        return pa.RecordBatch.from_arrays([fixed(kind, pa.int32()), pa.array(some, pa.int32()), fixed(self.number, pa.int64()), blob(self.keys[kind]), blob(a), blob(b)], [c.split()[0] for c in ASK.split(", ")])
-
-    def take(self, answers: list[dict], weights: dict | None) -> None:
-        """The answers of all partitions, in key order: counts (negative: this block owns the type) or weights."""
-        self.count, self.owner, self.weight = {}, {}, {}
-        for kind in range(1, self.order + 1):
-            got = sorted((x["part"], x["a"]) for x in answers if x["kind"] == kind)
-            total = np.frombuffer(b"".join(x for _, x in got), np.int32)
-            self.count[kind], self.owner[kind] = np.abs(total).astype(np.int64), total < 0
-        for kind in {x["kind"] for x in weights or ()}:
-            self.weight[kind] = np.frombuffer(b"".join(x for _, x in sorted((x["part"], x["a"]) for x in weights if x["kind"] == kind)), np.float64)
-
-    def known(self, n: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: the count of its n-gram, that n-gram's discounted share of its context, the context's count."""
-        c = self.count[n][self.of[n]]
-        # A context counts as often as the shorter n-gram that it is; at a text's beginning, as often as there are texts.
-        total = np.empty_like(c)
-        total[1:] = self.count[n - 1][self.of[n - 1]][:-1]
-        total[self.at[:-1]] = self.count[1][self.of[1][self.at[1:] - 1]]
-        share = model.discount(n, c) * c / np.maximum(total, 1)
-        return c, share, total
-
-    def probabilities(self, model: Model, upto: int) -> np.ndarray:
-        """log10 P of each token at level `upto`, by the recursion from unigrams up."""
-        c = self.count[1][self.of[1]]
-        p = np.where(c > 0, model.scale * model.discount(1, c) * c / max(1, model.total), model.unknown)
-        logs = np.log10(p)
-        for n in range(2, upto + 1):
-            c, share, total = self.known(n, model)
-            w = self.weight[-n][self.of[-n]]
-            none_left = w < 0
-            share = np.where(none_left, share * total / (total + 1), share)
-            w = np.where(total == 0, 1.0, np.where(none_left, -w / (total + 1), w))
-            logs = np.where(c > 0, np.log10(np.where(c > 0, share, 1.0)), np.log10(np.maximum(w, 1e-300)) + logs)
-        return logs
+    return common.materialise(docs.select(F.col("doc_id").cast("long"), F.col(text), held).mapInArrow(run, BLOCK), "uncompressed")
 
 
 class Model:
-    """What all blocks share: the number of training tokens and counts of counts."""
-
-    def __init__(self, stats: dict[int, list[int]], order: int):
-        self.stats, self.order = stats, order
-        self.types, self.total = stats[1][0], stats[1][1]
-        self.table = {n: self._discounts(stats[n][2:]) for n in range(1, order + 1)}
-        left = sum((1 - self.table[1][r]) * r * stats[1][1 + r] for r in range(1, CUT + 1)) / max(1, self.total)
-        self.unknown = left if left > 0 else 1 / (self.total + 1)
-        self.scale = 1.0 if left > 0 else 1 - self.unknown
-        if self.total == 0:
-            self.unknown = 1.0
+    """What all blocks share: counts of counts by level, and the weights of hot contexts."""
+
+    def __init__(self, order: int, parts: int):
+        self.order, self.parts, self.total, self.texts, self.types = order, parts, 0, 0, 0
+        self.unknown, self.scale, self.hot_from = 1.0, 1.0, HOT
+        self.discounts: dict[int, np.ndarray] = {}
+        self.hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def counted(self, level: int, stats: list[int]) -> None:
+        """Takes a level's number of types, of tokens, of types seen 1 to CUT + 1 times, and of texts."""
+        self.discounts[level] = self._discounts(stats[2:CUT + 3])
+        if level == 1:
+            self.types, self.total, self.texts = stats[0], stats[1], stats[-1]
+            self.hot_from = max(HOT, self.total >> 20)
+            left = sum((1 - self.discounts[1][r]) * r * stats[1 + r] for r in range(1, CUT + 1)) / max(1, self.total)
+            self.unknown = left if left > 0 else 1 / (self.total + 1)
+            self.scale = 1.0 if left > 0 else 1 - self.unknown
+            if self.total == 0:
+                self.unknown = 1.0
 
     @staticmethod
     def _discounts(n: list[int]) -> np.ndarray:
@@ -185,111 +186,329 @@ class Model:
             d[r] = x if 0 < x < 1 else (r - min(absolute, 0.9)) / r
         return d
 
-    def discount(self, n: int, c: np.ndarray) -> np.ndarray:
-        return self.table[n][np.minimum(c, CUT + 1)]
-
-
-def _sum_counts(key: tuple, t: pa.Table) -> pa.Table:
-    """One partition of one kind: totals by key, an owner for each type, and counts of counts."""
-    rows = t.to_pylist()
-    sizes = [len(r["keys"]) // 8 for r in rows]
-    keys = np.concatenate([np.frombuffer(r["keys"], U64) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["a"], np.int32) for r in rows]).astype(np.int64)
-    unique, of = np.unique(keys, return_inverse=True)
-    total = np.bincount(of, counts, len(unique)).astype(np.int64)
-    has = np.flatnonzero(counts)
-    first = np.full(len(unique), -1)
-    first[of[has][::-1]] = has[::-1]
-    answer = total[of]
-    answer[first[first >= 0]] *= -1
-    answer = np.clip(answer, -(2**31 - 1), 2**31 - 1).astype(np.int32)
-    at = np.cumsum([0, *sizes])
-    stats = [int((total > 0).sum()), int(total.sum()), *[int((total == r).sum()) for r in range(1, CUT + 2)]]
-    n = len(rows)
-    return pa.table([pa.array([key[0].as_py()] * (n + 1), pa.int32()), pa.array([key[1].as_py()] * (n + 1), pa.int32()), pa.array([*[r["block"] for r in rows], -1], pa.int64()), pa.array([*[answer[at[i]:at[i + 1]].tobytes() for i in range(n)], b""], pa.binary()), pa.array([*[None] * n, stats], pa.list_(pa.int64()))], [c.split()[0] for c in ANSWER.split(", ")])
-
-
-def _sum_weights(key: tuple, t: pa.Table) -> pa.Table:
-    """One partition of contexts: the backoff weight of each; negative 1 / (1 - lower) if no mass is left."""
-    rows = t.to_pylist()
-    at = np.cumsum([0, *[len(r["keys"]) // 8 for r in rows]])
-    unique, of = np.unique(np.concatenate([np.frombuffer(r["keys"], U64) for r in rows]), return_inverse=True)
-    kept, lower = (np.bincount(of, np.concatenate([np.frombuffer(r[c], np.float64) for r in rows]), len(unique)) for c in ("a", "b"))
-    rest = np.maximum(1 - lower, 1e-12)
-    weight = np.where(1 - kept < 1e-9, -1 / rest, (1 - kept) / rest)[of]
-    n = len(rows)
-    return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array([weight[at[i]:at[i + 1]].tobytes() for i in range(n)], pa.binary()), pa.array([None] * n, pa.list_(pa.int64()))], [c.split()[0] for c in ANSWER.split(", ")])
+    def kept(self, level: int, c: np.ndarray) -> np.ndarray:
+        return self.discounts[level][np.minimum(c, CUT + 1)] * c
 
+    def seen(self, level: int, c: np.ndarray, total: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """P of seen n-grams from their counts, their contexts' counts and whether discounts leave nothing to them."""
+        if level == 1:
+            return self.scale * self.kept(1, c) / max(1, self.total)
+        return self.kept(level, c) / np.maximum(1, np.where(full, total + 1, total))
 
-class Scorer:
-    """Fits on the blocks' training texts and scores all their texts."""
+    def weight(self, level: int, n: np.ndarray, few: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backoff weights of contexts, and whether their discounts leave nothing, from their sums (few: n1 to n5)."""
+        left = few @ ((1 - self.discounts[level][1:CUT + 1]) * np.arange(1, CUT + 1))
+        return np.where(left > 0, left / np.maximum(1, n), 1 / (n + 1)) / np.maximum(1 - lower, 1e-12), left <= 0
 
-    def __init__(self, blocks: DataFrame, order: int = 2):
-        self.blocks, self.order = blocks, order
-        self.parts = parts = int(min(65_536, max(4, blocks.count() // 2)))
 
-        def ask(b: Block) -> Iterator[pa.RecordBatch]:
-            for kind in range(1, b.order + 1):
-                yield b.asks(kind, parts, np.bincount(b.of[kind][b.train], minlength=len(b.keys[kind])).astype(np.int32))
-
-        asked = blocks.mapInArrow(self._over(ask), ASK)
-        self.counts = common.materialise(asked.groupBy("kind", "part").applyInArrow(_sum_counts, ANSWER))
-        del asked
-        common.release(blocks.sparkSession)
-        sums = self.counts.filter("block = -1 and kind > 0").select("kind", F.posexplode("stats").alias("i", "x")).groupBy("kind", "i").agg(F.sum("x").alias("x")).collect()
-        stats = {n: [0] * (CUT + 3) for n in range(1, order + 1)}
-        for r in sums:
-            stats[r["kind"]][r["i"]] = int(r["x"])
-        self.model = Model(stats, order)
-        self.weights: DataFrame | None = None
-        for n in range(2, order + 1):
-            self._level(n)
-
-    def _over(self, work, order: int | None = None):
-        order = order or self.order
+class Block:
+    """The tokens of a block and what has been answered: by level, each token's n-gram's number and count, its context's
+    count, whether discounts leave nothing to the context, and the context's weight."""
+
+    def __init__(self, row: dict, model: Model, learn: bool):
+        self.number, self.model, self.ids = row["block"], model, row["doc_ids"]
+        held, self.n = thaw(row["held"])
+        self.held = held.astype(bool)
+        self.tokens = thaw(row["tokens"])[0]
+        self.vocab = np.cumsum(thaw(row["vocab"])[0].view(U64), dtype=U64) if row.get("vocab") is not None else None
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[self.at[:-1]] = True
+        self.train = np.repeat(~self.held & learn, self.n)
+        self.key, self.count, self.total, self.full, self.weight = {}, {}, {}, {}, {}
+
+    def _before(self, x: np.ndarray, at_start) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = at_start
+        return out
+
+    def words(self) -> Iterator[tuple[int, bytes]]:
+        """(partition, blob): word hashes and their counts in training texts."""
+        counts = np.bincount(self.tokens[self.train], minlength=len(self.vocab))
+        cut = np.searchsorted(part_of(self.vocab, self.model.parts), np.arange(self.model.parts + 1))
+        for p in np.flatnonzero(np.diff(cut)):
+            some = slice(cut[p], cut[p + 1])
+            yield int(p), freeze(np.diff(self.vocab[some], prepend=U64(0)), counts[some])
+
+    def take_words(self, answers: list[tuple[int, bytes]]) -> None:
+        got = [(p, *thaw(b)) for p, b in answers]
+        rank, count = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in (1, 2))
+        part = np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)
+        self.key[1] = numbered(rank, part, self.model.parts)[self.tokens]
+        self.count[1] = count[self.tokens]
+
+    def grams(self, level: int) -> None:
+        """The distinct n-grams of a level whose context and shorter n-gram are known, sorted by partition, context and word;
+        word 0 stands for all others of a context, whose weight is asked for only."""
+        m = self.model
+        h = self._before(self.key[level - 1], 0)
+        self.total[level] = np.where(h >= 0, self._before(self.count[level - 1], m.texts), 0)
+        self.some = np.flatnonzero(h >= 0)
+        ctx, ctx_first, ctx_of = distinct(h[self.some])
+        word, _, word_of = distinct(np.where(self.key[level - 1] >= 0, self.key[1], 0)[self.some])
+        gram, first, of = distinct(ctx_of * max(1, len(word)) + word_of)
+        at, w = gram // max(1, len(word)), word[gram % max(1, len(word))]
+        with np.errstate(over="ignore"):
+            where = common.mix(ctx.view(U64) + U64(level))
+            self.hot = self.total[level][self.some][ctx_first] >= m.hot_from
+            where = np.where(self.hot[at], common.mix(where[at] * common.BASE + w.view(U64)), where[at])
+        part = part_of(where, m.parts)
+        self.order = by_part(part)
+        self.of, self.grams_first, self.ctx, self.ctx_of, self.ctx_first = of, first, ctx, ctx_of, ctx_first
+        self.gram_ctx, self.gram_word, part = at[self.order], w[self.order], part[self.order]
+        new = np.ones(len(part), bool)
+        new[1:] = (self.gram_ctx[1:] != self.gram_ctx[:-1]) | (part[1:] != part[:-1])
+        self.run = np.flatnonzero(new)  # a run is a context's n-grams in a partition
+        self.part = part
+        need = np.bincount(ctx_of, ~self.train[self.some], len(ctx)) > 0
+        self.need = need & ~self.hot
+
+    def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
+        self.grams(level)
+        pick = lambda x: x[self.some]
+        counts = np.bincount(self.of, pick(self.train), len(self.grams_first)).astype(np.int64)[self.order]
+        lower = pick(self.count[level - 1])[self.grams_first][self.order]
+        cx = self.gram_ctx[self.run]
+        if level > 2:
+            lower_total, lower_full = (pick(x)[self.ctx_first][cx] for x in (self.total[level - 1], self.full[level - 1]))
+        else:
+            lower_total = lower_full = np.zeros(len(cx), np.int64)
+        ctx, hot, need = self.ctx[cx], self.hot[cx], self.need[cx]
+        size = np.diff(self.run, append=len(self.part))
+        cut = np.searchsorted(self.part, np.arange(self.model.parts + 1))
+        runs = np.searchsorted(self.run, cut)
+        for p in np.flatnonzero(np.diff(cut)):
+            c, g = slice(runs[p], runs[p + 1]), slice(cut[p], cut[p + 1])
+            yield int(p), freeze(np.diff(ctx[c], prepend=0), size[c], lower_total[c], lower_full[c] + 2 * hot[c] + 4 * need[c], self.gram_word[g], counts[g], lower[g])
+
+    def take(self, level: int, answers: list[tuple[int, bytes]]) -> None:
+        self.grams(level)
+        got = [thaw(b) for _, b in answers]
+        cat = lambda k, kind: np.concatenate([np.zeros(0, kind), *[g[k] for g in got]])
+        key, count = np.empty(len(self.part), np.int64), np.empty(len(self.part), np.int64)
+        key[self.order], count[self.order] = numbered(cat(0, np.int64), self.part, self.model.parts), cat(1, np.int64)
+        cx = self.gram_ctx[self.run]
+        full, weight = np.zeros(len(self.ctx), bool), np.ones(len(self.ctx))
+        full[cx] = cat(2, np.int64).astype(bool) | (self.model.discounts[level][1:] >= 1).all()
+        asked = cx[self.need[cx]]
+        weight[asked], _ = self.model.weight(level, self.total[level][self.some][self.ctx_first[asked]], cat(3, np.int64).reshape(-1, CUT), cat(4, np.float64))
+        if self.hot.any():
+            ids, w, f = self.model.hot[level]
+            at = np.searchsorted(ids, self.ctx[self.hot])
+            full[self.hot], weight[self.hot] = f[at], w[at]
+
+        def spread(values: np.ndarray, of: np.ndarray, other) -> np.ndarray:
+            out = np.full(len(self.tokens), other, values.dtype)
+            out[self.some] = values[of]
+            return out
+
+        self.key[level], self.count[level] = spread(key, self.of, UNKNOWN), spread(count, self.of, 0)
+        self.full[level], self.weight[level] = spread(full, self.ctx_of, False), spread(weight, self.ctx_of, 1.0)
+
+    def probabilities(self) -> np.ndarray:
+        """log10 P of each token, by the recursion from words up."""
+        m, c = self.model, self.count[1]
+        logs = np.log10(np.where(c > 0, m.seen(1, c, c, c), m.unknown))
+        for n in range(2, m.order + 1):
+            c = self.count[n]
+            share = m.seen(n, c, self.total[n], self.full[n])
+            logs = np.where(c > 0, np.log10(np.where(c > 0, share, 1.0)), np.log10(np.maximum(self.weight[n], 1e-300)) + logs)
+        return logs
+
+    def scores(self) -> pa.RecordBatch:
+        m, c = self.model, self.count[1]
+        base = np.log10((c + 0.1) / (m.total + 0.1 * (m.types + 1)))
+        add = lambda x: np.add.reduceat(x, self.at[:-1])
+        columns = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.n), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(self.n), m.total, np.int64)), pa.array(add(base)), pa.array(add(self.probabilities()))]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
+
+
+def numbered(rank: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """The number of the n-gram of a rank (from 1) in its partition: unique over all, known without a further pass."""
+    return np.where(rank > 0, (rank - 1) * parts + part + 1, UNKNOWN)
+
+
+def _few(at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """By context, the numbers of types seen 1 to CUT times."""
+    low = count <= CUT
+    return np.bincount(at[low] * CUT + count[low] - 1, minlength=n * CUT).reshape(n, CUT)
+
+
+def _stats(count: np.ndarray, texts: int = 0) -> list[int]:
+    return [int((count > 0).sum()), int(count.sum()), *[int((count == r).sum()) for r in range(1, CUT + 2)], texts]
+
+
+def _answer_rows(level: int, part: int, blocks: list[int], blobs: list[bytes], table: bytes | None, stats: list[int] | None, hot: list[dict] | None) -> pa.Table:
+    blocks, blobs, more = list(blocks), list(blobs), [None] * len(blobs)
+    if table is not None:
+        blocks, blobs, more = [*blocks, TABLE, HEAD], [*blobs, table, b""], [*more, None, (stats, hot)]
+    names = [c.split()[0] for c in ANSWER.split(", ", 5)]
+    hot_type = pa.list_(pa.struct([(c, pa.float64() if c == "lower" else pa.int64()) for c in ("ctx", *SUMS)]))
+    return pa.table([pa.array([level] * len(blocks), pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary()), pa.array([x and x[0] for x in more], pa.list_(pa.int64())), pa.array([x and x[1] for x in more], hot_type)], names)
+
+
+def _split(t: pa.Table) -> tuple[int, list[int], list[bytes], bytes | None]:
+    """A group of asks, and the stored piece of the table if there is one."""
+    rows = list(zip(t.column("block").to_pylist(), t.column("blob").to_pylist()))
+    asks = [r for r in rows if r[0] >= 0]
+    return t.column("part")[0].as_py(), [b for b, _ in asks], [x for _, x in asks], next((x for b, x in rows if b == TABLE), None)
+
+
+def _count_words(t: pa.Table) -> pa.Table:
+    """A partition of words: their counts and numbers, from asks alone or from the stored piece."""
+    part, blocks, blobs, stored = _split(t)
+    asks = [thaw(x) for x in blobs]
+    hashes = [np.cumsum(a[0].view(U64), dtype=U64) for a in asks]
+    if stored is None:
+        every, _, of = distinct(np.concatenate([np.zeros(0, U64), *hashes]))
+        total = np.bincount(of, np.concatenate([np.zeros(0), *[a[1] for a in asks]]), len(every)).astype(np.int64)
+        known, total = every.view(U64)[total > 0], total[total > 0]
+        table = freeze(np.diff(known, prepend=U64(0)), total)
+        ends = total[known == END]
+        stats = _stats(total, int(ends[0]) if len(ends) else 0)
+    else:
+        known, total = thaw(stored)
+        known, table, stats = np.cumsum(known.view(U64), dtype=U64), None, None
+    out = []
+    for h in hashes:
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+        out.append(freeze(np.where(hit, at + 1, 0), np.where(hit, total[at], 0) if len(known) else np.zeros(len(h), np.int64)))
+    return _answer_rows(1, part, blocks, out, table, stats, [])
+
+
+def _count_grams(t: pa.Table, level: int, model: Model) -> pa.Table:
+    """A partition of n-grams: their counts and numbers, their contexts' weights, and the partial sums of hot contexts."""
+    part, blocks, blobs, stored = _split(t)
+    asks = [thaw(x) for x in blobs]
+    cat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+    ctx = cat(np.cumsum(a[0]) for a in asks)
+    flags = cat(a[3] for a in asks)
+    size, word = cat(a[1] for a in asks), cat(a[4] for a in asks)
+    if stored is None:
+        ctxs, ctx_first, ctx_of = distinct(ctx)
+        of_entry = np.repeat(ctx_of, size)
+        words, _, word_of = distinct(word)
+        gram, first, of = distinct(of_entry * max(1, len(words)) + word_of)
+        total = np.bincount(of, cat(a[5] for a in asks), len(gram)).astype(np.int64)
+        seen = total > 0
+        gram, first, count = gram[seen], first[seen], total[seen]
+        at = gram // max(1, len(words))
+        entry_run = np.repeat(np.arange(len(ctx)), size)[first]
+        lower = model.seen(level - 1, cat(a[6] for a in asks)[first], cat(a[2] for a in asks)[entry_run], (flags[entry_run] & 1) > 0)
+        n, few, low = np.bincount(at, count, len(ctxs)).astype(np.int64), _few(at, count, len(ctxs)), np.bincount(at, lower, len(ctxs))
+        partial = [dict(zip(["ctx", *SUMS], [int(ctxs[i]), int(n[i]), *few[i].tolist(), float(low[i])])) for i in np.flatnonzero((flags[ctx_first] & 2) > 0)]
+        ranks = np.where(seen, np.cumsum(seen), 0)
+        table = freeze(np.diff(ctxs, prepend=0), np.bincount(at, minlength=len(ctxs)), words[gram % max(1, len(words))], count, low)
+        stats = _stats(count)
+        rank, got = ranks[of], total[of]
+    else:
+        ctxs, sizes, known, count, low = thaw(stored)
+        ctxs, table, stats, partial = np.cumsum(ctxs), None, None, None
+        ctx_of = np.minimum(np.searchsorted(ctxs, ctx), max(0, len(ctxs) - 1))
+        hit = ctxs[ctx_of] == ctx if len(ctxs) else np.zeros(len(ctx), bool)
+        words, _, word_of = distinct(np.concatenate([known, word]))
+        at = np.repeat(np.arange(len(ctxs)), sizes)
+        few = _few(at, count, len(ctxs))
+        keys = at * max(1, len(words)) + word_of[:len(known)]
+        mine = np.where(np.repeat(hit, size), np.repeat(ctx_of, size) * max(1, len(words)) + word_of[len(known):], -1)
+        at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+        found = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
+        rank, got = np.where(found, at + 1, 0), np.where(found, count[at], 0) if len(keys) else np.zeros(len(mine), np.int64)
+        few, low = np.concatenate([few, np.zeros((1, CUT), np.int64)]), np.append(low, 0.0)
+        ctx_of = np.where(hit, ctx_of, len(low) - 1)
+    out, run, entry = [], 0, 0
+    for a in asks:
+        c, e = slice(run, run + len(a[0])), slice(entry, entry + len(a[4]))
+        run, entry = c.stop, e.stop
+        need = (flags[c] & 4) > 0
+        out.append(freeze(rank[e] if level < model.order else np.zeros(len(a[4]), np.int64), got[e], few[ctx_of[c]].sum(axis=1) == 0, few[ctx_of[c]][need].reshape(-1), low[ctx_of[c]][need]))
+    return _answer_rows(level, part, blocks, out, table, stats, partial)
+
+
+class Scorer:
+    """Learns from the blocks' training texts; `scores` are those of all their texts, `score` those of any other blocks.
+
+    `tables` holds the model: a row a level and partition, in the shared folder.
+    """
+
+    def __init__(self, blocks: DataFrame, order: int = 3, parts: int = PARTS):
+        self.blocks, self.spark = blocks, blocks.sparkSession
+        self.model = Model(order, parts * max(1, -(-blocks.count() // BLOCKS_A_ROUND)))
+        self.tables: DataFrame | None = None
+        self._answers: DataFrame | None = None
+        for level in range(1, order + 1):
+            got = self._exchange(blocks, self._answers, level, True)
+            piece = got.filter(F.col("block") == TABLE).select("level", "part", "block", "blob")
+            self.tables = piece if self.tables is None else self.tables.unionByName(piece)
+            self._answers = self._joined(self._answers, got)
+            self._learn(level, got.filter(F.col("block") == HEAD))
+
+    def _learn(self, level: int, heads: DataFrame) -> None:
+        rows = heads.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row a statistic
+        stats = [0] * (CUT + 4)
+        for r in rows:
+            stats[r["i"]] = int(r["x"])
+        hot = heads.select(F.explode("hot").alias("h")).groupBy("h.ctx").agg(*[F.sum(f"h.{c}").alias(c) for c in SUMS])
+        hot = np.array(sorted(map(tuple, hot.collect())), object).reshape(-1, CUT + 3)  # 2^20 contexts at most
+        self.model.counted(level, stats)
+        self.model.hot[level] = (hot[:, 0].astype(np.int64), *self.model.weight(level, hot[:, 1].astype(float), hot[:, 2:-1].astype(float), hot[:, -1].astype(float)))
+
+    @staticmethod
+    def _joined(answers: DataFrame | None, got: DataFrame) -> DataFrame:
+        got = got.filter(F.col("block") >= 0).select("level", "part", "block", "blob")
+        return got if answers is None else answers.unionByName(got)
+
+    def _over(self, blocks: DataFrame, answers: DataFrame | None, work, schema: str, upto: int, learn: bool) -> DataFrame:
+        """Maps blocks, with all their answers so far, by work(block)."""
+        if answers is None:
+            rows = blocks
+        else:
+            mine = answers.groupBy("block").agg(F.collect_list(F.struct("level", "part", "blob")).alias("answers"))
+            rows = blocks.drop("vocab").join(mine, "block")
+        model = self.spark.sparkContext.broadcast(self.model)
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in found:
                 for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    b = Block(row, order)
-                    if "answers" in row:
-                        b.take(row["answers"], row.get("weights"))
+                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "answers"}
+                    b = Block(row, model.value, learn)
+                    if "answers" in batch.schema.names:
+                        listed = batch.column("answers")[i].values
+                        levels, parts, blobs = (listed.field(c) for c in ("level", "part", "blob"))
+                        order = np.lexsort((parts.to_numpy(), levels.to_numpy()))
+                        for level in range(1, upto):
+                            mine = [(parts[k].as_py(), blobs[k].as_py()) for k in order.tolist() if levels[k].as_py() == level]
+                            b.take_words(mine) if level == 1 else b.take(level, mine)
                     yield from work(b)
 
-        return run
-
-    def _answered(self, order: int) -> DataFrame:
-        gather = lambda t, name: t.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "a")).alias(name))
-        out = self.blocks.join(gather(self.counts.filter(F.col("kind") <= order), "answers"), "block")
-        return out if self.weights is None else out.join(gather(self.weights, "weights"), "block")
-
-    def _level(self, n: int) -> None:
-        model, parts = self.model, self.parts
+        return rows.mapInArrow(run, schema)
 
+    def _exchange(self, blocks: DataFrame, answers: DataFrame | None, level: int, learn: bool) -> DataFrame:
         def ask(b: Block) -> Iterator[pa.RecordBatch]:
-            c, share, _ = b.known(n, model)
-            lower = 10.0 ** b.probabilities(model, n - 1)
-            _, first = np.unique(b.of[n], return_index=True)
-            own = first[b.owner[n]]
-            size = len(b.keys[-n])
-            yield b.asks(-n, parts, np.bincount(b.of[-n][own], share[own], size), np.bincount(b.of[-n][own], lower[own], size))
+            for part, blob in b.words() if level == 1 else b.ask(level):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b.number], pa.int64()), pa.array([blob], pa.binary())], ["part", "block", "blob"])
 
-        got = common.materialise(self._answered(n).mapInArrow(self._over(ask, n), ASK).groupBy("kind", "part").applyInArrow(_sum_weights, ANSWER))
-        self.weights = got if self.weights is None else self.weights.unionByName(got)
-        common.release(got.sparkSession)
+        asked = self._over(blocks, answers, ask, ASK, level, learn)
+        if not learn:
+            asked = asked.unionByName(self.tables.filter(F.col("level") == level).select("part", "block", "blob"))
+        model = self.spark.sparkContext.broadcast(self.model)
 
-    def scores(self) -> DataFrame:
-        model, order = self.model, self.order
+        def count(t: pa.Table) -> pa.Table:
+            return _count_words(t) if level == 1 else _count_grams(t, level, model.value)
 
-        def work(b: Block) -> Iterator[pa.RecordBatch]:
-            c = b.count[1][b.of[1]]
-            base = np.log10((c + 0.1) / (model.total + 0.1 * (model.types + 1)))
-            add = lambda x: np.add.reduceat(x, b.at[:-1])
-            n = len(b.n)
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.n.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(n, model.total, np.int64)), pa.array(add(base)), pa.array(add(b.probabilities(model, order)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return common.materialise(asked.groupBy("part").applyInArrow(count, ANSWER), "uncompressed")
 
-        return self._answered(order).mapInArrow(self._over(work), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def scores(self) -> DataFrame:
+        return self._over(self.blocks, self._answers, lambda b: iter([b.scores()]), SCORES, self.model.order + 1, True)
+
+    def score(self, blocks: DataFrame) -> DataFrame:
+        """Scores of other blocks, from the stored tables."""
+        answers = None
+        for level in range(1, self.model.order + 1):
+            answers = self._joined(answers, self._exchange(blocks, answers, level, False))
+        return self._over(blocks, answers, lambda b: iter([b.scores()]), SCORES, self.model.order + 1, False)
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:

@@ -38,11 +38,12 @@ def test_hashed_words():
     assert common.hashed_words(whole.slice(1))[0].tolist() == common.hashed_words(whole)[0][2:].tolist()
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_katz(spark, order):
+@pytest.mark.parametrize("order,parts,hot", [(2, 5, 1 << 16), (3, 256, 1 << 16), (3, 7, 3), (4, 3, 2)])
+def test_katz(spark, monkeypatch, order, parts, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
     rows = corpus(3, 60, 40) + ODD[:4] + [(9003, "one", None, "en")]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
-    got = katz.Scorer(katz.packed(df, common.fold("doc_id", 10) == 0), order).scores().collect()
+    got = katz.Scorer(katz.packed(df, common.fold("doc_id", 10) == 0), order, parts).scores().collect()
     toks = [(r[0], (r[1] or "").split() + ["</s>"]) for r in rows]
     is_held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 10 == 0
     grams = {n: Counter() for n in range(1, order + 1)}
@@ -85,6 +86,33 @@ def test_katz(spark, order):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_katz_tables_score_other_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
+    rows = corpus(4, 60, 40)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    held = common.fold("doc_id", 4) == 0
+    model = katz.Scorer(katz.packed(df, held), 3, 7)
+    want = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in model.scores().collect()}
+    # Texts that it learned from or held out, in other blocks and as texts to score: the same from the tables alone.
+    got = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in model.score(katz.packed(df.coalesce(1), F.lit(False))).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    alone = spark.createDataFrame([(1, " ".join(r[1] for r in rows[:3]), "s", "l"), (2, "never seen words", "s", "l"), (3, None, "s", "l")], DOCS)
+    other = {r.doc_id: r for r in model.score(katz.packed(alone, F.lit(True))).collect()}
+    assert other[2].n_known == 1 and other[1].score > other[1].base_score and other[3].n_tokens == 1
+    # A row a level and partition of counts and one of answers a block: linear in blocks.
+    assert model.tables.count() <= 3 * 7 and model._answers.count() <= 3 * 7 * model.blocks.count()
+
+
+def test_frozen_arrays():
+    arrays = [np.zeros(0, np.int64), np.array([0, 1, 2**40]), np.array([True, False]), np.array([0.5, -1.0]), np.array([2**64 - 1], np.uint64)]
+    for x, y in zip(arrays, katz.thaw(katz.freeze(*arrays))):
+        assert (x == (y.view(np.uint64) if x.dtype == np.uint64 else y)).all() and len(x) == len(y)
+    for x in (np.array([5, 2**50, 5, 0]), np.array([2**62, 1, 2**62], np.int64), np.zeros(0, np.int64)):
+        values, first, of = katz.distinct(x)
+        assert (values[of] == x).all() and (x[first] == values).all() and (np.diff(values) > 0).all()
+
+
 def test_katz_query_is_of_order_three(spark, frames):
     path = frames(documents=(corpus(3, 40, 40), DOCS))
     packed = katz.packed(common.table(spark, path, "documents"), common.fold("doc_id", 10) == 0)
