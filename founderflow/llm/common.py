@@ -44,6 +44,14 @@ def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return back
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or if df has a column of that name (in any case) the name with underscores at its end."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what materialise() wrote, once no later step reads it."""
     for df in frames:

@@ -73,23 +73,101 @@ def test_mixing(spark, frames, seed):
     want = plain_targets(size)
     docs = spark.read.parquet(f"{path}/documents.parquet")
     taken = {}
-    for r in mixing.draw(docs).select("source", "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shards").collect():
+    for r in mixing.draw(docs).select("source", "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_draws").collect():
         taken[r.source] = taken.get(r.source, 0) + r.mix_taken
         assert r.mix_target == pytest.approx(want[r.source]) and r.mix_source_size == size[r.source] and 0 <= r.mix_taken <= 3 * r.mix_size
-        assert sum(s.words for s in r.mix_shards) == r.mix_taken
+        assert sum(s.words for s in r.mix_draws) == r.mix_taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= 0.5
     again = mixing.op9_mix_sources(spark, path).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def plain_mix(rows, levels=3):
+    """The tree in plain Python: (doc, copy) -> (shard, words) and each source's quotas, for rows of (id, text, source)."""
+    md5 = lambda *parts: hashlib.md5("|".join(["mix-1", *["" if p is None else str(p) for p in parts]]).encode()).hexdigest()
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    want, units, plan = plain_targets(size), [], {}
+    for s in size:
+        mine = sorted((md5(i), i, len((t or "").split())) for i, t, x in rows if x == s)
+        blocks = sorted({h[:4] for h, _, n in mine if n})
+        quota = int(want[s] + 0.5)
+        copies, rest = divmod(quota, size[s]) if size[s] else (0, 0)
+        plan[s] = mine, blocks, copies, rest
+        upto, seen = 0, 0
+        if rest:
+            for k, b in enumerate(blocks):
+                seen += sum(n for h, _, n in mine if h[:4] == b)
+                if seen >= rest:
+                    upto = k + 1
+                    break
+        units += [(s, i) for i in range(1, copies * len(blocks) + upto + 1)]
+    nodes = {0: units}
+    for level in range(levels):
+        after = {}
+        for node, held in nodes.items():
+            held = sorted(held, key=lambda u: (md5(f"level{level}", u[0], u[1]), u[0] is None, u[0] or "", u[1]))
+            half = -(-len(held) // 2)
+            after[2 * node], after[2 * node + 1] = held[:half], held[half:]
+        nodes = after
+    quotas = {s: [sum(u[0] == s for u in nodes[k]) for k in range(2**levels)] for s in size}
+    out = {}
+    for s, (mine, blocks, copies, rest) in plan.items():
+        ends = [sum(quotas[s][:k + 1]) for k in range(2**levels)]
+        for c in range(1, copies + 2):
+            before = 0
+            for h, i, n in mine:
+                words = n if c <= copies else max(0, min(n, rest - before))
+                before += n
+                if words:
+                    at = (c - 1) * len(blocks) + blocks.index(h[:4]) + 1
+                    out[i, c] = next(k for k, e in enumerate(ends) if e >= at), words
+    return out, quotas
+
+
+def test_mixing_equals_plain_tree(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 60])), rng.choice(["a", "b", None, "tiny"] if i % 9 else ["c"])) for i in range(400)]
+    want, quotas = plain_mix(rows)
+    got, shards = {}, {}
+    for r in mixing.draw(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect():
+        assert quotas[r.source] == (r.mix_quotas or [0] * 8) and len({d.place for d in r.mix_draws}) == len(r.mix_draws)
+        for c, d in enumerate(r.mix_draws, 1):
+            got[r.doc_id, c] = d.shard, d.words
+            shards[d.shard] = shards.get(d.shard, 0) + d.words
+    assert got == want and len(shards) == 8
+    assert all(max(q) - min(q) <= sum(q) for q in quotas.values()) and max(sum(q[k] for q in quotas.values()) for k in range(8)) - min(sum(q[k] for q in quotas.values()) for k in range(8)) <= 3
+
+
+def test_mixing_sql(spark, frames):
+    import duckdb
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 60])), rng.choice(["a", "b", "é", None]), "x") for i in range(200)] + [(5, "w w w", "a", "x"), (None, None, None, None), (900, "", "none", "x")]
+    path = frames(documents=(rows, DOCS))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.OP9_SQL).fetchall()
+    got = mixing.op9_mix_sources(spark, path)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    assert [c[0] for c in con.description] == got.columns
+
+
 def test_mixing_shards_and_empty(spark, frames):
     docs = spark.createDataFrame([(i, "a b c", f"s{i % 4}", "x") for i in range(4000)], DOCS)
-    per = {(r.source, r.mix_shard): r.n for r in mixing.mixed(docs).groupBy("source", "mix_shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert len({k for _, k in per}) == 8 and max(per.values()) < 8 * min(per.values())
+    rows = mixing.mixed(docs).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.mix_shard, []).append(r)
+    sizes = [sum(r.mix_words for r in x) for x in per.values()]
+    assert len(per) == 8 and max(sizes) < 1.1 * min(sizes)
+    assert len({(r.doc_id, r.mix_place) for r in rows}) == len(rows)  # disjoint: a draw is in one shard
     assert mixing.op9_mix_sources(spark, frames(documents=([], DOCS))).count() == 0
-    clash = docs.limit(3).select("doc_id", "text", "source", F.lit(1).alias("size"), F.lit(2).alias("target"), F.lit(3).alias("block"), F.lit(4).alias("w"), F.lit(5).alias("group"))
-    assert mixing.mixed(clash).count() >= 1
+    clash = docs.limit(3).select("doc_id", "text", "source", *[F.lit(k).alias(c) for k, c in enumerate(["size", "target", "block", "w", "group", "mix_size", "MIX_DRAWS", "mix_words", "row", "hash", "range"])])
+    first = mixing.mixed(clash).first()
+    assert first["mix_size"] == 5 and first["MIX_DRAWS"] == 6 and first["mix_words"] == 7 and first["mix_words_"] == 3 and first["mix_shard"] < 8
 
 
 @pytest.fixture(scope="module")
