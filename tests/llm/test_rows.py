@@ -175,37 +175,68 @@ def library():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(P.path("word_bpe_49k.json")), tokencount.counter(P.path("word_bpe_49k.json"))
+    return Tokenizer.from_file(P.path("word_bpe_49k.json")), tokencount.Counter(P.path("word_bpe_49k.json")).compile()
 
 
 def test_tokens_equal_library(library):
     theirs, ours = library
     rng = random.Random(4)
     alphabet = "abcdeſtionghé ß'ßщ中1².,!<|>\n\tΣİ́ͅ"
-    texts = ["", "a", "İstanbul ΣΑΣ Σ", "it's we'll they'LL", "<|endoftext|>hi<|startoftext|> there", "日本語 テキスト", "😀 !!??..", "x" * 300, "１２3 ½ naïve"]
+    texts = ["", "a", "İstanbul ΣΑΣ Σ", "it's we'll they'LL", "<|endoftext|>hi<|startoftext|> there", "日本語 テキスト", "😀 !!??..", "x" * 300, "１２3 ½ naïve", "a\x1cb\u2000c\x85d"]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(600)]
     texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 40))) for _ in range(600)]
-    for t in texts:
-        n = len(theirs.encode(t, add_special_tokens=False).ids)
-        for chunk in (3, 11, tokencount.CHUNK):
-            assert ours.count(t, chunk) == n, t
+    texts += ["ab" * 40, "".join(rng.choice("ab") for _ in range(400)), "aaab" * 70, "\u0301x", "  \n "]
+    want = [len(theirs.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk in (1, 3, 11, tokencount.CHUNK):
+        assert ours.counts(texts, chunk).tolist() == want
+    assert ours.counts([None, "a", None]).tolist() == [0, 1, 0] and ours.counts([]).tolist() == []
 
 
-def test_state_maps_compose(library):
-    _, ours = library
-    text = ours.normal("The quick  brown fox's tail, unbelievably long: supercalifragilistic " * 5)
-    for cut in (1, 4, 9):
-        maps = [ours.state_map(text[i:i + cut]) for i in range(0, len(text), cut)]
-        scanned = ours.scan(maps)
-        for k, m in enumerate(scanned):
-            assert ours.total(m) == ours.plain(text[:(k + 1) * cut])
+@pytest.mark.parametrize("text", ["x" * 5_000_000, "ab" * 1_000_000, "".join(random.Random(1).choice("abcdef") for _ in range(300_000)), "word " * 400_000])
+def test_tokens_of_long_texts(library, text):
+    theirs, ours = library
+    assert ours.count(text) == len(theirs.encode(text, add_special_tokens=False).ids)
+
+
+def test_compatible_equals_merging(library):
+    machine, rng = library[1].machine, random.Random(2)
+    tokens = [t for t in machine.parts if ord(t[-1]) < 256]
+    short = [t for t in tokens if len(t) < 4]
+    assert machine.ordered
+    for _ in range(4000):
+        a, b = rng.choice(short), rng.choice(rng.choice((short, tokens)))
+        assert machine.compatible(a, b) == (machine.merge([*a, *b]) == [a, b])
+
+
+def test_scan_composes_maps():
+    rng = __import__("numpy").random.default_rng(1)
+    to, count = rng.integers(0, 4, (37, 4)), rng.integers(-2, 5, (37, 4))
+    got, total = tokencount.scan(to, count)
+    for entry in range(4):
+        at, n = entry, 0
+        for k in range(37):
+            n, at = n + count[k, at], to[k, at]
+            assert (got[k, entry], total[k, entry]) == (at, n)
+
+
+def test_states_are_dropped(library):
+    theirs, _ = library
+    ours = tokencount.Counter(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    ours.machine.most_states = 50
+    rng = random.Random(9)
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20)) for _ in range(3)]
+        assert ours.counts(texts).tolist() == [len(theirs.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_token_query(spark, frames, library):
     rows = [(1, "a b c", "s", "x"), (None, None, "s", "y"), (2, "", "s", None), (2, "word " * 3000, "s", None)]
     got = {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit) for r in tokencount.op7_token_counts(spark, frames(documents=(rows, DOCS))).collect()}
     assert got == {(1, 5): (3, False), (None, 0): (0, False), (2, 0): (0, False), (2, 15000): (3000, True)}
-    assert tokencount.with_counts(spark.createDataFrame([], DOCS), __import__("public_tokenizers").path("word_bpe_49k.json")).count() == 0
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    assert tokencount.with_counts(spark.createDataFrame([], DOCS), path).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_tokens long, N_BYTES long")
+    assert tokencount.with_counts(clash, path).first().asDict() == {"doc_id": 1, "text": "a b", "n_tokens": 7, "N_BYTES": 8, "n_bytes_": 3, "n_tokens_": 2, "over_limit": False}
 
 
 TEXTS = [
