@@ -7,21 +7,27 @@ separators in place; cards keep the first digit and a valid check digit, phones
 top level domain, octets stay in range, keys their prefix; names keep gender, script and letter case. Keys and
 named secrets are taken to their end, however long.
 
-Coreference and distinctness. Replacements are drawn for canonical forms (letters and digits in lower case, so a
-number written in two ways is one entity; given and family names apart, so "Ms Rossi" and "Anna Rossi" agree). Over
-the whole corpus all distinct canonical forms of a kind meet in one table; a candidate is taken only if it is no
-real form of that kind and no other form took it. Losers draw again with the next attempt, so the map is one-to-one.
+Coreference and distinctness. Replacements are drawn for canonical forms: letters and digits in lower case, so a
+number written in two ways is one entity. Given and family names apart, so "Ms Rossi" and "Anna Rossi" agree; a
+possessive 's is no part of a name; a person's gender is looked up over the whole corpus, so "Dr. Alex Foo" is drawn like
+"Mr. Alex Foo" (names met with both genders are drawn as of neither). An address's domain is drawn apart, so addresses of
+one domain stay so. Over the whole corpus all distinct canonical forms of a kind meet in one table; a candidate is
+taken only if it is no real form of that kind and no other form took it. Losers draw again, later draws with more
+characters of the same kind, until all have one: the map is one-to-one however few values a form's length admits. The key is the
+caller's; without it replacements cannot be told.
 
 Texts are rebuilt from the pieces between matches. Only texts with entities are joined to their replacements, by a
 digest of the text, so copies share the work; the rest is a map over rows.
 
 Defined results: null texts stay null, empty ones empty; texts without entities stay as they are, byte by byte;
-repeated rows are each rewritten alike; an empty table gives no rows; extra columns pass through.
+repeated rows are each rewritten alike; an empty table gives no rows; extra columns pass through, and if one is named
+n_entities, the result's name gets an underscore at its end.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +45,7 @@ LATIN = {"onset": ("Bal", "Cor", "Dar", "Fen", "Gal", "Hal", "Jor", "Kel", "Lor"
 CYRILLIC = {"onset": ("Бел", "Вар", "Гор", "Дар", "Зим", "Кор", "Лад", "Мил", "Нор", "Пав", "Рад", "Сав", "Тим", "Фед", "Ход", "Чер"), "middle": ("ан", "ен", "ин", "он", "ар", "ер", "ир", "ор", "ал", "ел", "ил", "ол", "ам", "ем", "им", "ом"), "m": ("слав", "мир", "ий", "ей"), "f": ("а", "ина", "ия", "ана"), "u": ("о", "ко", "ли", "ри"), "family": ("енко", "евич", "ских", "дзе")}
 
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_word = r"\p{Lu}(?:\p{L}|['’\-](?=\p{L})(?!s(?!\p{L})))+"  # a name, up to a possessive 's
 _any = lambda *lists: "|".join(x for one in lists for x in one)
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -49,11 +56,13 @@ KINDS = {
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
-    "name": rf"(?=[A-ZÀ-ÞА-Я])(?<!\p{{L}})(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?|(?:{_any(GIVEN_M, GIVEN_F)}) \p{{Lu}}[\p{{L}}'\-]+)",
+    "name": rf"(?=[A-ZÀ-ÞА-Я])(?<!\p{{L}})(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? {_word}(?: {_word})?|(?:{_any(GIVEN_M, GIVEN_F)}) {_word})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 SECRET = r"^([^=:]*[=:][ \t]{0,2}[\"']?)(.*)$"  # what a secret is named, and its value to the end
-ATTEMPTS = 24
+STRICT = 8  # draws of the form's own length
+QUERY_KEY = "surrogate-key-1"  # of the registered query and the pipeline, unless the session sets CONF
+CONF = "spark.founderflow.pii.key"
 
 
 def has_entity(t: Column) -> Column:
@@ -87,22 +96,28 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _atoms(raw: Column, kind: Column) -> Column:
+def _names(raw: Column) -> tuple[Column, Column]:
+    """The words of a name without its title, and the gender that the title or the given name tells."""
+    words = F.split(F.regexp_replace(raw, r"\.", ""), " ")
+    names = F.when(words[0].isin(*TITLES_M, *TITLES_F, *TITLES_U), F.slice(words, 2, 3)).otherwise(words)
+    gender = F.when(words[0].isin(*TITLES_M) | names[0].isin(*GIVEN_M), "m").when(words[0].isin(*TITLES_F) | names[0].isin(*GIVEN_F), "f").otherwise("u")
+    return names, gender
+
+
+def _atoms(raw: Column, kind: Column, gender: Column) -> Column:
     """The canonical forms within a raw entity, with the number of characters kept in front and at the end."""
     atom = lambda k, form, front, end: F.struct(k.alias("kind"), form.alias("form"), front.cast("int").alias("front"), end.cast("int").alias("end"))
     zero, plain = F.lit(0), F.regexp_replace(raw, r"[^\p{L}\p{N}]", "")
     value = F.regexp_extract(raw, SECRET, 2)
     prefix = F.regexp_replace(F.regexp_extract(raw, "^(?:AKIA|ASIA|gh[pousr]|sk-(?:(?:proj|svcacct|admin)-)?)", 0), "-", "")
     tld = F.length(F.regexp_extract(raw, r"\.([A-Za-z]+)$", 1))
+    side = lambda k: F.lower(F.regexp_replace(F.substring_index(raw, "@", k), r"[^\p{L}\p{N}]", ""))
     country = F.when(raw.startswith("+"), F.length(F.regexp_extract(raw, r"^\+(\d+?)(?:[ .\-(]|\d{7,}$)", 1))).otherwise(0)
-    words = F.split(F.regexp_replace(raw, r"\.", ""), " ")
-    titled = words[0].isin(*TITLES_M, *TITLES_F, *TITLES_U)
-    names = F.when(titled, F.slice(words, 2, 3)).otherwise(words)
-    gender = F.when(words[0].isin(*TITLES_M) | names[0].isin(*GIVEN_M), "m").when(words[0].isin(*TITLES_F) | names[0].isin(*GIVEN_F), "f").otherwise("u")
+    names, _ = _names(raw)
     name = F.transform(names, lambda w, i: atom(F.when(i == F.size(names) - 1, F.lit("family")).otherwise(F.concat(F.lit("given_"), gender)), F.lower(w), zero, zero))
     return (
         F.when(kind == "name", name)
-        .when(kind == "email", F.array(atom(kind, F.lower(plain), zero, tld)))
+        .when(kind == "email", F.array(atom(kind, F.concat(side(1), F.lit("@"), side(-1)), zero, F.length(side(-1)) + 1), atom(F.lit("domain"), side(-1), zero, tld)))
         .when(kind == "key", F.array(atom(kind, plain, F.length(prefix), zero)))
         .when(kind == "secret", F.array(atom(kind, value, zero, zero)))
         .when(kind == "card", F.array(atom(kind, plain, F.lit(1), zero)))
@@ -118,7 +133,8 @@ def _nibbles(h: Column, i: Column, n: int, modulus: int) -> Column:
 
 
 def draw(kind: Column, form: Column, front: Column, end: Column, attempt: int, key: str) -> Column:
-    """A candidate of the form's kind, length and character classes."""
+    """A candidate of the form's kind, length and character classes; after STRICT attempts one character longer every second time."""
+    more = max(0, (attempt - STRICT) // 2 + 1)
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), form), 512)
     n = F.length(form)
 
@@ -136,9 +152,13 @@ def draw(kind: Column, form: Column, front: Column, end: Column, attempt: int, k
         )
 
     plain = F.array_join(F.transform(F.split(form, ""), one), "")
+    if more:
+        longer = F.when(kind.isin("phone", "ssn", "card", "iban"), F.translate(F.substring(h, 1, more), "abcdef", "123456")).otherwise(F.translate(F.substring(h, 1, more), "0123456789", "ghijklmnop"))
+        cut = n - end
+        plain = F.concat(F.substring(plain, F.lit(1), cut), longer, F.substring(plain, cut + 1, end))
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    octets = F.transform(F.split(form, r"\."), lambda o, i: F.when(F.length(o) == 3, 100 + _nibbles(h, i, 4, 100)).when(F.length(o) == 2, 10 + _nibbles(h, i, 4, 90)).otherwise(1 + _nibbles(h, i, 4, 9)).cast("string"))
+    octets = F.transform(F.split(form, r"\."), lambda o, i: F.when(F.lit(more > 0), 1 + _nibbles(h, i, 5, 254)).when(F.length(o) == 3, 100 + _nibbles(h, i, 4, 100)).when(F.length(o) == 2, 10 + _nibbles(h, i, 4, 90)).otherwise(1 + _nibbles(h, i, 4, 9)).cast("string"))
 
     def name(s: dict) -> Column:
         pick = lambda options, i: F.element_at(F.array(*map(F.lit, options)), _nibbles(h, F.lit(i), 3, len(options)) + 1)
@@ -151,7 +171,7 @@ def draw(kind: Column, form: Column, front: Column, end: Column, attempt: int, k
 def surrogates(forms: DataFrame, key: str) -> DataFrame:
     """forms: distinct (kind, form, front, end). Adds sur, one-to-one within each kind and never a real form."""
     left, done = forms, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         c = left.withColumn("sur", draw(F.col("kind"), F.col("form"), F.col("front"), F.col("end"), attempt, key))
         real = forms.select(F.col("kind"), F.col("form").alias("sur"))
         c = c.join(real, ["kind", "sur"], "left_anti")
@@ -162,9 +182,6 @@ def surrogates(forms: DataFrame, key: str) -> DataFrame:
         left = common.materialise(left.join(won, ["kind", "form"], "left_anti"))
         if left.isEmpty():
             return done
-    # Kinds with few possible values: a keyed tag, which is distinct but not of the same length.
-    tag = left.select("kind", "form", F.concat(F.lit("x"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), "kind", "form"), 256), 1, 24)).alias("sur"))
-    return done.unionByName(tag)
 
 
 def _filled(raw: Column, sur: Column) -> Column:
@@ -177,7 +194,13 @@ def _filled(raw: Column, sur: Column) -> Column:
         fits = c.rlike(r"[\p{L}\p{N}]")
         return F.struct(F.concat(acc["out"], F.when(fits, put).otherwise(c)).alias("out"), (acc["at"] + F.when(fits, 1).otherwise(0)).alias("at"))
 
-    return F.aggregate(F.split(raw, ""), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.split(raw, ""), start, step, lambda acc: F.concat(acc["out"], F.substring(sur, acc["at"], F.length(sur))))
+
+
+def _filled_domain(raw: Column, sur: Column) -> Column:
+    """A domain's replacement; where it is longer, the first label takes the additional characters."""
+    more = F.length(sur) - F.length(F.regexp_replace(raw, r"[^\p{L}\p{N}]", ""))
+    return F.when(more > 0, F.concat(F.substring(sur, F.lit(1), more), _filled(raw, F.substring(sur, more + 1, F.length(sur))))).otherwise(_filled(raw, sur))
 
 
 def _titled(name: Column, raw: Column) -> Column:
@@ -188,7 +211,13 @@ def replacements(raws: DataFrame, key: str) -> DataFrame:
     """raws: distinct raw entities. (raw, replacement) for each."""
     k = raws.withColumn("kind", kind_of(F.col("raw")))
     k = k.filter((F.col("kind") != "card") | (luhn_sum(_digits(F.col("raw"))) == 0))
-    k = common.materialise(k.select("raw", F.col("kind").alias("rk"), F.posexplode(_atoms(F.col("raw"), F.col("kind"))).alias("i", "a")).select("raw", "rk", "i", "a.*"))
+    names, told = _names(F.col("raw"))
+    two = (F.col("kind") == "name") & (F.size(names) == 2)
+    k = k.select("raw", "kind", F.when(two, F.lower(F.array_join(names, " "))).alias("person"), told.alias("told"))
+    people = k.filter("person is not null and told <> 'u'").groupBy("person").agg(F.min("told").alias("low"), F.max("told").alias("high"))
+    people = people.select("person", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("u").alias("gender"))
+    k = k.join(people, "person", "left").withColumn("gender", F.coalesce("gender", F.lit("u")))
+    k = common.materialise(k.select("raw", F.col("kind").alias("rk"), F.posexplode(_atoms(F.col("raw"), F.col("kind"), F.col("gender"))).alias("i", "a")).select("raw", "rk", "i", "a.*"))
     forms = common.materialise(k.groupBy("kind", "form").agg(F.min("front").alias("front"), F.min("end").alias("end")))
     both = k.join(surrogates(forms, key), ["kind", "form"]).groupBy("raw", "rk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sur"))), lambda x: x["sur"]).alias("s"))
     words = F.split(F.col("raw"), " ")
@@ -197,32 +226,37 @@ def replacements(raws: DataFrame, key: str) -> DataFrame:
     name = F.array_join(F.transform(words, lambda w, i: F.when(i < shift, w).otherwise(_titled(F.element_at("s", (i - shift + 1).cast("int")), w))), " ")
     head = F.regexp_extract("raw", SECRET, 1)
     sur = F.col("s")[0]
-    fits = F.length(F.regexp_replace("raw", r"[^\p{L}\p{N}]", "")) == F.length(F.regexp_replace(sur, r"[^\p{L}\p{N}]", ""))
-    made = F.when(F.col("rk") == "name", name).when(F.col("rk") == "secret", F.concat(head, sur)).when(F.col("rk") == "ip", sur).when(fits, _filled(F.col("raw"), sur)).otherwise(sur)
+    address = F.concat(_filled(F.substring_index("raw", "@", 1), F.substring_index(sur, "@", 1)), F.lit("@"), _filled_domain(F.substring_index("raw", "@", -1), F.col("s")[1]))
+    made = F.when(F.col("rk") == "name", name).when(F.col("rk") == "email", address).when(F.col("rk") == "secret", F.concat(head, sur)).when(F.col("rk") == "ip", sur).otherwise(_filled(F.col("raw"), sur))
     return common.materialise(both.select("raw", made.alias("replacement")))
 
 
-def anonymise(docs: DataFrame, key: str = "surrogate-key-1", text: str = "text") -> DataFrame:
+def anonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with rewritten texts, and n_entities, the number of replaced entities."""
+    name, of, news = (common.fresh(docs, c) for c in ("n_entities", "ff_d", "ff_s"))
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
     digest = F.sha2(t, 256)
     has = F.coalesce(has_entity(t), F.lit(False))
     hit = docs.filter(has)
-    lists = common.materialise(hit.select(digest.alias("ff_d"), found.alias("ff_e")).groupBy("ff_d").agg(F.first("ff_e").alias("ff_e")))
-    each = lists.select("ff_d", F.posexplode("ff_e").alias("i", "raw"))
+    lists = common.materialise(hit.select(digest.alias(of), found.alias("ff_e")).groupBy(of).agg(F.first("ff_e").alias("ff_e")))
+    each = lists.select(of, F.posexplode("ff_e").alias("i", "raw"))
     table = replacements(each.select("raw").distinct(), key)
-    named = each.join(table, "raw", "left").groupBy("ff_d").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("replacement", "raw").alias("new"), F.col("replacement").isNotNull().alias("done")))).alias("ff_s"))
+    named = each.join(table, "raw", "left").groupBy(of).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("replacement", "raw").alias("new"), F.col("replacement").isNotNull().alias("done")))).alias(news))
     named = common.materialise(named)
     pieces = F.split(t, PATTERN, -1)
-    joined = hit.join(named, digest == named["ff_d"])
-    new = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("ff_s", i)["new"], F.lit("")))), "")
-    count = F.aggregate("ff_s", F.lit(0).cast("long"), lambda a, x: a + x["done"].cast("long"))
+    joined = hit.join(named, digest == named[of])
+    new = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(news, i)["new"], F.lit("")))), "")
+    number = F.aggregate(news, F.lit(0).cast("long"), lambda a, x: a + x["done"].cast("long"))
     columns = lambda value: [value.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return docs.filter(~has).select(*columns(t), F.lit(0).cast("long").alias("n_entities")).unionByName(joined.select(*[docs[c] if c != text else new.alias(c) for c in docs.columns], count.alias("n_entities")))
+    return docs.filter(~has).select(*columns(t), F.lit(0).cast("long").alias(name)).unionByName(joined.select(*[docs[c] if c != text else new.alias(c) for c in docs.columns], number.alias(name)))
+
+
+def query_key(spark: SparkSession) -> str:
+    return spark.conf.get(CONF, QUERY_KEY)
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their entities replaced; n_chars is that of the new text."""
-    out = anonymise(common.table(spark, sf_dir, "documents"))
+    out = anonymise(common.table(spark, sf_dir, "documents"), query_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long"))

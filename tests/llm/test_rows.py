@@ -253,7 +253,7 @@ TEXTS = [
 
 def test_surrogates(spark):
     df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(TEXTS * 2)], DOCS).withColumnRenamed("extra", "raw")
-    got = sorted(pii.anonymise(df).collect(), key=lambda r: r.doc_id)
+    got = sorted(pii.anonymise(df, "k").collect(), key=lambda r: r.doc_id)
     assert [r.text for r in got[:8]] == [r.text for r in got[8:]] and len(got) == 16
     assert [r.n_entities for r in got[:8]] == [4, 2, 5, 5, 0, 0, 0, 1]
     t = [r.text for r in got]
@@ -279,7 +279,7 @@ def test_secrets_go_to_their_end(spark):
     values = [run(200), run(129), run(900, "+/") + "==", ".".join(jwt), run(40), run(40), "sk-" + run(65), "sk-" + run(300), "sk-proj-" + run(120, "_-"), "ghp_" + run(60), run(20_000)]
     names = ["token=", "api_key: ", "Secret = '", "token: ", "client_secret=", "access_token: ", "", "", "", "", "password="]
     rows = [(i, f"before {n}{v} after", "s", "x") for i, (n, v) in enumerate(zip(names, values))] + [(99, "token: ........ and secret ======== stay", "s", "x")]
-    got = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(rows, DOCS), "k").collect()}
     assert got[99].text == rows[-1][1] and got[99].n_entities == 0
     for i, (n, v) in enumerate(zip(names, values)):
         new = got[i].text.removeprefix(f"before {n}").removesuffix(" after")
@@ -296,7 +296,7 @@ def test_surrogates_are_one_to_one(spark):
     got = pii.surrogates(df, "k").collect()
     assert len(got) == len(forms) == len({(r.kind, r.form) for r in got}) == len({(r.kind, r.sur) for r in got})
     assert not {(r.kind, r.sur) for r in got} & {(k, f) for k, f, _, _ in forms}
-    assert pii.anonymise(spark.createDataFrame([], DOCS)).count() == 0
+    assert pii.anonymise(spark.createDataFrame([], DOCS), "k").count() == 0
 
 
 def test_cheap_test_equals_pattern(spark):
@@ -304,3 +304,64 @@ def test_cheap_test_equals_pattern(spark):
     bits = ["a@b.co", "+1 (222) 333-4444", "Mr. Foo", "Anna Bar", "token: abcdefgh12", "AKIA" + "A" * 16, "1.2.3.4", "4041894974608795", "word", "=", "12", "Mr", "@", "123-45-6789", "DE89370400440532013000"]
     df = spark.createDataFrame([(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 3))),) for _ in range(400)], "t string")
     assert df.filter(pii.has_entity(F.col("t")) != F.col("t").rlike(pii.PATTERN)).count() == 0
+
+
+def anonymised(spark, *texts, key="k"):
+    rows = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], DOCS)
+    return [r.text for r in sorted(pii.anonymise(rows, key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_coreference_of_names_and_domains(spark):
+    a, b, c, d, e = anonymised(spark, "Mr. Smith left. Mr. Smith's dog and Mr. Smith’s cat; Dr. O'Brien's car.", "Dr. Alex Foo and Mr. Alex Foo; Ms Alex Bar", "a@corp.com b@corp.com A@Corp.com a@other.org", "Dr. Kim Foo, Mr. Kim Foo, Mrs Kim Foo", "Mr. Smith-Jones, Mr. Smith and Anna Smith")
+    x = re.fullmatch(r"Mr\. (\w+) left\. Mr\. (\w+)'s dog and Mr\. (\w+)’s cat; Dr\. ([\w']+)'s car\.", a)
+    assert x and x[1] == x[2] == x[3] != "Smith" and "Brien" not in x[4]
+    x = re.fullmatch(r"Dr\. (\w+ \w+) and Mr\. (\w+ \w+); Ms (\w+) \w+", b)
+    assert x and x[1] == x[2] and not x[1].startswith(x[3] + " ")  # another person, of another gender
+    x = re.fullmatch(r"(\w+)@(\w+)\.com (\w+)@(\w+)\.com (\w+)@(\w+)\.com (\w+)@(\w+)\.org", c)
+    assert x and x[2] == x[4] == x[6].lower() != "corp" and x[1] == x[5].lower() != x[3] and x[8] != "other"
+    x = re.fullmatch(r"Dr\. (\w+ \w+), Mr\. (\w+ \w+), Mrs (\w+ \w+)", d)
+    assert x and x[1] == x[2] == x[3]
+    assert re.fullmatch(r"Mr\. [\w-]+, Mr\. (\w+) and \w+ \1", e) and re.search(r"Mr\. (\w+) left", a)[1] in e
+    assert anonymised(spark, "Mr. Smith", key="other") != anonymised(spark, "Mr. Smith")
+
+
+def test_small_spaces_stay_one_to_one(spark):
+    forms = [("email", f"{c}@x", 0, 2) for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{d}@x", 0, 2) for d in range(10)] + [("ssn", str(d), 0, 0) for d in range(10)] + [("ip", f"{a}.{b}.{c}.{d}", 0, 0) for a in range(1, 6) for b in range(1, 6) for c in range(1, 6) for d in range(1, 6)]
+    got = pii.surrogates(spark.createDataFrame(forms, "kind string, form string, front int, end int"), "k").collect()
+    assert len({(r.kind, r.sur) for r in got}) == len(forms) == len(got) and not {(r.kind, r.sur) for r in got} & {(k, f) for k, f, _, _ in forms}
+    assert all(r.sur.endswith("@x") if r.kind == "email" else re.fullmatch(r"\d+", r.sur) if r.kind == "ssn" else re.fullmatch(r"(\d+\.){3}\d+", r.sur) for r in got)
+    text, = anonymised(spark, " ".join(f"{c}@{d}.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789" for d in "xyz"))
+    new = text.split()
+    assert len(set(new)) == 108 and all(re.fullmatch(r"\w+@\w+\.com", n) for n in new) and len({n.split("@")[1] for n in new}) == 3
+
+
+def test_surrogates_against_plain_search(spark):
+    """Entities found by the same patterns in plain Python: the rest stays, each canonical form has one replacement of its own."""
+    import regex
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [lambda: f"{word(6)}.{word(4)}@{rng.choice(['one', 'two', 'three'])}.example.com", lambda: f"+{rng.randint(1, 9)} ({rng.randint(200, 999)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}", lambda: f"token: {word(20)}{number(20)}", lambda: f"Ms {word(7).title()}"]
+    rows = [(i, " and ".join(f"{word(5)} {rng.choice(makers)()} {word(3)}" for _ in range(rng.randint(0, 4))), "s", "x") for i in range(150)]
+    pattern = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in pii.KINDS.items()))
+    seen = {}
+    for r in pii.anonymise(spark.createDataFrame(rows, DOCS), "k").collect():
+        found = list(pattern.finditer(rows[r.doc_id][1]))
+        assert r.n_entities == len(found)
+        rest = [regex.escape(x) for x in pattern.sub("\0", rows[r.doc_id][1]).split("\0")]
+        new = regex.fullmatch("(.+?)".join(rest), r.text)
+        assert new
+        for m, n in zip(found, new.groups()):
+            assert regex.sub(r"\p{L}|\d", "", n) == regex.sub(r"\p{L}|\d", "", m[0]) and (m.lastgroup == "name" or [c.isdigit() for c in n] == [c.isdigit() for c in m[0]] or m.lastgroup == "ip")
+            assert seen.setdefault((m.lastgroup, m[0]), n) == n != m[0]
+    assert len(set(seen.values())) == len(seen) > 100 and not set(seen.values()) & {m for _, m in seen}
+
+
+def test_surrogates_query_and_clashes(spark, frames):
+    path = frames(documents=([(1, "Mr. Foo", "s", 7), (None, None, None, None), (2, "", "s", 0), (1, "Mr. Foo", "s", 7)], "doc_id long, text string, ff_s string, n_chars long"))
+    got = pii.op1_pii_surrogates(spark, path).collect()
+    assert sorted((r.doc_id or 0, r.n_entities, r.n_chars or 0) for r in got) == [(0, 0, 0), (1, 1, next(len(r.text) for r in got if r.doc_id == 1)), (1, 1, next(len(r.text) for r in got if r.doc_id == 1)), (2, 0, 0)]
+    clash = spark.createDataFrame([("Mr. Foo", 5, "a")], "text string, N_ENTITIES long, ff_d string")
+    row = pii.anonymise(clash, "k").first()
+    assert row["N_ENTITIES"] == 5 and row["n_entities_"] == 1 and row["ff_d"] == "a"
