@@ -9,18 +9,43 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Only in local mode, where all share one machine, one is set if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # tests and local mode only
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/founderflow-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/ff-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are removed as it ends: what is written needs them no more."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._ff_path = path
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote, once no later step reads it."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._ff_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reachable(spark: SparkSession) -> None:
