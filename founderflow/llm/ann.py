@@ -2,15 +2,22 @@
 
 Rows with equal vectors are one node of the graph (its smallest `k` + 1 ids are kept with it: no answer can use
 more, as equal vectors tie and ties go to smaller ids). Nodes are dealt to shards of about `shard_rows` by a hash.
-Each shard's graph is stored as a row of flat arrays: ids, vectors, levels and, a level, a fixed number of
-neighbours a node, padded with -1. Queries are packed in blocks, every block meets every shard once (a stated
-query set against all rows), each shard returns its best for each query, and the results are merged. Scores are
-computed anew in double precision on the original vectors.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of
-another length than the most common one of the queries' shard meet nothing; a row never finds itself, but finds
-its copies; rows with a null id are no queries and no candidates; repeated rows of one id count once as
-candidates; with fewer than k candidates all are returned; an empty table gives no rows; other columns are ignored.
+A shard's graph has levels: each node's highest is drawn geometrically, and a level links the nodes that reach it. A node is
+linked to diverse ones of its `ef` nearest (those not nearer to one already chosen, nearest first), which in a
+shard of bounded size are found by a matrix product, and is linked back by them as far as they have room, again
+diverse ones first. Each shard is stored as a row of flat arrays: ids, vectors, levels and, a level, a fixed
+number of neighbours a node, padded with -1.
+
+Queries are packed in blocks, every block meets every shard once (a stated query set against all rows): a task loads a
+shard, then its blocks stream past it. Each shard returns its best for each query, and the results are merged. Scores
+are computed anew in double precision on the original vectors. Building is linear in rows; searching is queries times
+shards times the logarithm of a shard.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a vector meets
+only vectors of its own length, which have graphs of their own; a row never finds itself, but finds its copies; rows
+with a null id are no queries and no candidates; of repeated rows of one id that differ, each is a candidate and the
+nearest counts, and the smallest vector is the query; with fewer than k candidates all are returned; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,54 +46,49 @@ class Graph:
         top = int(self.levels.max(initial=0))
         self.links = [np.full((n, 2 * m if level == 0 else m), -1, np.int32) for level in range(top + 1)]
         self.degree = [np.zeros(n, np.int32) for _ in range(top + 1)]
-        self.entry = -1
+        self.entry = int(np.argmax(self.levels)) if n else -1
         self.seen, self.turn = np.zeros(n, np.int32), 0
-        for i in np.argsort(-self.levels, kind="stable"):  # from the top level down: the entry never changes
-            self._insert(int(i), ef)
-
-    def _insert(self, i: int, ef: int) -> None:
-        if self.entry < 0:
-            self.entry = i
+        for level in range(top + 1):
+            self._link(level, np.flatnonzero(self.levels >= level), ef)
+
+    def _link(self, level: int, nodes: np.ndarray, ef: int) -> None:
+        """Links the nodes of a level, from the nearest `ef` of each among them."""
+        links, degree, x = self.links[level], self.degree[level], self.x[nodes]
+        most, near = min(ef, len(nodes) - 1), []
+        if most < 1:
             return
-        q, own = self.x[i], int(self.levels[i])
-        at = [self.entry]
-        for level in range(int(self.levels[self.entry]), own, -1):
-            at = [self.search(q, at, 1, level)[0][1]]
-        for level in range(min(own, int(self.levels[self.entry])), -1, -1):
-            found = self.search(q, at, ef, level)
-            at = [j for _, j in found]
-            chosen = self._diverse(found, self.m)
-            self.links[level][i, :len(chosen)] = chosen
-            self.degree[level][i] = len(chosen)
-            for j in chosen:
-                self._connect(j, i, level)
-
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Nearest first, leaving out those nearer to one already chosen; filled up with the nearest left out."""
-        ids = np.array([j for _, j in found])
-        near = np.array([s for s, _ in found])
-        between = self.x[ids] @ self.x[ids].T
+        for at in range(0, len(nodes), 1024):
+            sims = x[at:at + 1024] @ x.T
+            sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2.0
+            part = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+            near.append(np.take_along_axis(part, np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable"), 1))
+        chosen = [nodes[row][self._diverse(x[i], nodes[row], self.m)] for i, row in enumerate(np.concatenate(near))]
+        back: list[list[int]] = [[] for _ in range(len(self.x))]
+        for i, to in zip(nodes.tolist(), chosen):
+            for j in to.tolist():
+                back[j].append(i)
+        for i, to in zip(nodes.tolist(), chosen):
+            ids = np.unique(np.concatenate([to, np.array(back[i], np.int64)]))
+            if len(ids) > links.shape[1]:
+                ids = ids[np.argsort(-(self.x[ids] @ self.x[i]), kind="stable")]
+                ids = ids[self._diverse(self.x[i], ids, links.shape[1])]
+            links[i, :len(ids)], degree[i] = ids, len(ids)
+
+    def _diverse(self, v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+        """Of ids, nearest first: the places of those not nearer to one already chosen, filled up with the nearest left out."""
+        near = self.x[ids] @ v
+        closer = (self.x[ids] @ self.x[ids].T) >= near[:, None]
         kept: list[int] = []
-        rest: list[int] = []
+        free = np.ones(len(ids), bool)
         for k in range(len(ids)):
             if len(kept) == most:
                 break
-            (kept if not kept or between[k, kept].max() < near[k] else rest).append(k)
-        return ids[(kept + rest)[:most]].tolist()
-
-    def _connect(self, j: int, i: int, level: int) -> None:
-        links, d = self.links[level], int(self.degree[level][j])
-        if d < links.shape[1]:
-            links[j, d] = i
-            self.degree[level][j] = d + 1
-            return
-        ids = np.append(links[j, :d], i)
-        near = self.x[ids] @ self.x[j]
-        order = np.argsort(-near, kind="stable")
-        chosen = self._diverse([(near[k], ids[k]) for k in order], links.shape[1])
-        links[j, :len(chosen)] = chosen
-        links[j, len(chosen):] = -1
-        self.degree[level][j] = len(chosen)
+            if free[k]:
+                kept.append(k)
+                free &= ~closer[:, k]
+        if len(kept) < most:
+            kept += [k for k in range(len(ids)) if k not in set(kept)][:most - len(kept)]
+        return np.array(kept, np.int64)
 
     def search(self, q: np.ndarray, start: list[int], ef: int, level: int) -> list[tuple[float, int]]:
         """The best ef (similarity, node) found from the start nodes, best first."""
@@ -161,7 +163,6 @@ def build(rows: DataFrame, k: int, shard_rows: int = 8192, m: int = 12, ef: int
     def graph(key: tuple, t: pa.Table) -> pa.Table:
         lists = t.column("v").combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
-        dim = int(np.bincount(sizes).argmax())
         outs = []
         for d in np.unique(sizes):  # another length is another space: a graph of its own
             at = np.flatnonzero(sizes == d)
@@ -179,27 +180,37 @@ def build(rows: DataFrame, k: int, shard_rows: int = 8192, m: int = 12, ef: int
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 200, m: int = 12, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all shards for each query of (vec_id, v)."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    packed = queries.dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)))
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-queries.count() // block))
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)))
     packed = packed.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))  # `block` rows, by a hash of unique ids
-    shards = index.agg(F.max("shard")).first()[0]
-    if shards is None:
-        return queries.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards)))).join(index, "shard")  # each block meets each shard once
+    last = index.agg(F.max("shard")).first()[0]
+    shards = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
+    # A shard's rows of arrays come first, then every block once: sorted, so a task holds one shard and streams the rest.
+    stored = index.select("shard", F.lit(-1).cast("long").alias("block"), F.struct(*[c for c in index.columns if c != "shard"]).alias("g"), F.lit(None).cast("array<struct<vec_id:bigint,v:array<double>>>").alias("q"))
+    asked = packed.select(F.explode(shards).alias("shard"), "block", F.lit(None).cast(stored.schema["g"].dataType).alias("g"), "q")  # each block meets each shard once
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stored.unionByName(asked).repartition(n, "shard").sortWithinPartitions("shard", "block")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, graphs = None, {}
         for batch in found:
+            shard, stored_at = batch.column("shard").to_pylist(), batch.column("g").is_valid().to_pylist()
             for r in range(batch.num_rows):
-                s = {c: batch.column(c)[r].as_py() for c in ("dim", "size", "entry", "ids", "id_at", "vectors", "levels", "neighbours")}
-                x = np.frombuffer(s["vectors"], np.float64).reshape(s["size"], s["dim"])
-                ids, at = np.frombuffer(s["ids"], np.int64), np.frombuffer(s["id_at"], np.int64)
-                g = Graph.load(x, np.frombuffer(s["levels"], np.int32), s["entry"], s["neighbours"], m)
+                if shard[r] != now:
+                    now, graphs = shard[r], {}
+                if stored_at[r]:
+                    s = batch.column("g")[r].as_py()
+                    x = np.frombuffer(s["vectors"], np.float64).reshape(s["size"], s["dim"])
+                    g = Graph.load(x, np.frombuffer(s["levels"], np.int32), s["entry"], s["neighbours"], m)
+                    graphs[s["dim"]] = g, x, np.frombuffer(s["ids"], np.int64), np.frombuffer(s["id_at"], np.int64)
+                    continue
                 out = []
                 for q in batch.column("q")[r].as_py():
                     v = np.array(q["v"], np.float64)
-                    if len(v) != s["dim"]:
+                    if len(v) not in graphs:
                         continue
+                    g, x, ids, at = graphs[len(v)]
                     near = np.array(g.nearest((v / np.linalg.norm(v)).astype(np.float32), ef))
                     score = (x[near] * v).sum(axis=1) / (np.sqrt((x[near] * x[near]).sum(axis=1)) * np.sqrt((v * v).sum()))
                     own = [(-sc, int(i), q["vec_id"]) for j, sc in zip(near, score.tolist()) for i in ids[at[j]:at[j + 1]] if i != q["vec_id"]]

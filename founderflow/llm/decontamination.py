@@ -15,12 +15,14 @@ at distances one and two, and a stretch is aligned if that many hits of an item
 out for being rare or common, and no run of unchanged words is needed.
 
 The items are sent to all tasks if their pairs number at most `most_grams` (a checked bound). Beyond it the items
-are dealt into blocks below the bound, and passages are scanned once a block, so nothing is left out.
+are dealt into blocks below the bound, each checked before it is collected (only a single item may be larger), and
+passages are scanned once a block, so nothing is left out.
 
 Words are maximal runs of letters, digits and non-ASCII bytes, in lower case. Defined results: null and empty texts
 and items without words hit nothing; items shorter than three words are hit where they occur whole, and longer
-ones by two words at least, however low the threshold; repeated rows each count, and of repeated item ids the best score is kept; ties of best items go to the smallest item id; an
-empty table on either side gives no hits.
+ones by two words at least, however low the threshold; items of a null id count and are reported with it; `hits` has
+a row for each document row and item row, `op4` one for each document id (null is one id) with the best score of each item
+id; ties of best items go to the smallest item id; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD):
         texts = pa.array([r[1] for r in rows], pa.string())
         words, at = common.hashed_words(texts, common.is_not_word, "unicode")
-        found = [(int(i), words[at[k]:at[k + 1]]) for k, (i, _) in enumerate(rows) if i is not None and at[k] < at[k + 1]]
+        found = [(i, words[at[k]:at[k + 1]]) for k, (i, _) in enumerate(rows) if at[k] < at[k + 1]]
         self.ids, self.words = [i for i, _ in found], [w for _, w in found]
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.least = np.where(self.length < SHORT, MATCH * self.length, np.maximum(MATCH + 1, np.minimum(MATCH * EXCERPT, np.ceil(threshold * MATCH * self.length - 1e-9)))).astype(np.int64)
@@ -146,7 +148,7 @@ def _stretches(words: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
 
 
 def _scan(known: Items, texts: pa.Array) -> dict[tuple[int, int], float]:
-    """Scores of contaminated rows by (row, item id)."""
+    """Scores of contaminated rows by (row, item's place)."""
     words, at = common.hashed_words(texts, common.is_not_word, "unicode")
     best: dict[tuple[int, int], float] = {}
     todo = _stretches(words, at, known)
@@ -161,23 +163,30 @@ def _scan(known: Items, texts: pa.Array) -> dict[tuple[int, int], float]:
         scores = align([words[lo:hi] for _, _, lo, hi in part], [known.words[i] for i in part[:, 1]])
         for j in np.flatnonzero(scores >= known.least[part[:, 1]]):
             d, i = part[j, :2].tolist()
-            key = d, known.ids[i]
+            key = d, i
             best[key] = max(best.get(key, 0.0), float(scores[j] / (MATCH * known.length[i])))
     return best
 
 
-def blocks_of(items: DataFrame, threshold: float, most_grams: int) -> Iterator[Items]:
-    """The items in blocks whose word pairs stay below the bound."""
-    size = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
-    blocks = 1 + size // most_grams  # a word and its blank are two characters at least, and it begins two pairs
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()
-        yield Items([(r[0], r[1]) for r in rows], threshold)
+def blocks_of(items: DataFrame, threshold: float, most_grams: int, salt: int = 0) -> Iterator[Items]:
+    """The items in blocks whose word pairs stay below the bound; a block that hashing left above it is dealt anew."""
+    size = F.length(F.coalesce("text", F.lit("")))  # a word and its blank are two characters at least, and it begins two pairs
+    total = items.agg(F.sum(size)).first()[0] or 0
+    blocks = 1 if total <= most_grams else 1 + 2 * total // most_grams
+    block = F.pmod(F.xxhash64("item_id", "text", F.lit(salt)), F.lit(blocks))
+    sizes = items.groupBy(block.alias("b")).agg(F.sum(size).alias("s"), F.countDistinct("item_id", "text").alias("n")).orderBy("b").collect()  # a row a block
+    for b, s, n in sizes:
+        some = items.filter(block == b)
+        if s > most_grams and n > 1:
+            yield from blocks_of(some, threshold, most_grams, salt + 1)
+        else:
+            rows = some.select(F.col("item_id").cast("long"), "text").collect()  # most_grams characters at most, or one item
+            yield Items([(r[0], r[1]) for r in rows], threshold)
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, most_grams: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, score) of aligned pairs at or above the threshold or an excerpt's worth; one row a document row and item."""
-    out = None
+    out = docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score")).limit(0)
     for known in blocks_of(items, threshold, most_grams):
         sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -187,10 +196,10 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float
                     best = _scan(sent.value, batch.column(1).slice(start, size))
                     keys = sorted(best)
                     rows = batch.column(0).slice(start, size).take(pa.array([d for d, _ in keys], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([rows, pa.array([i for _, i in keys], pa.int64()), pa.array([best[k] for k in keys], pa.float64())], ["doc_id", "item_id", "score"])
+                    yield pa.RecordBatch.from_arrays([rows, pa.array([sent.value.ids[i] for _, i in keys], pa.int64()), pa.array([best[k] for k in keys], pa.float64())], ["doc_id", "item_id", "score"])
 
         part = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, item_id long, score double")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
