@@ -11,7 +11,7 @@ memory. Control strings inside texts and roles are escaped by a backslash after
 backslashes are doubled; `unescape` takes that back exactly.
 
 Defined results: null texts, roles and part lists are empty; a part of unknown type is rendered as its text; rows
-are ordered by turn (null first), ties and repeated rows by role and formatted content, each a turn of its own;
+are ordered by turn (null first), ties and repeated rows by role and content, each a turn of its own;
 rows of a null conv_id form one conversation; an empty table gives no rows; other columns are ignored.
 """
 
@@ -119,7 +119,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     A digest is sequential by nature; a task streams its sorted conversations and keeps two hash states.
     """
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = segments.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    ordered = segments.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", F.regexp_replace("segment", r"\\(?s:(.))", "$1"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), None
@@ -163,7 +163,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_back(format_turns(turns.unionByName(probe))).drop("n_attachments")
+    return read_back(format_turns(turns.unionByName(probe)))
 
 
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROL)
@@ -175,6 +175,6 @@ select conv_id, count(*)::bigint as n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
     coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-    sum(length('<|turn|>' || chr(10) || '<|end|>' || chr(10)) + role_chars + text_chars)::bigint as formatted_chars
+    sum(length('<|turn|>' || chr(10) || '<|end|>' || chr(10)) + role_chars + text_chars)::bigint as formatted_chars, 0::bigint as n_attachments
 from e group by conv_id
 """

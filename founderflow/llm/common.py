@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,40 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from founderflow.plans.storage import forget, materialise
+
+__all__ = ["forget", "materialise"]
+
 U64 = np.uint64
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests, local mode) a local one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/founderflow-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/ff-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The shuffle files of the write are removed as it ends: what is written needs them no more."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._ff_path = path
-    return back
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or if df has a column of that name (in any case) the name with underscores at its end."""
     taken = {c.lower() for c in df.columns}
@@ -52,12 +29,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def forget(*frames: DataFrame) -> None:
-    """Delete what materialise() wrote, once no later step reads it."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._ff_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names renamed, and what gives df's columns back their names."""
+    before, taken = df.columns, {n.lower() for n in names}
+    now = [f"ff_kept_{i}" if c.lower() in taken else c for i, c in enumerate(before)]
+    return df.toDF(*now), lambda out: out.select(*[F.col(f"`{c}`").alias(b) for c, b in zip(now, before)])
 
 
 def fold(id_col: str, modulus: int) -> Column:

@@ -344,9 +344,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def survivors(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each class stays: that of the smallest doc_id, of equal ids the first written."""
+    docs, named = common.shielded(docs, "ff_row", "ff_digest", "ff_bands", "ff_id")
     rows = signed(docs, text)
     found = classes(rows, text).join(rows.select("ff_row", F.col("doc_id").alias("ff_id")), "ff_row")
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("ff_id").isNull(), "ff_id", "ff_row")).alias("k")).select(F.col("k.ff_row").alias("ff_row"))
     gone = common.materialise(rows.select("ff_row").join(keep, "ff_row", "left_anti"))
     maybe, sure = likely(rows.select(*docs.columns, "ff_row"), gone.withColumnRenamed("ff_row", "node"), "ff_row")
-    return sure.unionByName(maybe.join(gone, "ff_row", "left_anti").select(*docs.columns, "ff_row")).select(*docs.columns)
+    return named(sure.unionByName(maybe.join(gone, "ff_row", "left_anti").select(*docs.columns, "ff_row")).select(*docs.columns))

@@ -5,11 +5,12 @@ not. Weights are learned by follow-the-regularised-leader with per-coordinate ra
 weights at exactly zero, so what is broadcast is a short sorted list, of 2**bits entries at most.
 
 The training rows are a bounded sample: at most `most_rows` labelled rows, those with the smallest keyed hash of
-their id. All texts are scored, whole, in slices of some megabytes.
+their id, and of these as many as have features of `most_bytes` in all. All texts are scored, whole, in slices of some megabytes.
 
 Defined results: null or empty texts score by the bias alone; labels that are null or not 0 or 1 are not learned
 from; repeated labels of a document count as repeated rows; without any labelled row all scores are 0.5 and
-nothing is rejected; an empty table gives no rows; extra columns pass through.
+nothing is rejected; an empty table gives no rows; extra columns pass through, and if one has the score's name that
+gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +72,7 @@ class Ftrl:
         return index, self.weights(index)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 20_000, epochs: int = 10, bits: int = BITS, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 20_000, most_bytes: int = 400 << 20, epochs: int = 10, bits: int = BITS, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Sparse weights (indices, values) from a bounded sample of labelled rows; their features are cut out on executors."""
     known = labels.select(F.col("doc_id").alias("ff_id"), F.col(label).cast("int").alias("ff_y")).filter(F.col("ff_y").isin(0, 1) & F.col("ff_id").isNotNull())
     picked = known.withColumn("ff_key", F.xxhash64(F.lit(17), F.col("ff_id"))).orderBy("ff_key", "ff_id", "ff_y").limit(most_rows)
@@ -98,16 +100,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
         index, value = model.sparse()
         return pa.table({"i": pa.array(index, pa.int64()), "w": pa.array(value, pa.float64())})
 
-    # One task learns, as the method is sequential: most_rows rows at most reach it.
-    learned = rows.mapInArrow(cut, "y int, key long, f binary").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "i long, w double")
-    got = learned.orderBy("i").toPandas()
-    return got["i"].to_numpy(np.int64), got["w"].to_numpy(np.float64)
+    # One task learns, as the method is sequential: most_rows rows and most_bytes at most reach it.
+    upto = F.sum(F.length("f")).over(W.orderBy("key", "y").rowsBetween(W.unboundedPreceding, 0))
+    cut_rows = rows.mapInArrow(cut, "y int, key long, f binary").withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto")
+    got = cut_rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "i long, w double").toPandas()  # 2**bits rows at most
+    order = np.argsort(got["i"].to_numpy(np.int64))
+    return got["i"].to_numpy(np.int64)[order], got["w"].to_numpy(np.float64)[order]
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS, text: str = "text", name: str = "score") -> DataFrame:
     """docs plus the score of each whole text; a map over rows, without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1].astype(np.float32)))
     names, column = docs.columns, docs.columns.index(text)
+    name = common.fresh(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

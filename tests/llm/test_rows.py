@@ -32,6 +32,20 @@ def test_chat_query(spark, frames):
     assert got[2].turns_sha256 == sha("we\nird\\\n\n") and got[-1].loss_sha256 == sha("</s>[INST] ok [/INST]")
 
 
+def test_chat_ties_are_ordered_by_content(spark, frames):
+    texts = ["<a", "<|", "<b\\", "[INST]x", "[INSTz"]
+    path = frames(conversations=([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.op2_chat_format(spark, path).collect()}[1]
+    assert got.turns_sha256 == hashlib.sha256("".join(f"user\n{t}\n" for t in sorted(texts)).encode()).hexdigest() and got.n_attachments == 0
+
+
+def test_chat_reads_attachments_back(spark):
+    part = {"type": "image", "text": None, "ref": "a.png", "width": 10, "height": 10, "seconds": None, "pages": None}
+    turns = spark.createDataFrame([(1, 0, "user", [part, part | {"type": "text", "text": "<|image|>"}]), (1, 1, "assistant", [part | {"type": "audio", "seconds": 1.0}])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = chat.read_back(chat.format_turns(turns)).first()
+    assert got.n_attachments == 2 and got.loss_chars == len("<|audio|>")
+
+
 def test_chat_empty(spark, frames):
     assert chat.op2_chat_format(spark, frames(conversations=([], "conv_id long, turn long, role string, text string"))).count() == 1
 
