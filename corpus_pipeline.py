@@ -18,8 +18,9 @@ REJECT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, toxicity.model_for(spark, sf_dir, docs), name="ff_toxicity")
-    return scored.filter(F.col("ff_toxicity") < REJECT).select(*docs.columns)
+    name = common.fresh(docs, "toxicity")
+    scored = toxicity.score(docs, toxicity.model_for(spark, sf_dir, docs), name=name)
+    return scored.filter(F.col(name) < REJECT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.anonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = pii.anonymise(docs, pii.query_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
