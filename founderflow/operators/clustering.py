@@ -15,28 +15,25 @@ from __future__ import annotations
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from founderflow.functions.numbering import numbered, runs
 from founderflow.functions.sequences import K, truncated
 from founderflow.operators.similarity import similar_pairs
-from founderflow.plans.storage import materialise
+from founderflow.plans.storage import forget, materialise
 
 TAIL = 2_000_000
 
 
 def with_positions(counts: DataFrame) -> DataFrame:
     """input_pos for a count table without one: most reads first, then by barcode, within each group."""
-    order = W.partitionBy("group_id").orderBy(F.col("n_reads").desc(), "umi")
-    return counts.withColumn("input_pos", F.row_number().over(order).cast("long"))
+    return numbered(counts, "input_pos", ["group_id"], [(F.col("n_reads"), True), (F.substring("umi", 1, K), False)], ["umi"])
 
 
 def with_runs(rows: DataFrame) -> DataFrame:
     """group_id made unique to each contiguous run of rows, for inputs in which an id may come back later."""
-    order = W.orderBy("input_pos")
-    changed = F.when(F.lag("group_id").over(order).eqNullSafe(F.col("group_id")), 0).otherwise(1)
-    run = F.sum("changed").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("changed", changed).withColumn("group_id", F.concat_ws("\x1f", "group_id", run.cast("string"))).drop("changed")
+    marked = runs(rows, "group_id", "input_pos", "run")
+    return marked.withColumn("group_id", F.concat_ws("\x1f", "group_id", F.col("run").cast("string"))).drop("run")
 
 
 def elect(rows: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
@@ -44,6 +41,7 @@ def elect(rows: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
     row = ["group_id", "input_pos"]
     found = rows.select(*row).join(edges.select("group_id", F.col("a_pos").alias("input_pos")), row, "left_anti")
     left = edges.select("group_id", "a_pos", "b_pos")
+    written: list[DataFrame] = []
     while True:
         fresh = found.select("group_id", F.col("input_pos").alias("b_pos"))
         if left.count() <= tail:
@@ -65,8 +63,9 @@ def elect(rows: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
         after = undecided.join(child.select("group_id", F.col("a_pos").alias("b_pos")), ["group_id", "b_pos"], "left_anti").select("group_id", "a_pos", "b_pos")
         rows_left = undecided.select("group_id", "a_pos").distinct()
         free = rows_left.join(after.select("group_id", "a_pos").distinct(), ["group_id", "a_pos"], "left_anti")
-        found = materialise(found.unionByName(free.select("group_id", F.col("a_pos").alias("input_pos"))))
-        left = materialise(after)
+        found, left = materialise(found.unionByName(free.select("group_id", F.col("a_pos").alias("input_pos")))), materialise(after)
+        forget(*written)
+        written = [found, left]
 
 
 def _split(rows: DataFrame, head_rows: int, head_share: float) -> tuple[DataFrame, DataFrame]:

@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from founderflow.plans.storage import materialise
+from founderflow.operators.clustering import with_positions
+from founderflow.plans.storage import forget, materialise
 
 SMALL = 25
 
 
 def ranked(counts: DataFrame) -> DataFrame:
     """Adds rank: most reads first, then by barcode."""
-    return counts.withColumn("rank", F.row_number().over(W.partitionBy("group_id").orderBy(F.col("n_reads").desc(), "umi")))
+    return with_positions(counts).withColumn("rank", F.col("input_pos").cast("int")).drop("input_pos")
 
 
 def near_pairs(counts: DataFrame, threshold: int = 1) -> DataFrame:
@@ -60,10 +61,13 @@ def reached(counts: DataFrame, edges: DataFrame) -> DataFrame:
     Searches that start in rank order and skip barcodes already found give each barcode to the same lead.
     """
     now = materialise(ranked(counts).withColumn("lead", F.col("rank")))
+    written = [now]
     while True:
         sent = edges.join(now.select("group_id", F.col("umi").alias("src"), F.col("lead").alias("from")), ["group_id", "src"]).groupBy("group_id", F.col("dst").alias("umi")).agg(F.min("from").alias("from"))
         after = now.join(sent, ["group_id", "umi"], "left").select("group_id", "umi", "n_reads", "rank", F.least("lead", F.coalesce("from", "lead")).alias("lead"), (F.coalesce("from", "lead") < F.col("lead")).alias("moved"))
         after = materialise(after)
+        forget(*written)
+        written = [after]
         done = after.filter("moved").isEmpty()
         now = after.drop("moved")
         if done:
@@ -86,29 +90,17 @@ def groups(counts: DataFrame, method: str = "directional", threshold: int = 1) -
 
 
 def _least_leads(parts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adjacency groups: per component the fewest top-ranked barcodes that, with their neighbours, cover it."""
-    near = edges.groupBy("group_id", F.col("src").alias("umi")).agg(F.collect_set("dst").alias("near"))
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        nodes = list(zip(pdf["umi"], pdf["rank"], pdf["near"]))
-        left, leads = set(pdf["umi"]), []
-        for umi, rank, neighbours in nodes:
-            leads.append((umi, rank, neighbours))
-            left -= {umi, *([] if neighbours is None else neighbours)}
-            if not left:
-                break
-        lead_of, seen = {}, {u for u, _, _ in leads}
-        for umi, rank, neighbours in leads:
-            lead_of[umi] = rank
-            for x in [] if neighbours is None else neighbours:
-                if x not in seen:
-                    lead_of[x] = rank
-                    seen.add(x)
-        return pdf.assign(lead=pdf["umi"].map(lead_of))[["group_id", "umi", "n_reads", "rank", "lead"]]
+    """Adjacency groups: per component the fewest top-ranked barcodes that, with their neighbours, cover it.
 
-    full = parts.join(near, ["group_id", "umi"], "left")
-    return full.groupBy("group_id", "lead").applyInPandas(cover, "group_id string, umi string, n_reads long, rank int, lead int")
+    A barcode is covered once the best rank among itself and its neighbours is taken; the last to be covered tells how
+    many must be. The others go to their best-ranked neighbour.
+    """
+    ranks = parts.select("group_id", F.col("umi").alias("dst"), F.col("rank").alias("near"))
+    near = edges.join(ranks, ["group_id", "dst"]).groupBy("group_id", F.col("src").alias("umi")).agg(F.min("near").alias("near"))
+    at = parts.join(near, ["group_id", "umi"], "left").withColumn("covered", F.least("rank", F.coalesce("near", "rank")))
+    last = at.groupBy("group_id", "lead").agg(F.max("covered").alias("last"))
+    lead = F.when(F.col("rank") <= F.col("last"), F.col("rank")).otherwise(F.col("covered"))
+    return at.join(last, ["group_id", "lead"]).select("group_id", "umi", "n_reads", "rank", lead.alias("lead"))
 
 
 def representatives(grouped: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
@@ -162,13 +154,37 @@ def threshold_clusters(barcodes: DataFrame, threshold: int, stop_below: float =
     return barcodes.groupBy("group_id").applyInPandas(run, "group_id string, umi string, cluster long, size long")
 
 
-def threshold_scan(barcodes: DataFrame, thresholds: list[int]) -> DataFrame:
-    """(threshold, clusters, median_size, gain): the elbow is where the clusters' number rises most."""
-    out = None
+def threshold_scan(barcodes: DataFrame, thresholds: list[int], samples: int = 25, most: int = 200) -> DataFrame:
+    """(threshold, mean_similarity, median_size, gain) over the first `samples` clusters of each group and threshold.
+
+    A cluster's similarity is the mean local score of the pairs among its first `most` members, 0 for a single one; both are
+    part of the scan's definition. gain is the similarity's over the threshold before.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        score = lambda c: [local_score(a, b)[0] for i, a in enumerate(c) for b in c[i + 1:]]
+        out = []
+        for (threshold, cluster), one in pdf.groupby(["threshold", "cluster"]):
+            scores = score(one.sort_values("place")["umi"].tolist()[:most])
+            out.append((threshold, cluster, len(one), sum(scores) / len(scores) if scores else 0.0))
+        return pd.DataFrame(out, columns=["threshold", "cluster", "size", "similarity"])
+
+    placed = barcodes.select("group_id", "umi").withColumn("place", F.monotonically_increasing_id())
+    found = None
     for t in thresholds:
-        one = threshold_clusters(barcodes, t).groupBy("group_id", "cluster").agg(F.max("size").alias("size")).agg(F.lit(t).alias("threshold"), F.count(F.lit(1)).alias("clusters"), F.median("size").alias("median_size"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("gain", F.col("clusters") - F.lag("clusters").over(W.orderBy("threshold")))
+        one = threshold_clusters(placed, t).select("group_id", "umi", "cluster", F.lit(t).alias("threshold"))
+        found = one if found is None else found.unionByName(one)
+    kept = found.filter(F.col("cluster") < samples).join(placed, ["group_id", "umi"])
+    per = kept.groupBy("group_id", "threshold").applyInPandas(run, "threshold int, cluster long, size long, similarity double")
+    out = per.groupBy("threshold").agg(F.avg("similarity").alias("mean_similarity"), F.median("size").alias("median_size"))
+    return out.withColumn("gain", F.col("mean_similarity") - F.lag("mean_similarity").over(W.partitionBy(F.lit(0)).orderBy("threshold")))  # a row a threshold
+
+
+def elbow(scan: DataFrame, length: int, least: int = 15) -> DataFrame:
+    """One row, threshold: the first from `least` whose successor, above half the length, gains less than 2 % of the length."""
+    order = W.partitionBy(F.lit(0)).orderBy("threshold")
+    flat = scan.withColumn("before", F.lag("threshold").over(order)).filter((F.col("gain") < length * 0.02) & (F.col("threshold") > length // 2) & (F.col("before") >= least))
+    return flat.agg(F.min("before").alias("threshold"))
 
 
 def extract_by_probe(reads: DataFrame, probe: str, length: int, min_score: int, side: str = "down") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from founderflow.functions.numbering import copies
 from founderflow.functions.sequences import angle_at
 
 RECORD = "model string, knee_angle int, median_rpu long, rpu_cutoff long, estimated_molecules long, after_rpu_cutoff_molecules long"
@@ -48,7 +49,7 @@ def knee_angles(bars: DataFrame) -> DataFrame:
     """(i, n, angle) of all rows but the last two: the rounded angle at (i / rows, share of reads so far)."""
     everything = W.partitionBy(F.lit(0))
     b = bars.withColumn("size", F.sum("rows").over(everything)).withColumn("total", F.sum(F.col("n") * F.col("rows")).over(everything))
-    each = b.select("n", "first", "before", "size", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("k"))
+    each = copies(b.select("n", "rows", "first", "before", "size", "total"), F.col("rows"), "k", spread=True)
     i = F.col("first") + F.col("k")
     x, y = i / F.col("size"), (F.col("before") + (F.col("k") + 1) * F.col("n")) / F.col("total")
     return each.select(i.alias("i"), "n", "size", F.floor(angle_at(1.0, 1.0, x, y, 0.0, 0.0) + 0.5).cast("int").alias("angle")).filter("i < size - 2")

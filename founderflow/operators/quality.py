@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from founderflow.functions.numbering import copies
 from founderflow.functions.sequences import edit_kinds, ratio, read_type
 
 
@@ -34,7 +35,12 @@ def scores_of_files(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def per_read(clustered: DataFrame) -> DataFrame:
     """(umi, label) once a read, from rows with a label and n_reads."""
-    return clustered.filter("n_reads > 0").select("umi", "label", F.explode(F.sequence(F.lit(1), F.col("n_reads").cast("int"))).alias("copy")).select("umi", "label")
+    return copies(clustered.select("umi", "label", "n_reads"), F.col("n_reads"), "copy").select("umi", "label")
+
+
+def cluster_count(clustered: DataFrame, by: list[str]) -> DataFrame:
+    """(by, clusters): distinct founders."""
+    return clustered.groupBy(*by).agg(F.countDistinct("founder").alias("clusters"))
 
 
 def children(labels: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from founderflow.functions import numbering
 from founderflow.functions import sequences as S
 from founderflow.operators import clustering, compare, estimate, quality, reads, simulate
 from founderflow.operators.similarity import similar_pairs
+from founderflow.plans import pipeline
 from founderflow.plans.storage import materialise
 from founderflow.sources import tables
 
@@ -242,7 +244,11 @@ query("with recursive " + ADJ_SQL + REACH_SQL)(_grouped("cluster"))
 query("with recursive " + DIR_SQL + REACH_SQL)(_grouped("directional"))
 query("with " + COUNTS_SQL + ", c as (select group_id, median(n_reads) / 100 as cut from rows_ group by group_id) select r.group_id, umi, n_reads::bigint as n_reads, input_pos::bigint as lead from rows_ r join c using (group_id) where n_reads > cut")(_grouped("percentile"))
 query("with " + COUNTS_SQL + " select group_id, umi, n_reads::bigint as n_reads, input_pos::bigint as lead from rows_")(_grouped("unique"))
-query()(_grouped("adjacency"))
+query("with recursive " + ADJ_SQL + REACH_SQL.replace("select r.group_id, x.umi, x.n_reads::bigint as n_reads", ", parts as (select r.group_id, x.umi, x.n_reads, x.input_pos as rank") + """),
+cov as (select p.group_id, p.umi, p.n_reads, p.rank, p.lead, least(p.rank, coalesce(min(q.rank), p.rank)) as covered from parts p left join adj a on a.group_id = p.group_id and a.src = p.umi
+    left join parts q on q.group_id = a.group_id and q.umi = a.dst group by p.group_id, p.umi, p.n_reads, p.rank, p.lead),
+done as (select *, max(covered) over (partition by group_id, lead) as last from cov)
+select group_id, umi, n_reads::bigint as n_reads, (case when rank <= last then rank else covered end)::bigint as lead from done""")(_grouped("adjacency"))
 
 
 @query(("with recursive " + DIR_SQL + REACH_SQL).replace("select r.group_id, x.umi", ", t as (select r.group_id, x.umi") + ") select t.group_id, r.umi, sum(t.n_reads)::bigint as n_reads from t join rows_ r on r.group_id = t.group_id and r.input_pos = t.lead group by t.group_id, r.umi, t.lead")
@@ -321,11 +327,89 @@ def umi_sequences(spark, sf_dir):
     return counts_view(spark, sf_dir).select("group_id", "umi", S.reverse_complement(u).alias("rc"), S.padded(u).alias("padded"))
 
 
-@query()
+GREEDY_BEST = "coalesce(min(e.dist * 10000000 + e.b_pos) filter (e.b_pos <= ((e.a_pos - 1) // 500) * 500 + 50), min(e.dist * 10000000 + e.b_pos)) as x"
+
+
+@query(HIGH_SQL.replace("min(e.dist * 10000000 + e.b_pos) as x", GREEDY_BEST) + " select group_id, input_pos::bigint as input_pos, umi, founder, founder_pos::bigint as founder_pos, dist::int as dist, is_founder from named")
 def umi_greedy(spark, sf_dir):
     return clustering.cluster_groups(counts_view(spark, sf_dir), D, greedy=True, pool=500, head=50)
 
 
+@query(HIGH_SQL + " select group_id, umi, founder, dist::int as dist, is_founder from named")
+def umi_clusters_in_rounds(spark, sf_dir):
+    """umi_clusters by rounds of DataFrame joins to the end, without a rest that is settled in order."""
+    return clustering.cluster(materialise(counts_view(spark, sf_dir)), D, tail=0, head_rows=10).select("group_id", "umi", "founder", "dist", "is_founder")
+
+
+@query(HIGH_SQL + " select group_id, count(distinct founder)::bigint as clusters from named group by group_id")
+def umi_cluster_count(spark, sf_dir):
+    return quality.cluster_count(clustering.cluster(materialise(counts_view(spark, sf_dir)), D), ["group_id"])
+
+
+@query(HIGH_SQL + ", l as (select umi, (dense_rank() over (order by group_id, founder) - 1)::int as label, n_reads from named) select umi, label from (select umi, label, unnest(range(n_reads)) as copy from l)")
+def umi_read_labels(spark, sf_dir):
+    c = clustering.cluster(materialise(counts_view(spark, sf_dir)), D)
+    return quality.per_read(tables.dense_labels(c))
+
+
+_FIRST = "cutoff as (with " + ORDERED_SQL.replace("{table}", "rows_").lstrip(",\n") + KNEE_SQL.replace(ORDERED_SQL, "") + NB_SQL + " select rpu_cutoff as c from (select rpu_cutoff from knee where knee_angle <= 120 union all select rpu_cutoff from nb where not exists (select 1 from knee where knee_angle <= 120)))"
+END_SQL = (
+    "with recursive " + EDGES_SQL + ", " + _FIRST
+    + ", high as (select e.* from edges e join rows_ a on a.group_id = e.group_id and a.input_pos = e.a_pos where a.n_reads >= (select c from cutoff))"
+    + ", usable as (select group_id, a_pos, b_pos, dist from edges union all select e.group_id, e.b_pos, e.a_pos, e.dist from edges e join rows_ l on l.group_id = e.group_id and l.input_pos = e.b_pos where l.n_reads < (select c from cutoff))"
+    + CLUSTER_SQL.format(min_reads="(select c from cutoff)")
+    + ", counted as (select sum(n_reads) as n_reads from named group by group_id, founder_pos)"
+)
+
+
+@query(END_SQL + ORDERED_SQL.replace("{table}", "counted") + KNEE_SQL.replace(ORDERED_SQL, "") + NB_SQL + " select (select c from cutoff)::bigint as founder_cutoff, model, coalesce(knee_angle, -1) as knee_angle, median_rpu, rpu_cutoff, estimated_molecules, after_rpu_cutoff_molecules from (select * from knee where knee_angle <= 120 union all select * from nb where not exists (select 1 from knee where knee_angle <= 120))")
+def umi_whole_run(spark, sf_dir):
+    """Estimate the cutoff on the input, cluster under it, recount, estimate again."""
+    counts = materialise(counts_view(spark, sf_dir))
+    cutoff = int(estimate.estimate(counts).first()["rpu_cutoff"])
+    _, _, record = pipeline.correct(counts, 64, distance=D, min_reads=cutoff)
+    return record.select(F.lit(cutoff).cast("long").alias("founder_cutoff"), *[F.coalesce("knee_angle", F.lit(-1)).alias("knee_angle") if c == "knee_angle" else c for c in record.columns])
+
+
+ONE_SQL = ", one as (select l_orderkey, l_linenumber, min(umi) as umi, min(group_id) as group_id from reads group by l_orderkey, l_linenumber)"
+MATES_SQL = ONE_SQL + ", mates as (select l_orderkey * 10 + l_linenumber as read_id, 'r' || l_orderkey as name, umi || 'GATTACA' as s1, reverse(translate(umi, 'ACGT', 'TGCA')) || 'CC' as s2 from one)"
+
+
+def _one_a_line(spark, sf_dir):
+    """A read for each order and line number, which come more than once."""
+    return reads_view(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(F.min("umi").alias("umi"), F.min("group_id").alias("group_id"))
+
+
+@query("with " + READS_SQL + MATES_SQL + """ select read_id::bigint as read_id, substr(s1, 3, 6) || substr(s2, 1, 4) as umi, name || '_' || substr(s1, 3, 6) || substr(s2, 1, 4) || ' 1:N' as name1, substr(s1, 9) as seq1, repeat('F', length(substr(s1, 9))) as qual1,
+    name || '_' || substr(s1, 3, 6) || substr(s2, 1, 4) || ' 2:N' as name2, substr(s2, 5) as seq2, repeat('F', length(substr(s2, 5))) as qual2 from mates""")
+def umi_tag_mates(spark, sf_dir):
+    """Barcodes from parts of both mates, put behind the names of both."""
+    r = _one_a_line(spark, sf_dir)
+    key, name = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), F.concat(F.lit("r"), "l_orderkey")
+    one = lambda seq, comment: r.select(key, F.concat(name, F.lit(comment)).alias("name"), seq.alias("seq"), F.repeat(F.lit("F"), F.length(seq)).alias("qual"))
+    return reads.extract(one(F.concat("umi", F.lit("GATTACA")), " 1:N"), one(F.concat(S.reverse_complement(F.col("umi")), F.lit("CC")), " 2:N"), (3, 8), (1, 4))
+
+
+@query(("with recursive " + DIR_SQL + REACH_SQL).replace("select r.group_id, x.umi", ", t as (select r.group_id, x.umi") + "), rep as (select t.group_id, r.umi, sum(t.n_reads) as n from t join rows_ r on r.group_id = t.group_id and r.input_pos = t.lead group by t.group_id, r.umi, t.lead), white as (select distinct parent from reads where l_orderkey % 2 = 0) select group_id, case when umi in (select parent from white) then umi else 'Non-whitelist UMI' end as umi, sum(n)::bigint as n_reads from rep group by 1, 2")
+def umi_whitelisted(spark, sf_dir):
+    white = reads_view(spark, sf_dir).filter("l_orderkey % 2 = 0").select(F.col("parent").alias("umi"))
+    return compare.representatives(compare.groups(materialise(counts_view(spark, sf_dir).drop("input_pos"))), white)
+
+
+@query("with " + READS_SQL + ONE_SQL + """, o as (select group_id, umi, row_number() over (order by l_orderkey, l_linenumber) as input_pos from one),
+c as (select *, case when lag(group_id) over (order by input_pos) is not distinct from group_id then 0 else 1 end as changed from o)
+select input_pos::bigint as input_pos, umi, group_id || chr(31) || sum(changed) over (order by input_pos rows unbounded preceding)::bigint as group_id from c""")
+def umi_strict_runs(spark, sf_dir):
+    rows = numbering.numbered(_one_a_line(spark, sf_dir).select("group_id", "umi", "l_orderkey", "l_linenumber"), "input_pos", [], [(F.floor(F.col("l_orderkey") / 1024), False)], ["l_orderkey", "l_linenumber"])
+    return clustering.with_runs(rows.select("group_id", "umi", "input_pos")).select("input_pos", "umi", "group_id")
+
+
+@query("with " + FACTS_SQL + " select tool, num_founder, round(avg(v), 9) as mean, round(stddev_samp(v), 9) as sd, round(3 * stddev_samp(v) / sqrt(count(v)), 9) as three_se from facts group by 1, 2")
+def umi_error_bars(spark, sf_dir):
+    got = quality.error_bars(_facts(spark, sf_dir), ["tool", "num_founder"], "V-measure")
+    return got.select("tool", "num_founder", *[F.round(c, 9).alias(c) for c in ("mean", "sd", "three_se")])
+
+
 @query()
 def umi_simulate(spark, sf_dir):
     return simulate.reads(simulate.parents(spark, 100, 18), 0.005, mean_children=20)

@@ -7,14 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from founderflow.functions.numbering import numbered
+
 COUNT_SCHEMA = "group_id string, umi string, n_reads long"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 0, line) in file order. The only use of an RDD: its zipWithIndex numbers lines in two passes
-    without bringing them together, which no DataFrame function does."""
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(lines, "line_no long, line string")
+    """(line_no from 0, line) in file order: lines are counted by input split, and numbered from their split's start."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")  # a row a split
+    splits = splits.withColumn("before", before)
+    return lines.join(splits, ["file", "start"]).select((F.col("id") - F.col("first") + F.col("before")).alias("line_no"), "line")
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -114,5 +118,5 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
 def dense_labels(clustered: DataFrame) -> DataFrame:
     """Adds label, the founder's dense rank by group and barcode, from 0. Founders are ranked on their own table."""
     names = clustered.select("group_id", "founder").distinct()
-    ranked = names.withColumn("label", F.dense_rank().over(W.orderBy("group_id", "founder")) - 1)
-    return clustered.join(ranked, ["group_id", "founder"])
+    ranked = numbered(names, "label", [], [(F.col("group_id"), False), (F.substring("founder", 1, 6), False)], ["founder"])
+    return clustered.join(ranked.withColumn("label", (F.col("label") - 1).cast("int")), ["group_id", "founder"])

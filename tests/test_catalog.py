@@ -20,6 +20,7 @@ def rows(table):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
+    con.execute("set threads = 4")
     con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
     want = con.execute(catalog.ORACLES[name]).to_arrow_table()
     got = catalog.QUERIES[name](spark, SF).toArrow()

@@ -102,6 +102,23 @@ def brute(rows, method, t=1):
     return lead
 
 
+def brute_cover(rows):
+    """Per component the fewest of the best ranked that cover it with their neighbours, tried one after the other."""
+    from founderflow.operators.clustering import within
+
+    order = [u for u, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    rank = {u: i for i, u in enumerate(order, 1)}
+    near = {u: {v for v in order if u != v and within(u, v, 1) >= 0} for u in order}
+    component, out = brute(rows, "cluster"), {}
+    for c in set(component.values()):
+        nodes = [u for u in order if component[u] == c]
+        k = next(k for k in range(1, len(nodes) + 1) if set(nodes) <= set(nodes[:k]).union(*(near[u] for u in nodes[:k])))
+        for u in nodes[k:]:
+            out[u] = next(rank[v] for v in nodes[:k] if u in near[v])
+        out |= {u: rank[u] for u in nodes[:k]}
+    return out
+
+
 @pytest.mark.parametrize("method", ["cluster", "directional"])
 def test_methods(spark, method):
     rng = random.Random(3)
@@ -109,8 +126,7 @@ def test_methods(spark, method):
     df = spark.createDataFrame([("1", u, n) for u, n in rows], "group_id string, umi string, n_reads long")
     assert {r.umi: r.lead for r in compare.groups(df, method).collect()} == brute(rows, method)
     assert compare.groups(df, "unique").count() == len(rows)
-    covered = compare.groups(df, "adjacency")
-    assert covered.count() == len(rows) and covered.filter("lead is null").count() == 0
+    assert {r.umi: r.lead for r in compare.groups(df, "adjacency").collect()} == brute_cover(rows)
     bucket = compare.representatives(compare.groups(df, method), df.limit(1).select("umi")).agg(F.sum("n_reads")).first()[0]
     assert bucket == sum(n for _, n in rows)
 
@@ -118,11 +134,83 @@ def test_methods(spark, method):
 def test_alignment_methods(spark):
     df = spark.createDataFrame([("1", u) for u in ("ACGTACGT", "ACGTACGA", "TTTTGGGG")], "group_id string, umi string")
     assert sorted(r["size"] for r in compare.threshold_clusters(df, 5).collect()) == [1, 2, 2]
-    assert compare.threshold_scan(df, [2, 5, 9]).count() == 3
+    scan = {r.threshold: r for r in compare.threshold_scan(df, [2, 5, 9]).collect()}
+    assert {t: (r.mean_similarity, r.median_size) for t, r in scan.items()} == {2: (3.5, 1.5), 5: (3.5, 1.5), 9: (0.0, 1.0)}
+    assert scan[2].gain is None and scan[5].gain == 0 and scan[9].gain == -3.5
+    many = spark.createDataFrame([(t, s) for t, s in ((10, 5.0), (15, 8.0), (20, 9.0), (25, 9.1), (30, 20.0))], "threshold int, mean_similarity double")
+    from pyspark.sql import Window
+
+    gains = many.withColumn("gain", F.col("mean_similarity") - F.lag("mean_similarity").over(Window.orderBy("threshold")))
+    assert compare.elbow(gains, 18).first().threshold == 20 and compare.elbow(gains, 60).first().threshold is None
     fq = spark.createDataFrame([(0, "AAGATTACACCGG"), (1, "CCGGTGTAATCTT"), (2, "GATTACA")], "read_id long, seq string")
     assert {r.read_id: r.umi for r in compare.extract_by_probe(fq, "GATTACA", 4, 6).collect()} == {0: "CCGG", 1: "CCGG"}
 
 
+def test_simulation_and_fact_files(spark, tmp_path):
+    made = simulate.reads(simulate.parents(spark, 5, 10), 0.1, 6)
+    tables.write_simulation(made, str(tmp_path / "sim"), str(tmp_path / "labels"))
+    lines = [x.split("\t") for f in (tmp_path / "sim").glob("part-*") for x in f.read_text().splitlines()]
+    assert len(lines) == made.count() and all(len(x) == 3 for x in lines)
+    assert sorted(int(x.split(" ")[1]) for f in (tmp_path / "labels").glob("part-*") for x in f.read_text().splitlines()) == sorted(r.parent_label for r in made.collect())
+    facts = spark.createDataFrame([("a", 2, 0.5), ("b", 1, None)], "tool string, num_founder int, value double")
+    tables.write_facts(facts, str(tmp_path / "facts"), ["num_founder"])
+    back = tables.read_facts(spark, str(tmp_path / "facts"))
+    assert sorted(map(tuple, back.collect())) == [("a", 2, 0.5), ("b", 1, None)]
+    clustered = spark.createDataFrame([("1", "ACGT", "ACGA", 3), ("1", "ACGA", "ACGA", 9)], "group_id string, umi string, founder string, n_reads long")
+    tables.write_assignments(clustered, str(tmp_path / "assigned"))
+    tables.write_counts(clustered, str(tmp_path / "counts"))
+    text = lambda name: [x for f in sorted((tmp_path / name).glob("part-*")) for x in f.read_text().splitlines()]
+    assert sorted(text("assigned")) == ["1\tACGA\tACGA", "1\tACGT\tACGA"] and text("counts") == ["1\tACGA\t9", "1\tACGT\t3"]
+    compare.write_clusters(spark.createDataFrame([(0, 2, "a", "AC"), (0, 2, "b", "GG"), (1, 1, "c", "TT")], "cluster long, size long, name string, seq string"), str(tmp_path / "clusters"), 2)
+    assert sorted(x for f in (tmp_path / "clusters" / "cluster=0").glob("part-*") for x in f.read_text().splitlines()) == [">a", ">b", "AC", "GG"] and not (tmp_path / "clusters" / "cluster=1").exists()
+
+
+def test_numbering(spark, tmp_path):
+    from founderflow.functions import numbering
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.randint(0, 5), i) for i in rng.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "g string, n int, i int").repartition(7)
+    got = {(r.g, r.i): r.at for r in numbering.numbered(df, "at", ["g"], [(F.col("n"), True), (F.floor(F.col("i") / 100), False)], ["i"]).collect()}
+    for g in "ab":
+        for at, (_, i) in enumerate(sorted((-n, i) for h, n, i in rows if h == g), 1):
+            assert got[g, i] == at
+    every = {r.i: r.at for r in numbering.numbered(df, "at", [], [(F.floor(F.col("i") / 50), False)], ["i"]).collect()}
+    assert every == {i: at for at, i in enumerate(sorted(i for _, _, i in rows), 1)}
+    big = [("a", 65_534), ("a", 65_535), ("a", 65_536), ("b", 65_537), (None, 65_538), (None, 131_072), ("a", 200_000), ("a", 200_001), ("b", 400_000)]
+    found = numbering.runs(spark.createDataFrame(big, "g string, i long").repartition(5), "g", "i", "run").orderBy("i").collect()
+    assert [r.run for r in found] == [1, 1, 1, 2, 3, 3, 4, 4, 5]
+    some = spark.createDataFrame([("x", 3), ("y", 0), ("z", 150_000), ("w", None)], "k string, n long")
+    for spread in (False, True):
+        made = numbering.copies(some, F.col("n"), "c", spread).groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("c").alias("d"), F.min("c").alias("a"), F.max("c").alias("b")).collect()
+        assert sorted(map(tuple, made)) == [("x", 3, 3, 0, 2), ("z", 150_000, 150_000, 0, 149_999)]
+    (tmp_path / "lines").write_text("".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = tables.numbered_lines(spark, str(tmp_path / "lines"))
+        assert lines.rdd.getNumPartitions() > 1 and all(r.line == f"line {r.line_no}" for r in lines.collect()) and lines.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_per_read_and_counts(spark):
+    c = spark.createDataFrame([("1", "AC", "AC", 0, 3), ("1", "AG", "AC", 0, 0), ("1", "TT", "TT", 1, 1)], "group_id string, umi string, founder string, label int, n_reads long")
+    assert sorted(map(tuple, quality.per_read(c).collect())) == [("AC", 0)] * 3 + [("TT", 1)]
+    assert quality.cluster_count(c, ["group_id"]).first().clusters == 2
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from founderflow.plans import storage
+
+    class Session:
+        conf = type("", (), {"get": staticmethod(lambda key, other=None: None)})
+        sparkContext = type("", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
+
+
 def test_simulation(spark):
     p = simulate.parents(spark, 30, 10)
     assert p.select("umi").distinct().count() == 30
