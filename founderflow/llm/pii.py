@@ -1,7 +1,7 @@
 r"""Surrogates for personal data and secrets, with DataFrame and SQL functions only.
 
-Entities are found by one pattern: e-mail addresses, keys and named secrets, IP addresses, card numbers (Luhn
-checked), phone numbers, social security numbers, IBANs, and names after a title or beginning with a known given
+Entities are found by one pattern: e-mail addresses, keys and named secrets, IP addresses, card numbers (with an
+issuer's leading digits and a valid check digit), phone numbers, social security numbers, IBANs, and names after a title or beginning with a known given
 name. Each becomes a keyed, type-consistent replacement: digits for digits, lower and upper case letters for theirs,
 separators in place; cards keep the first digit and a valid check digit, phones their country code, addresses their
 top level domain, octets stay in range, keys their prefix; names keep gender, script and letter case. Keys and
@@ -60,6 +60,8 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 SECRET = r"^([^=:]*[=:][ \t]{0,2}[\"']?)(.*)$"  # what a secret is named, and its value to the end
+# Leading digits under which payment cards are issued; fixed values. A tenth of all other long numbers pass the check digit.
+ISSUED = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[0-9]|6)"
 STRICT = 8  # draws of the form's own length
 QUERY_KEY = "surrogate-key-1"  # of the registered query and the pipeline, unless the session sets CONF
 CONF = "spark.founderflow.pii.key"
@@ -210,7 +212,7 @@ def _titled(name: Column, raw: Column) -> Column:
 def replacements(raws: DataFrame, key: str) -> DataFrame:
     """raws: distinct raw entities. (raw, replacement) for each."""
     k = raws.withColumn("kind", kind_of(F.col("raw")))
-    k = k.filter((F.col("kind") != "card") | (luhn_sum(_digits(F.col("raw"))) == 0))
+    k = k.filter((F.col("kind") != "card") | (_digits(F.col("raw")).rlike(ISSUED) & (luhn_sum(_digits(F.col("raw"))) == 0)))
     names, told = _names(F.col("raw"))
     two = (F.col("kind") == "name") & (F.size(names) == 2)
     k = k.select("raw", "kind", F.when(two, F.lower(F.array_join(names, " "))).alias("person"), told.alias("told"))

@@ -372,6 +372,17 @@ def test_surrogates_against_plain_search(spark):
     assert len(set(seen.values())) == len(seen) > 100 and not set(seen.values()) & {m for _, m in seen}
 
 
+def test_numbers_that_are_no_cards_stay(spark):
+    def valid(body):
+        total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    cards = [valid(p.ljust(15, "7")) for p in ("4", "51", "2221", "2720", "34", "6011", "35", "62")]
+    others = [valid(p.ljust(15, "7")) for p in ("0", "1", "7", "8", "9", "2220", "2721", "59")] + [str(int(c) ^ 1) for c in cards]
+    got = anonymised(spark, " and ".join(cards), " and ".join(others))
+    assert got[1] == " and ".join(others) and not set(cards) & set(got[0].split())
+
+
 def test_surrogates_query_and_clashes(spark, frames):
     path = frames(documents=([(1, "Mr. Foo", "s", 7), (None, None, None, None), (2, "", "s", 0), (1, "Mr. Foo", "s", 7)], "doc_id long, text string, ff_s string, n_chars long"))
     got = pii.op1_pii_surrogates(spark, path).collect()
