@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from founderflow.plans.storage import forget, materialise
+from founderflow.plans.storage import CLEANUP, forget, materialise, shared_dir
 
 __all__ = ["forget", "materialise"]
 
@@ -29,6 +30,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """materialise() into one bucket a shuffle partition by the column, so that joins and groups on it don't move these rows.
+
+    A table of the session's catalog is made for the write and dropped, without its files, as soon as it is read."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"ff_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, column).format("parquet").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.table(name)
+    spark.sql(f"drop table {name}")
+    back._ff_path = path
+    return back
+
+
 def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with columns of these names renamed, and what gives df's columns back their names."""
     before, taken = df.columns, {n.lower() for n in names}

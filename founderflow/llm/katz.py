@@ -16,7 +16,7 @@ its context and the number of its last word, so only words are hashed, n-grams a
 Exchange, a level at a time. Texts are packed in blocks of some megabytes. A block sends, by partition, each distinct
 n-gram it holds once, with its count in training texts: so a very common n-gram is an entry a block, not one a token.
 What a lower level has shown not to exist is not asked for. The partition adds up the counts, writes its piece of the
-table and answers each block. There are 256 partitions for each 512 blocks, so up to that size a block is 256
+table and answers each block. N-grams longer than pairs go in ROUNDS, so that a share of them is on disk at a time. There are 256 partitions for each 512 blocks, so up to that size a block is 256
 rows of the exchange and rows grow with the input; beyond it a row is a block's n-grams of one partition,
 never more rows than n-grams. Nothing else is collected but the counts of counts. Shuffle files are removed as soon
 as their level is written.
@@ -33,6 +33,7 @@ all words are the unknown word of probability 1; an empty table gives no rows; e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,10 @@ from . import common
 U64 = np.uint64
 END = U64(0xE4D0F7E9A1B2C3D5)
 CUT = 5
-TEXT_BYTES = 10 << 20
+TEXT_BYTES = 4 << 20
 PARTS, BLOCKS_A_ROUND = 256, 512
 HOT = 1 << 16
+ROUNDS = 2  # in which n-grams longer than pairs are exchanged, a share of the partitions each: half the disk, some more time
 UNKNOWN = -1  # of an n-gram; 0 is the beginning of a text, others are numbered from 1
 BLOCK = "block long, doc_ids array<bigint>, held binary, vocab binary, tokens binary"
 ASK = "part int, block long, blob binary"
@@ -99,7 +101,7 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values = x[order]
     new = np.ones(n, bool)
     new[1:] = values[1:] != values[:-1]
-    of = np.empty(n, np.int64)
+    of = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     of[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     return values[first].view(np.int64), order[first], of
@@ -202,8 +204,8 @@ class Model:
 
 
 class Block:
-    """The tokens of a block and what has been answered: by level, each token's n-gram's number and count, its context's
-    count, whether discounts leave nothing to the context, and the context's weight."""
+    """The tokens of a block and what has been answered: by level, each token's n-gram's number and count, whether discounts
+    leave nothing to its context, and, of tokens that are not learned from, the context's weight."""
 
     def __init__(self, row: dict, model: Model, learn: bool):
         self.number, self.model, self.ids = row["block"], model, row["doc_ids"]
@@ -215,7 +217,7 @@ class Block:
         self.first = np.zeros(len(self.tokens), bool)
         self.first[self.at[:-1]] = True
         self.train = np.repeat(~self.held & learn, self.n)
-        self.key, self.count, self.total, self.full, self.weight = {}, {}, {}, {}, {}
+        self.key, self.count, self.full, self.weight = {}, {}, {}, {}
 
     def _before(self, x: np.ndarray, at_start) -> np.ndarray:
         out = np.empty_like(x)
@@ -223,6 +225,10 @@ class Block:
         out[self.first] = at_start
         return out
 
+    def total(self, level: int) -> np.ndarray:
+        """The count of each token's context: as often as the shorter n-gram that it is, and a beginning as texts."""
+        return np.where(self._before(self.key[level - 1], 0) >= 0, self._before(self.count[level - 1], self.model.texts), 0)
+
     def words(self) -> Iterator[tuple[int, bytes]]:
         """(partition, blob): word hashes and their counts in training texts."""
         counts = np.bincount(self.tokens[self.train], minlength=len(self.vocab))
@@ -233,7 +239,7 @@ class Block:
 
     def take_words(self, answers: list[tuple[int, bytes]]) -> None:
         got = [(p, *thaw(b)) for p, b in answers]
-        rank, count = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in (1, 2))
+        rank, count = np.concatenate([np.zeros(0, np.int64), *[g[1] for g in got]]), np.concatenate([np.zeros(0, np.int64), *[g[2] for g in got]])
         part = np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)
         self.key[1] = numbered(rank, part, self.model.parts)[self.tokens]
         self.count[1] = count[self.tokens]
@@ -243,15 +249,14 @@ class Block:
         word 0 stands for all others of a context, whose weight is asked for only."""
         m = self.model
         h = self._before(self.key[level - 1], 0)
-        self.total[level] = np.where(h >= 0, self._before(self.count[level - 1], m.texts), 0)
         self.some = np.flatnonzero(h >= 0)
         ctx, ctx_first, ctx_of = distinct(h[self.some])
         word, _, word_of = distinct(np.where(self.key[level - 1] >= 0, self.key[1], 0)[self.some])
-        gram, first, of = distinct(ctx_of * max(1, len(word)) + word_of)
+        gram, first, of = distinct(ctx_of.astype(np.int64) * max(1, len(word)) + word_of)
         at, w = gram // max(1, len(word)), word[gram % max(1, len(word))]
         with np.errstate(over="ignore"):
             where = common.mix(ctx.view(U64) + U64(level))
-            self.hot = self.total[level][self.some][ctx_first] >= m.hot_from
+            self.hot = self.total(level)[self.some][ctx_first] >= m.hot_from
             where = np.where(self.hot[at], common.mix(where[at] * common.BASE + w.view(U64)), where[at])
         part = part_of(where, m.parts)
         self.order = by_part(part)
@@ -264,14 +269,14 @@ class Block:
         need = np.bincount(ctx_of, ~self.train[self.some], len(ctx)) > 0
         self.need = need & ~self.hot
 
-    def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
+    def ask(self, level: int, turn: int = 0, turns: int = 1) -> Iterator[tuple[int, bytes]]:
         self.grams(level)
         pick = lambda x: x[self.some]
         counts = np.bincount(self.of, pick(self.train), len(self.grams_first)).astype(np.int64)[self.order]
         lower = pick(self.count[level - 1])[self.grams_first][self.order]
         cx = self.gram_ctx[self.run]
         if level > 2:
-            lower_total, lower_full = (pick(x)[self.ctx_first][cx] for x in (self.total[level - 1], self.full[level - 1]))
+            lower_total, lower_full = (pick(x)[self.ctx_first][cx] for x in (self.total(level - 1), self.full[level - 1]))
         else:
             lower_total = lower_full = np.zeros(len(cx), np.int64)
         ctx, hot, need = self.ctx[cx], self.hot[cx], self.need[cx]
@@ -279,6 +284,8 @@ class Block:
         cut = np.searchsorted(self.part, np.arange(self.model.parts + 1))
         runs = np.searchsorted(self.run, cut)
         for p in np.flatnonzero(np.diff(cut)):
+            if p % turns != turn:
+                continue
             c, g = slice(runs[p], runs[p + 1]), slice(cut[p], cut[p + 1])
             yield int(p), freeze(np.diff(ctx[c], prepend=0), size[c], lower_total[c], lower_full[c] + 2 * hot[c] + 4 * need[c], self.gram_word[g], counts[g], lower[g])
 
@@ -287,12 +294,14 @@ class Block:
         got = [thaw(b) for _, b in answers]
         cat = lambda k, kind: np.concatenate([np.zeros(0, kind), *[g[k] for g in got]])
         key, count = np.empty(len(self.part), np.int64), np.empty(len(self.part), np.int64)
-        key[self.order], count[self.order] = numbered(cat(0, np.int64), self.part, self.model.parts), cat(1, np.int64)
+        rank = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(g[0]) for g in got]])
+        counted = cat(1, np.int64)
+        key[self.order], count[self.order] = numbered(np.where(counted > 0, rank, 0), self.part, self.model.parts), counted
         cx = self.gram_ctx[self.run]
         full, weight = np.zeros(len(self.ctx), bool), np.ones(len(self.ctx))
         full[cx] = cat(2, np.int64).astype(bool) | (self.model.discounts[level][1:] >= 1).all()
         asked = cx[self.need[cx]]
-        weight[asked], _ = self.model.weight(level, self.total[level][self.some][self.ctx_first[asked]], cat(3, np.int64).reshape(-1, CUT), cat(4, np.float64))
+        weight[asked], _ = self.model.weight(level, self.total(level)[self.some][self.ctx_first[asked]], cat(3, np.int64).reshape(-1, CUT), cat(4, np.float64))
         if self.hot.any():
             ids, w, f = self.model.hot[level]
             at = np.searchsorted(ids, self.ctx[self.hot])
@@ -304,7 +313,7 @@ class Block:
             return out
 
         self.key[level], self.count[level] = spread(key, self.of, UNKNOWN), spread(count, self.of, 0)
-        self.full[level], self.weight[level] = spread(full, self.ctx_of, False), spread(weight, self.ctx_of, 1.0)
+        self.full[level], self.weight[level] = spread(full, self.ctx_of, False), spread(weight, self.ctx_of, 1.0)[~self.train]
 
     def probabilities(self) -> np.ndarray:
         """log10 P of each token, by the recursion from words up."""
@@ -312,8 +321,9 @@ class Block:
         logs = np.log10(np.where(c > 0, m.seen(1, c, c, c), m.unknown))
         for n in range(2, m.order + 1):
             c = self.count[n]
-            share = m.seen(n, c, self.total[n], self.full[n])
-            logs = np.where(c > 0, np.log10(np.where(c > 0, share, 1.0)), np.log10(np.maximum(self.weight[n], 1e-300)) + logs)
+            share = m.seen(n, c, self.total(n), self.full[n])
+            logs[~self.train] += np.log10(np.maximum(self.weight[n], 1e-300))
+            logs = np.where(c > 0, np.log10(np.where(c > 0, share, 1.0)), logs)
         return logs
 
     def scores(self) -> pa.RecordBatch:
@@ -370,11 +380,13 @@ def _count_words(t: pa.Table) -> pa.Table:
     else:
         known, total = thaw(stored)
         known, table, stats = np.cumsum(known.view(U64), dtype=U64), None, None
-    out = []
+    rank = np.empty(len(known) + 1, np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(1, len(known) + 1)  # frequent words have small numbers, which pack well
+    rank[-1], total, out = 0, np.append(total, 0), []
     for h in hashes:
-        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-        out.append(freeze(np.where(hit, at + 1, 0), np.where(hit, total[at], 0) if len(known) else np.zeros(len(h), np.int64)))
+        at = np.searchsorted(known, h)
+        at = np.where(np.append(known, U64(0))[at] == h, at, len(known))
+        out.append(freeze(rank[at], total[at]))
     return _answer_rows(1, part, blocks, out, table, stats, [])
 
 
@@ -390,29 +402,31 @@ def _count_grams(t: pa.Table, level: int, model: Model) -> pa.Table:
         ctxs, ctx_first, ctx_of = distinct(ctx)
         of_entry = np.repeat(ctx_of, size)
         words, _, word_of = distinct(word)
-        gram, first, of = distinct(of_entry * max(1, len(words)) + word_of)
+        gram, first, of = distinct(of_entry.astype(np.int64) * max(1, len(words)) + word_of)
         total = np.bincount(of, cat(a[5] for a in asks), len(gram)).astype(np.int64)
         seen = total > 0
         gram, first, count = gram[seen], first[seen], total[seen]
         at = gram // max(1, len(words))
         entry_run = np.repeat(np.arange(len(ctx)), size)[first]
-        lower = model.seen(level - 1, cat(a[6] for a in asks)[first], cat(a[2] for a in asks)[entry_run], (flags[entry_run] & 1) > 0)
+        lower_count, lower_total, lower_full = cat(a[6] for a in asks)[first], cat(a[2] for a in asks), flags & 1
+        lower = model.seen(level - 1, lower_count, lower_total[entry_run], lower_full[entry_run] > 0)
         n, few, low = np.bincount(at, count, len(ctxs)).astype(np.int64), _few(at, count, len(ctxs)), np.bincount(at, lower, len(ctxs))
         partial = [dict(zip(["ctx", *SUMS], [int(ctxs[i]), int(n[i]), *few[i].tolist(), float(low[i])])) for i in np.flatnonzero((flags[ctx_first] & 2) > 0)]
         ranks = np.where(seen, np.cumsum(seen), 0)
-        table = freeze(np.diff(ctxs, prepend=0), np.bincount(at, minlength=len(ctxs)), words[gram % max(1, len(words))], count, low)
+        table = freeze(np.diff(ctxs, prepend=0), np.bincount(at, minlength=len(ctxs)), words[gram % max(1, len(words))], count, *([low] if level == 2 else [lower_count, lower_total[ctx_first], lower_full[ctx_first]]))  # whichever is less
         stats = _stats(count)
         rank, got = ranks[of], total[of]
     else:
-        ctxs, sizes, known, count, low = thaw(stored)
+        ctxs, sizes, known, count, *lower = thaw(stored)
         ctxs, table, stats, partial = np.cumsum(ctxs), None, None, None
         ctx_of = np.minimum(np.searchsorted(ctxs, ctx), max(0, len(ctxs) - 1))
         hit = ctxs[ctx_of] == ctx if len(ctxs) else np.zeros(len(ctx), bool)
         words, _, word_of = distinct(np.concatenate([known, word]))
         at = np.repeat(np.arange(len(ctxs)), sizes)
         few = _few(at, count, len(ctxs))
+        low = lower[0] if level == 2 else np.bincount(at, model.seen(level - 1, lower[0], lower[1][at], lower[2][at] > 0), len(ctxs))
         keys = at * max(1, len(words)) + word_of[:len(known)]
-        mine = np.where(np.repeat(hit, size), np.repeat(ctx_of, size) * max(1, len(words)) + word_of[len(known):], -1)
+        mine = np.where(np.repeat(hit, size), np.repeat(ctx_of.astype(np.int64), size) * max(1, len(words)) + word_of[len(known):], -1)
         at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
         found = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
         rank, got = np.where(found, at + 1, 0), np.where(found, count[at], 0) if len(keys) else np.zeros(len(mine), np.int64)
@@ -423,27 +437,44 @@ def _count_grams(t: pa.Table, level: int, model: Model) -> pa.Table:
         c, e = slice(run, run + len(a[0])), slice(entry, entry + len(a[4]))
         run, entry = c.stop, e.stop
         need = (flags[c] & 4) > 0
-        out.append(freeze(rank[e] if level < model.order else np.zeros(len(a[4]), np.int64), got[e], few[ctx_of[c]].sum(axis=1) == 0, few[ctx_of[c]][need].reshape(-1), low[ctx_of[c]][need]))
+        out.append(freeze(np.diff(np.maximum.accumulate(rank[e]), prepend=0) if level < model.order else np.zeros(len(a[4]), np.int64), got[e], few[ctx_of[c]].sum(axis=1) == 0, few[ctx_of[c]][need].reshape(-1), low[ctx_of[c]][need]))
     return _answer_rows(level, part, blocks, out, table, stats, partial)
 
 
 class Scorer:
     """Learns from the blocks' training texts; `scores` are those of all their texts, `score` those of any other blocks.
 
-    `tables` holds the model: a row a level and partition, in the shared folder.
+    `tables` holds the model: a row a level and partition, in the shared folder. With `own`, tables of blocks are deleted
+    once the next step has written what it needs of them.
     """
 
-    def __init__(self, blocks: DataFrame, order: int = 3, parts: int = PARTS):
-        self.blocks, self.spark = blocks, blocks.sparkSession
+    def __init__(self, blocks: DataFrame, order: int = 3, parts: int = PARTS, own: bool = False):
+        self.spark = blocks.sparkSession
         self.model = Model(order, parts * max(1, -(-blocks.count() // BLOCKS_A_ROUND)))
         self.tables: DataFrame | None = None
-        self._answers: DataFrame | None = None
-        for level in range(1, order + 1):
-            got = self._exchange(blocks, self._answers, level, True)
-            piece = got.filter(F.col("block") == TABLE).select("level", "part", "block", "blob")
-            self.tables = piece if self.tables is None else self.tables.unionByName(piece)
-            self._answers = self._joined(self._answers, got)
-            self._learn(level, got.filter(F.col("block") == HEAD))
+        self._state = self._through(blocks, True, own)
+
+    def _through(self, state: DataFrame, learn: bool, own: bool) -> DataFrame:
+        """The blocks with the answers of all levels; the last level's are joined, not written."""
+        for level in range(1, self.model.order + 1):
+            turns = ROUNDS if level > 2 else 1
+            parts = [self._exchange(state, level, learn, turn, turns) for turn in range(turns)]
+            got = reduce(DataFrame.unionByName, parts)
+            last = level == self.model.order
+            if learn:
+                self._learn(level, got.filter(F.col("block") == HEAD))
+                piece = got.filter(F.col("block") == TABLE).select("level", "part", "block", "blob")
+                piece = piece if last else common.materialise(piece, "uncompressed")
+                self.tables = piece if level == 1 else self.tables.unionByName(piece)
+            mine = got.filter(F.col("block") >= 0).groupBy("block").agg(F.collect_list(F.struct("level", "part", "blob")).alias("more"))
+            after = state.drop("vocab").join(mine, "block")
+            answers = F.concat("answers", "more") if "answers" in state.columns else F.col("more")
+            after = after.select("block", "doc_ids", "held", "tokens", answers.alias("answers"))
+            if not last:
+                after = common.bucketed(after, "block")  # the next join moves answers only
+                common.forget(*parts, *([state] if own or level > 1 else []))
+            state = after
+        return state
 
     def _learn(self, level: int, heads: DataFrame) -> None:
         rows = heads.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row a statistic
@@ -455,18 +486,8 @@ class Scorer:
         self.model.counted(level, stats)
         self.model.hot[level] = (hot[:, 0].astype(np.int64), *self.model.weight(level, hot[:, 1].astype(float), hot[:, 2:-1].astype(float), hot[:, -1].astype(float)))
 
-    @staticmethod
-    def _joined(answers: DataFrame | None, got: DataFrame) -> DataFrame:
-        got = got.filter(F.col("block") >= 0).select("level", "part", "block", "blob")
-        return got if answers is None else answers.unionByName(got)
-
-    def _over(self, blocks: DataFrame, answers: DataFrame | None, work, schema: str, upto: int, learn: bool) -> DataFrame:
+    def _over(self, blocks: DataFrame, work, schema: str, learn: bool) -> DataFrame:
         """Maps blocks, with all their answers so far, by work(block)."""
-        if answers is None:
-            rows = blocks
-        else:
-            mine = answers.groupBy("block").agg(F.collect_list(F.struct("level", "part", "blob")).alias("answers"))
-            rows = blocks.drop("vocab").join(mine, "block")
         model = self.spark.sparkContext.broadcast(self.model)
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,24 +496,24 @@ class Scorer:
                     row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "answers"}
                     b = Block(row, model.value, learn)
                     if "answers" in batch.schema.names:
-                        listed = batch.column("answers")[i].values
-                        levels, parts, blobs = (listed.field(c) for c in ("level", "part", "blob"))
-                        order = np.lexsort((parts.to_numpy(), levels.to_numpy()))
-                        for level in range(1, upto):
-                            mine = [(parts[k].as_py(), blobs[k].as_py()) for k in order.tolist() if levels[k].as_py() == level]
+                        levels, parts, blobs = (batch.column("answers")[i].values.field(c) for c in ("level", "part", "blob"))
+                        levels, parts = levels.to_numpy(), parts.to_numpy()
+                        for level in np.unique(levels).tolist():
+                            of = np.flatnonzero(levels == level)
+                            mine = [(int(parts[k]), blobs[int(k)].as_py()) for k in of[np.argsort(parts[of])]]
                             b.take_words(mine) if level == 1 else b.take(level, mine)
                     yield from work(b)
 
-        return rows.mapInArrow(run, schema)
+        return blocks.mapInArrow(run, schema)
 
-    def _exchange(self, blocks: DataFrame, answers: DataFrame | None, level: int, learn: bool) -> DataFrame:
+    def _exchange(self, blocks: DataFrame, level: int, learn: bool, turn: int, turns: int) -> DataFrame:
         def ask(b: Block) -> Iterator[pa.RecordBatch]:
-            for part, blob in b.words() if level == 1 else b.ask(level):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b.number], pa.int64()), pa.array([blob], pa.binary())], ["part", "block", "blob"])
+            rows = list(b.words() if level == 1 else b.ask(level, turn, turns))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b.number] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "block", "blob"])
 
-        asked = self._over(blocks, answers, ask, ASK, level, learn)
+        asked = self._over(blocks, ask, ASK, learn)
         if not learn:
-            asked = asked.unionByName(self.tables.filter(F.col("level") == level).select("part", "block", "blob"))
+            asked = asked.unionByName(self.tables.filter((F.col("level") == level) & (F.col("part") % turns == turn)).select("part", "block", "blob"))
         model = self.spark.sparkContext.broadcast(self.model)
 
         def count(t: pa.Table) -> pa.Table:
@@ -501,16 +522,13 @@ class Scorer:
         return common.materialise(asked.groupBy("part").applyInArrow(count, ANSWER), "uncompressed")
 
     def scores(self) -> DataFrame:
-        return self._over(self.blocks, self._answers, lambda b: iter([b.scores()]), SCORES, self.model.order + 1, True)
+        return self._over(self._state, lambda b: iter([b.scores()]), SCORES, True)
 
     def score(self, blocks: DataFrame) -> DataFrame:
         """Scores of other blocks, from the stored tables."""
-        answers = None
-        for level in range(1, self.model.order + 1):
-            answers = self._joined(answers, self._exchange(blocks, answers, level, False))
-        return self._over(blocks, answers, lambda b: iter([b.scores()]), SCORES, self.model.order + 1, False)
+        return self._over(self._through(blocks, False, False), lambda b: iter([b.scores()]), SCORES, False)
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Scorer(packed(docs, common.fold("doc_id", 10) == 0), order).scores()
+    return Scorer(packed(docs, common.fold("doc_id", 10) == 0), order, own=True).scores()
