@@ -41,25 +41,36 @@ def site_levels(url: Column, depth: int = 2) -> dict[str, Column]:
     return {"host": F.when(host != "", host), **{f"path_{n}": cut(n) for n in range(1, depth + 1)}}
 
 
+def _hashes(text: str) -> Column:
+    return F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: F.xxhash64(w))
+
+
+def _bucket(h: Column) -> Column:
+    return (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")
+
+
 def _buckets(text: str, pairs: bool) -> Column:
     """The buckets, from 1, of a text's words or of its pairs of adjacent words."""
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")
-    if pairs:
-        words = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
+    h = _hashes(text)
+    if not pairs:
+        return F.transform(h, _bucket)
+    n = F.size(h) - 1
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: _bucket(F.xxhash64(a, b)))
+
+
+def ngram_score(weights: np.ndarray, words: float, pairs: float, text: str = "text") -> Column:
+    """words * the mean weight of a text's words + pairs * that of its pairs, in one pass over the text."""
+    one, two = (F.expr("array(" + ",".join(f"{w!r}D" for w in (c * row).tolist()) + ")") for c, row in zip((words, pairs), weights))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("n"))
 
+    def step(acc: Column, h: Column) -> Column:
+        pair = F.when(acc["last"].isNull(), F.lit(0.0)).otherwise(F.element_at(two, _bucket(F.xxhash64(acc["last"], h))))
+        return F.struct(h.alias("last"), (acc["a"] + F.element_at(one, _bucket(h))).alias("a"), (acc["b"] + pair).alias("b"), (acc["n"] + 1).alias("n"))
 
-def ngram_scores(weights: np.ndarray, text: str = "text") -> list[Column]:
-    """The mean weight of a text's words, and of its pairs."""
-    out = []
-    for row, pairs in zip(weights, (False, True)):
-        table = F.expr("array(" + ",".join(f"{w!r}D" for w in row.tolist()) + ")")
-        found = _buckets(text, pairs)
-        out.append(F.aggregate(found, F.lit(0.0), lambda a, i: a + F.element_at(table, i)) / F.greatest(F.size(found), F.lit(1)))
-    return out
+    return F.aggregate(_hashes(text), start, step, lambda acc: acc["a"] / acc["n"] + acc["b"] / F.greatest(acc["n"] - 1, F.lit(1)))
 
 
-def statistics(weights: np.ndarray, text: str = "text") -> list[Column]:
+def statistics(text: str = "text") -> list[Column]:
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(t)
     words = F.size(F.split(t, " "))
@@ -76,7 +87,6 @@ def statistics(weights: np.ndarray, text: str = "text") -> list[Column]:
         F.size(F.array_distinct(lines)) / F.size(lines),
         counted("0123456789") / (n + 1),
         F.size(F.array_distinct(F.split(t, " "))) / words,
-        *ngram_scores(weights, text),
     ]
 
 
@@ -116,10 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     both = classes.get(True, 0) == classes.get(False, 0) == 2
     weights = _weights(rows.filter("first")) if both else np.zeros((2, BUCKETS))
     rest = rows.filter("not first") if both else rows
-    found = rest.select("ff_y", F.array(*[x.cast("double") for x in statistics(weights)]).alias("x")).toPandas()  # most_rows rows at most
+    each = [*statistics(), ngram_score(weights, 1.0, 0.0), ngram_score(weights, 0.0, 1.0)]
+    found = rest.select("ff_y", F.array(*[x.cast("double") for x in each]).alias("x")).toPandas()  # most_rows rows at most
     common.forget(rows)
     if found["ff_y"].nunique() < 2:
-        return np.zeros(len(statistics(weights))), 0.0, weights
+        return np.zeros(len(each)), 0.0, weights
     order = sorted(range(len(found)), key=lambda i: (found["ff_y"][i], list(found["x"][i])))
     return (*fit(np.array(found["x"].tolist())[order], found["ff_y"].to_numpy(float)[order]), weights)
 
@@ -128,8 +139,9 @@ def evidence(model: Model, text: str = "text") -> Column:
     """The classifier's probability as one expression; its coefficients and weights are literals."""
     w, b, weights = model
     z = F.lit(float(b))
-    for c, s in zip(w, statistics(weights, text)):
+    for c, s in zip(w, statistics(text)):
         z = z + F.lit(float(c)) * s
+    z = z + ngram_score(weights, float(w[-2]), float(w[-1]), text)
     return F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), z))))))
 
 
