@@ -1,8 +1,8 @@
-"""The queries of the ten operators and their SQL, as __spark_entry__.py registers them."""
+"""The queries of the operators and their SQL, as __spark_entry__.py registers them."""
 
 from __future__ import annotations
 
-from . import ann, chat, decontamination, katz, mixing, neardup, pii, quality, tokencount, toxicity
+from . import ann, chat, decontamination, katz, merkle, mixing, neardup, periodic, pieces, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_nearest": ann.op8_nearest,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality": quality.op10_quality,
+    "op11_pieces": pieces.op11_pieces,
+    "op12_manifest": merkle.op12_manifest,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLES = {
     "op2_chat_format": chat.OP2_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op12_manifest": merkle.OP12_SQL,
 }
