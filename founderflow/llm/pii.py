@@ -9,7 +9,7 @@ named secrets are taken to their end, however long.
 
 Coreference and distinctness. Replacements are drawn for canonical forms: letters and digits in lower case, so a
 number written in two ways is one entity. Given and family names apart, so "Ms Rossi" and "Anna Rossi" agree; a
-possessive 's is no part of a name; a person's gender is looked up over the whole corpus, so "Dr. Alex Foo" is drawn like
+possessive 's is no part of a name; of several names the last is the family's; a person's gender is looked up over the whole corpus, so "Dr. Alex Foo" is drawn like
 "Mr. Alex Foo" (names met with both genders are drawn as of neither). An address's domain is drawn apart, so addresses of
 one domain stay so. Over the whole corpus all distinct canonical forms of a kind meet in one table; a candidate is
 taken only if it is no real form of that kind and no other form took it. Losers draw again, later draws with more
@@ -20,7 +20,7 @@ Texts are rebuilt from the pieces between matches. Only texts with entities are
 digest of the text, so copies share the work; the rest is a map over rows.
 
 Defined results: null texts stay null, empty ones empty; texts without entities stay as they are, byte by byte;
-repeated rows are each rewritten alike; an empty table gives no rows; extra columns pass through, and if one is named
+repeated rows are each rewritten alike; entities of any length are matched and rewritten in linear time but for sorting; an empty table gives no rows; extra columns pass through, and if one is named
 n_entities, the result's name gets an underscore at its end.
 """
 
@@ -45,8 +45,10 @@ LATIN = {"onset": ("Bal", "Cor", "Dar", "Fen", "Gal", "Hal", "Jor", "Kel", "Lor"
 CYRILLIC = {"onset": ("Бел", "Вар", "Гор", "Дар", "Зим", "Кор", "Лад", "Мил", "Нор", "Пав", "Рад", "Сав", "Тим", "Фед", "Ход", "Чер"), "middle": ("ан", "ен", "ин", "он", "ар", "ер", "ир", "ор", "ал", "ел", "ил", "ол", "ам", "ем", "им", "ом"), "m": ("слав", "мир", "ий", "ей"), "f": ("а", "ина", "ия", "ана"), "u": ("о", "ко", "ли", "ри"), "family": ("енко", "евич", "ских", "дзе")}
 
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_word = r"\p{Lu}(?:\p{L}|['’\-](?=\p{L})(?!s(?!\p{L})))+"  # a name, up to a possessive 's
+# A name of two letters or more, up to a possessive 's. Nothing repeats an alternation: Java matches those by recursion.
+_word = r"\p{Lu}(?=['’\-]?\p{L})(?!['’\-]s(?!\p{L}))\p{L}*+(?:['’\-](?!s(?!\p{L}))\p{L}++)*+"
 _any = lambda *lists: "|".join(x for one in lists for x in one)
+_next = rf" (?!(?:{_any(TITLES_M, TITLES_F, TITLES_U)})(?!\p{{L}})){_word}"  # the next title begins another name
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\bsk-[A-Za-z0-9_\-]{20,}+",
@@ -56,7 +58,7 @@ KINDS = {
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
-    "name": rf"(?=[A-ZÀ-ÞА-Я])(?<!\p{{L}})(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? {_word}(?: {_word})?|(?:{_any(GIVEN_M, GIVEN_F)}) {_word})",
+    "name": rf"(?=[A-ZÀ-ÞА-Я])(?<!\p{{L}})(?:(?:{_any(TITLES_M, TITLES_F, TITLES_U)})\.? {_word}(?:{_next}){{0,3}}|(?:{_any(GIVEN_M, GIVEN_F)})(?:{_next}){{1,4}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 SECRET = r"^([^=:]*[=:][ \t]{0,2}[\"']?)(.*)$"  # what a secret is named, and its value to the end
@@ -101,7 +103,7 @@ def luhn_sum(digits: Column) -> Column:
 def _names(raw: Column) -> tuple[Column, Column]:
     """The words of a name without its title, and the gender that the title or the given name tells."""
     words = F.split(F.regexp_replace(raw, r"\.", ""), " ")
-    names = F.when(words[0].isin(*TITLES_M, *TITLES_F, *TITLES_U), F.slice(words, 2, 3)).otherwise(words)
+    names = F.when(words[0].isin(*TITLES_M, *TITLES_F, *TITLES_U), F.slice(words, 2, 4)).otherwise(words)
     gender = F.when(words[0].isin(*TITLES_M) | names[0].isin(*GIVEN_M), "m").when(words[0].isin(*TITLES_F) | names[0].isin(*GIVEN_F), "f").otherwise("u")
     return names, gender
 
@@ -134,11 +136,11 @@ def _nibbles(h: Column, i: Column, n: int, modulus: int) -> Column:
     return F.conv(F.substring(h, (i * n % 120 + 1).cast("int"), n), 16, 10).cast("int") % modulus
 
 
-def draw(kind: Column, form: Column, front: Column, end: Column, attempt: int, key: str) -> Column:
-    """A candidate of the form's kind, length and character classes; after STRICT attempts one character longer every second time."""
+def draw(kind: Column, form: Column, front: Column, end: Column, attempt: int, h: Column, n: Column) -> Column:
+    """A candidate of the form's kind, length and character classes; after STRICT attempts one character longer every second time.
+
+    h, the form's keyed digest, and n, its length, are columns: each character looks them up."""
     more = max(0, (attempt - STRICT) // 2 + 1)
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), form), 512)
-    n = F.length(form)
 
     def one(c: Column, i: Column) -> Column:
         digit = _nibbles(h, i, 3, 10).cast("string")
@@ -174,7 +176,9 @@ def surrogates(forms: DataFrame, key: str) -> DataFrame:
     """forms: distinct (kind, form, front, end). Adds sur, one-to-one within each kind and never a real form."""
     left, done = forms, None
     for attempt in count():
-        c = left.withColumn("sur", draw(F.col("kind"), F.col("form"), F.col("front"), F.col("end"), attempt, key))
+        digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", F.lit(str(attempt)), "form"), 512)
+        c = left.withColumns({"ff_h": digest, "ff_n": F.length("form")})
+        c = c.withColumn("sur", draw(F.col("kind"), F.col("form"), F.col("front"), F.col("end"), attempt, F.col("ff_h"), F.col("ff_n"))).drop("ff_h", "ff_n")
         real = forms.select(F.col("kind"), F.col("form").alias("sur"))
         c = c.join(real, ["kind", "sur"], "left_anti")
         if done is not None:
@@ -188,15 +192,17 @@ def surrogates(forms: DataFrame, key: str) -> DataFrame:
 
 def _filled(raw: Column, sur: Column) -> Column:
     """The letters and digits of sur in the places of those of raw, in their case; the rest of sur at the end."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    at = F.transform(F.split(raw, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    plain = lambda x: x["c"].rlike(r"[\p{L}\p{N}]")
+    letters = F.filter(at, plain)
 
-    def step(acc: Column, c: Column) -> Column:
-        got = F.substring(sur, acc["at"], F.lit(1))
-        put = F.when(c.rlike(r"\p{Lu}"), F.upper(got)).otherwise(got)
-        fits = c.rlike(r"[\p{L}\p{N}]")
-        return F.struct(F.concat(acc["out"], F.when(fits, put).otherwise(c)).alias("out"), (acc["at"] + F.when(fits, 1).otherwise(0)).alias("at"))
+    def put(x: Column, got: Column) -> Column:
+        got = F.coalesce(got, F.lit(""))
+        return F.struct(x["i"].alias("i"), F.when(x["c"].rlike(r"\p{Lu}"), F.upper(got)).otherwise(got).alias("c"))
 
-    return F.aggregate(F.split(raw, ""), start, step, lambda acc: F.concat(acc["out"], F.substring(sur, acc["at"], F.length(sur))))
+    filled = F.filter(F.zip_with(letters, F.split(sur, ""), put), lambda x: x["i"].isNotNull())
+    placed = F.array_sort(F.concat(F.filter(at, lambda x: ~plain(x)), filled))
+    return F.concat(F.array_join(F.transform(placed, lambda x: x["c"]), ""), F.substring(sur, F.size(letters) + 1, F.length(sur)))
 
 
 def _filled_domain(raw: Column, sur: Column) -> Column:
@@ -214,8 +220,8 @@ def replacements(raws: DataFrame, key: str) -> DataFrame:
     k = raws.withColumn("kind", kind_of(F.col("raw")))
     k = k.filter((F.col("kind") != "card") | (_digits(F.col("raw")).rlike(ISSUED) & (luhn_sum(_digits(F.col("raw"))) == 0)))
     names, told = _names(F.col("raw"))
-    two = (F.col("kind") == "name") & (F.size(names) == 2)
-    k = k.select("raw", "kind", F.when(two, F.lower(F.array_join(names, " "))).alias("person"), told.alias("told"))
+    several = (F.col("kind") == "name") & (F.size(names) > 1)
+    k = k.select("raw", "kind", F.when(several, F.lower(F.array_join(names, " "))).alias("person"), told.alias("told"))
     people = k.filter("person is not null and told <> 'u'").groupBy("person").agg(F.min("told").alias("low"), F.max("told").alias("high"))
     people = people.select("person", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("u").alias("gender"))
     k = k.join(people, "person", "left").withColumn("gender", F.coalesce("gender", F.lit("u")))

@@ -390,3 +390,24 @@ def test_surrogates_query_and_clashes(spark, frames):
     clash = spark.createDataFrame([("Mr. Foo", 5, "a")], "text string, N_ENTITIES long, ff_d string")
     row = pii.anonymise(clash, "k").first()
     assert row["N_ENTITIES"] == 5 and row["n_entities_"] == 1 and row["ff_d"] == "a"
+
+
+def test_megabytes_of_one_kind_of_character(spark):
+    """No pattern repeats by recursion, and no rewriting is quadratic."""
+    n = 1_000_000
+    heads = ["Mr. A", "Mr. A-", "Anna O'", "Mary Jane ", "token=", "sk-", "ghp_", "AKIA", "DE89", "+1 (222) ", "123-45-", "1.2.3.", "4041-", "a@b.", "x.", "secret: ="]
+    bodies = ["a", "b-", "b'", "Watson ", "k", "sk-_a", "Z9", "A", "1 ", "2-", "45-", "1.", "4", "a@b.", ".c", "="]
+    rows = [(i, h + (b * (n // len(b))) + " Mr. Smith", "s", "x") for i, (h, b) in enumerate(zip(heads, bodies))]
+    got = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(rows, DOCS).repartition(8), "k").collect()}
+    assert len(got) == len(rows)
+    for i, (h, b) in enumerate(zip(heads, bodies)):
+        assert "Smith" not in got[i].text[-40:], h
+    assert "aaaa" not in got[0].text and "b-b-b" not in got[1].text and "b'b'b" not in got[2].text
+    assert len(got[4].text) == len(rows[4][1]) - len("Smith") + len(got[4].text.rsplit(" ", 1)[1]) and "kkkk" not in got[4].text
+    assert got[5].text.startswith("sk-") and "sk-_ask-_a" not in got[5].text
+
+
+def test_several_given_names(spark):
+    a, = anonymised(spark, "Mary Jane Watson saw Dr. Watson and Mr. Peter Paul van Dyk. Anna Maria Sofia Rossi came.")
+    x = re.fullmatch(r"(\w+) (\w+) (\w+) saw Dr\. (\w+) and Mr\. (\w+) (\w+) van Dyk\. (\w+ \w+ \w+ \w+) came\.", a)
+    assert x and x[3] == x[4] != "Watson" and "Jane" not in a and "Rossi" not in a and "Sofia" not in a
