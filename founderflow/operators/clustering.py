@@ -8,18 +8,24 @@ Election is the lexicographically first maximal independent set of the graph of
 over DataFrames: a row without an undecided or founding earlier neighbour is a founder, a row next to a founder is
 not. Rounds are few, as chains of undecided rows are short. Once no more than `tail` edges are left, each group's
 rest is settled in one task, in order, over integers.
+
+Greedy mode takes the rows that may be founders in batches of `pool`. The first `head` rows of a batch go in order; each other
+row goes to the nearest founder known by then, and only if there is none to the nearest of those founded since. A row
+has a founder within d among the earlier ones or not, whichever way it asks: so founders are the same in both modes, and greedy mode only
+prefers those that stand at its batch's limit or before. No batch waits for another, and no group is in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from founderflow.functions.numbering import numbered, runs
+from founderflow.functions.numbering import BLOCK, numbered, runs
 from founderflow.functions.sequences import K, truncated
-from founderflow.operators.similarity import similar_pairs
+from founderflow.operators.similarity import overhang_pairs, similar_pairs
 from founderflow.plans.storage import forget, materialise
 
 TAIL = 2_000_000
@@ -75,7 +81,7 @@ def _split(rows: DataFrame, head_rows: int, head_share: float) -> tuple[DataFram
     return (marked.filter(F.col("input_pos") <= F.col("cut")).drop("cut"), marked.filter(F.col("input_pos") > F.col("cut")).drop("cut"))
 
 
-def _founders(high: DataFrame, d: int, tail: int, head_rows: int, head_share: float) -> tuple[DataFrame, DataFrame]:
+def _founders(high: DataFrame, d: int, tail: int, head_rows: int, head_share: float, similar_pairs: Callable = similar_pairs) -> tuple[DataFrame, DataFrame]:
     """Founders (group_id, input_pos) of high, and all pairs of a row and an earlier founder.
 
     Most founders stand at the head of a group. The head is settled by itself; the others meet the head's founders
@@ -99,17 +105,32 @@ def _founders(high: DataFrame, d: int, tail: int, head_rows: int, head_share: fl
     return first.unionByName(second), near.unionByName(met).unionByName(late)
 
 
-def cluster(rows: DataFrame, d: int = 1, min_reads: int = 1, max_length: int | None = None, tail: int = TAIL, head_rows: int = 5_000, head_share: float = 0.05) -> DataFrame:
-    """rows: group_id, umi, n_reads, input_pos (unique within a group). One row each: its founder and the distance."""
+def _limits(high: DataFrame, pool: int, head: int) -> DataFrame:
+    """(group_id, a_pos, limit) of the rows that greedy mode does not take in order: the last row known to them."""
+    k = numbered(high.select("group_id", "input_pos"), "ff_k", ["group_id"], [(F.floor(F.col("input_pos") / BLOCK), False)], ["input_pos"]).withColumn("ff_k", F.col("ff_k") - 1)
+    waiting = k.filter(F.col("ff_k") % pool >= head).select("group_id", F.col("input_pos").alias("a_pos"), F.floor(F.col("ff_k") / pool).alias("ff_batch"))
+    last = k.filter((F.col("ff_k") + (1 - head)) % pool == 0).select("group_id", F.floor((F.col("ff_k") + (1 - head)) / pool).alias("ff_batch"), F.col("input_pos").alias("limit"))
+    return waiting.join(last, ["group_id", "ff_batch"], "left").select("group_id", "a_pos", "limit")
+
+
+def cluster(rows: DataFrame, d: int = 1, min_reads: int = 1, max_length: int | None = None, tail: int = TAIL, head_rows: int = 5_000, head_share: float = 0.05, greedy: tuple[int, int] | None = None, overhang: bool = False) -> DataFrame:
+    """rows: group_id, umi, n_reads, input_pos (unique within a group). One row each: its founder and the distance.
+
+    greedy: (pool, head). overhang: the distance of the padded barcode to the nearest part of the padded founder."""
+    pairs = overhang_pairs if overhang else similar_pairs
     rows = rows.select("group_id", "umi", F.col("n_reads").cast("long").alias("n_reads"), F.col("input_pos").cast("long").alias("input_pos"))
     if max_length is not None:
         rows = rows.withColumn("umi", truncated(F.col("umi"), max_length))
     high = rows.filter(F.col("n_reads") >= min_reads)
-    founders, near = _founders(high, d, tail, head_rows, head_share)
+    founders, near = _founders(high, d, tail, head_rows, head_share, pairs)
     if min_reads > 1:
         chosen = rows.join(founders, ["group_id", "input_pos"], "left_semi")
-        near = near.unionByName(similar_pairs(rows.filter(F.col("n_reads") < min_reads), chosen, d, ordered=False))
-    best = near.groupBy("group_id", "a_pos").agg(F.min(F.struct("dist", "b_pos")).alias("best"))
+        near = near.unionByName(pairs(rows.filter(F.col("n_reads") < min_reads), chosen, d, ordered=False))
+    late = F.lit(False)
+    if greedy:
+        near = near.join(_limits(high, *greedy), ["group_id", "a_pos"], "left")
+        late = F.coalesce(F.col("b_pos") > F.col("limit"), late)
+    best = near.groupBy("group_id", "a_pos").agg(F.min(F.struct(late.alias("late"), "dist", "b_pos")).alias("best"))
     best = best.select("group_id", F.col("a_pos").alias("input_pos"), F.col("best.b_pos").alias("founder_pos"), F.col("best.dist").alias("dist"))
     names = rows.select("group_id", F.col("input_pos").alias("founder_pos"), F.col("umi").alias("founder"))
     marked = founders.withColumn("is_founder", F.lit(True))
@@ -119,97 +140,6 @@ def cluster(rows: DataFrame, d: int = 1, min_reads: int = 1, max_length: int | N
     return out.join(names, ["group_id", "founder_pos"]).select("group_id", "input_pos", "umi", "n_reads", "founder", "founder_pos", "dist", F.coalesce("is_founder", F.lit(False)).alias("is_founder"))
 
 
-def within(a: str, b: str, d: int) -> int:
-    """Edit distance of a and b if at most d, else -1."""
-    if abs(len(a) - len(b)) > d:
-        return -1
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(last[j - 1] + (x != y), last[j] + 1, now[-1] + 1))
-        last = now
-    return last[-1] if last[-1] <= d else -1
-
-
-def infix_within(umi: str, founder: str, d: int, side: int = 3) -> int:
-    """Distance of the padded barcode to the best infix of the padded founder: an overhang of the founder costs
-    at most `side`."""
-    pad = "N" * side
-    a, b = pad + umi + pad, pad + founder + pad
-    last = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(last[j - 1] + (x != y), last[j] + 1, now[-1] + 1))
-        last = now
-    return min(last) if min(last) <= d else -1
-
-
-def _grams(umi: str) -> set[str]:
-    up = umi.upper()
-    return {g for i in range(len(up) - K + 1) if set(g := up[i:i + K]) <= set("ACGT")}
-
-
-def serial(rows: list[tuple[str, int, int]], d: int, min_reads: int = 1, greedy: bool = False, pool: int = 48_000, head: int = 1_000, overhang: bool = False) -> list[tuple[int, int, int, bool]]:
-    """One group in order, by an inverted index: (input_pos, founder_pos, dist, is_founder) for (umi, n, input_pos).
-
-    Greedy mode works in batches of `pool` rows: the first `head` of a batch are taken in order, the others accept
-    any founder known before the batch within d, nearest first, without waiting for founders of their own batch.
-    """
-    distance = infix_within if overhang else within
-    index: dict[str, list[int]] = {}
-    founders: list[tuple[str, int]] = []
-    out: list[tuple[int, int, int, bool]] = []
-
-    def nearest(umi: str, most: int) -> tuple[int, int] | None:
-        hit = sorted({k for g in _grams(umi) for k in index.get(g, ()) if k < most})
-        near = [(x, k) for k in hit if (x := distance(umi, founders[k][0], d)) >= 0]
-        return min(near) if near else None
-
-    def found(umi: str, pos: int) -> None:
-        for g in _grams(umi):
-            index.setdefault(g, []).append(len(founders))
-        founders.append((umi, pos))
-        out.append((pos, pos, 0, True))
-
-    high = sorted((r for r in rows if r[1] >= min_reads), key=lambda r: r[2])
-    for start in range(0, len(high), pool if greedy else max(1, len(high))):
-        batch = high[start:start + pool] if greedy else high
-        waiting = list(batch[:head] if greedy else batch)
-        known = None
-        for umi, _, pos in waiting:
-            best = nearest(umi, len(founders))
-            out.append((pos, founders[best[1]][1], best[0], False)) if best else found(umi, pos)
-        if greedy:
-            known, rest = len(founders), []
-            for umi, n, pos in batch[head:]:
-                best = nearest(umi, known)
-                out.append((pos, founders[best[1]][1], best[0], False)) if best else rest.append((umi, n, pos))
-            for umi, _, pos in rest:
-                best = nearest(umi, len(founders))
-                out.append((pos, founders[best[1]][1], best[0], False)) if best else found(umi, pos)
-    for umi, n, pos in rows:
-        if n < min_reads:
-            best = nearest(umi, len(founders))
-            out.append((pos, founders[best[1]][1], best[0], False) if best else (pos, pos, 0, False))
-    return out
-
-
-def cluster_groups(rows: DataFrame, d: int = 1, min_reads: int = 1, **mode) -> DataFrame:
-    """The same result (or greedy and overhang variants) by one task a group, for groups that fit one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = serial(list(zip(pdf["umi"], pdf["n_reads"], pdf["input_pos"])), d, min_reads, **mode)
-        names = dict(zip(pdf["input_pos"], pdf["umi"]))
-        out = pd.DataFrame(got, columns=["input_pos", "founder_pos", "dist", "is_founder"])
-        out.insert(0, "group_id", pdf["group_id"].iloc[0])
-        out["umi"], out["founder"] = out["input_pos"].map(names), out["founder_pos"].map(names)
-        return out[["group_id", "input_pos", "umi", "founder", "founder_pos", "dist", "is_founder"]]
-
-    return rows.groupBy("group_id").applyInPandas(run, "group_id string, input_pos long, umi string, founder string, founder_pos long, dist int, is_founder boolean")
-
-
 def founder_counts(clustered: DataFrame) -> DataFrame:
     """The updated count table: reads summed on founders, absorbed rows kept with 0."""
     sums = clustered.groupBy("group_id", F.col("founder_pos").alias("input_pos")).agg(F.sum("n_reads").alias("total"))

@@ -7,14 +7,16 @@ threshold + 1 slices of the group's first barcode's length. Slices are part of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from founderflow.operators.clustering import with_positions
+from founderflow.functions.numbering import BLOCK, numbered
+from founderflow.functions.sequences import reverse_complement
+from founderflow.operators.alignment import with_local
+from founderflow.operators.clustering import elect, with_positions
 from founderflow.plans.storage import forget, materialise
 
 SMALL = 25
@@ -114,69 +116,146 @@ def representatives(grouped: DataFrame, whitelist: DataFrame | None = None) -> D
     return out.join(known, "umi", "left").withColumn("umi", name).groupBy("group_id", "umi").agg(F.sum("n_reads").alias("n_reads"))
 
 
-def local_score(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """(score, start, end) of the best local alignment of a in b, places in b."""
-    last = [(0, j) for j in range(len(b) + 1)]
-    best = (0, 0, 0)
-    for x in a:
-        now = [(0, 0)]
-        for j, y in enumerate(b, 1):
-            s = max((last[j - 1][0] + (match if x == y else mismatch), last[j - 1][1]), (last[j][0] + gap, last[j][1]), (now[-1][0] + gap, now[-1][1]), key=lambda t: t[0])
-            now.append(s if s[0] > 0 else (0, j))
-            if s[0] > best[0]:
-                best = (s[0], s[1], j)
-        last = now
-    return best
+def _shared_stretch(longest: int, threshold: int) -> int:
+    """Letters that two barcodes have in common, unbroken, if their local score exceeds the threshold.
 
+    A score above T with e edits has T + 1 + e matches at least, and no more than the longest barcode has letters; the edits cut
+    them into e + 1 stretches."""
+    most = longest - threshold - 1
+    return min(-(-(threshold + 1 + e) // (e + 1)) for e in range(most + 1)) if most >= 0 else 0
 
-def threshold_clusters(barcodes: DataFrame, threshold: int, stop_below: float = 0.0, window: int = 20) -> DataFrame:
-    """(group_id, umi, cluster, size): the first barcode left takes all that align with more than the threshold.
 
-    It stops early once the mean size of the last `window` clusters falls to stop_below; the rest stay alone.
-    """
+def local_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """(group_id, a_pos, b_pos, score): all pairs of rows, b before a, whose local score exceeds the threshold.
+
+    Such pairs have a stretch of letters in common, at places that differ by no more than the letters left over; pairs meet on
+    the stretches and are aligned once for each that another one does not continue."""
+    longest = rows.agg(F.max(F.length("umi"))).first()[0] or 0
+    k = _shared_stretch(longest, threshold)
+    if k < 1:
+        return rows.sparkSession.createDataFrame([], "group_id string, a_pos long, b_pos long, score int")
+    apart = longest - threshold - 1
+    places = F.sequence(F.lit(1), F.length("umi") - (k - 1))
+    held = rows.filter(F.length("umi") >= k).select("group_id", F.col("input_pos").alias("pos"), "umi", F.explode(places).alias("at"))
+    held = held.withColumn("letters", F.substring(F.col("umi"), F.col("at"), F.lit(k)))
+    b = held.select("group_id", "letters", F.col("at").alias("b_at"), F.col("pos").alias("b_pos"), F.col("umi").alias("b_umi"))
+    a = held.withColumn("b_at", F.explode(F.sequence(F.col("at") - apart, F.col("at") + apart))).filter("b_at >= 1").select("group_id", "letters", "b_at", F.col("at").alias("a_at"), F.col("pos").alias("a_pos"), F.col("umi").alias("a_umi"))
+    met = a.join(b, ["group_id", "letters", "b_at"]).filter("a_pos > b_pos")
+    before = lambda umi, at: F.substring(F.col(umi), F.col(at) - 1, F.lit(1))
+    first = (F.col("a_at") == 1) | (F.col("b_at") == 1) | (before("a_umi", "a_at") != before("b_umi", "b_at"))
+    scored = with_local(met.filter(first).select("group_id", "a_pos", "b_pos", "a_umi", "b_umi"), "a_umi", "b_umi")
+    return scored.filter(F.col("score") > threshold).groupBy("group_id", "a_pos", "b_pos").agg(F.max("score").alias("score"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    return members.groupBy("group_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _in_order(rows: DataFrame, name: str, by: str = "input_pos") -> DataFrame:
+    return numbered(rows, name, ["group_id"], [(F.floor(F.col(by) / BLOCK), False)], [by]).withColumn(name, F.col(name) - 1)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out, sizes = pdf["umi"].tolist(), [], []
-        while left:
-            if stop_below and len(sizes) >= window and sum(sizes[-window:]) / window <= stop_below:
-                out += [(u, len(sizes) + k, 1) for k, u in enumerate(left)]
-                break
-            seed = left[0]
-            taken = [True] + [local_score(seed, u)[0] > threshold for u in left[1:]]
-            members = [u for u, t in zip(left, taken) if t]
-            out += [(u, len(sizes), len(members)) for u in members]
-            sizes.append(len(members))
-            left = [u for u, t in zip(left, taken) if not t]
-        got = pd.DataFrame(out, columns=["umi", "cluster", "size"])
-        got.insert(0, "group_id", pdf["group_id"].iloc[0])
-        return got
-
-    return barcodes.groupBy("group_id").applyInPandas(run, "group_id string, umi string, cluster long, size long")
+def _stops(sizes: DataFrame, stop_below: float, window: int) -> DataFrame:
+    """(group_id, stop): the number of clusters after which the mean size of the last `window` has fallen to stop_below.
+
+    Clusters are averaged in blocks of their numbers; a block's last ones are seen by the next block too."""
+    block = F.floor(F.col("cluster") / BLOCK)
+    each = sizes.withColumn("ff_own", block).withColumn("ff_block", F.explode(F.array_distinct(F.array(block, F.floor((F.col("cluster") + window - 1) / BLOCK)))))
+    over = W.partitionBy("group_id", "ff_block").orderBy("cluster").rowsBetween(1 - window, 0)
+    low = each.withColumn("ff_mean", F.avg("size").over(over)).filter((F.col("ff_block") == F.col("ff_own")) & (F.col("cluster") >= window - 1) & (F.col("ff_mean") <= stop_below))
+    return low.groupBy("group_id").agg((F.min("cluster") + 1).alias("stop"))
+
+
+def threshold_clusters(barcodes: DataFrame, threshold: int, stop_below: float = 0.0, window: int = 20) -> DataFrame:
+    """barcodes: group_id, input_pos (unique within a group), umi. (group_id, input_pos, umi, cluster, size): in order of input_pos, the
+    first barcode left takes all left that align with a score above the threshold.
+
+    First barcodes are those without an earlier first barcode that would take them; each other one goes to the earliest that does. It
+    stops early once the mean size of the last `window` clusters falls to stop_below; the rest stay alone, numbered in order. Equal
+    barcodes are rows each; a barcode no longer than the threshold stays alone; no rows give no rows."""
+    rows = materialise(barcodes.select("group_id", F.col("input_pos").cast("long").alias("input_pos"), "umi"))
+    edges = materialise(local_pairs(rows, threshold))
+    firsts = materialise(_in_order(elect(rows, edges).select("group_id", "input_pos"), "cluster"))
+    as_b = firsts.select("group_id", F.col("input_pos").alias("b_pos"), "cluster")
+    taken = edges.join(as_b, ["group_id", "b_pos"]).groupBy("group_id", F.col("a_pos").alias("input_pos")).agg(F.min("cluster").alias("of"))
+    marked = rows.join(firsts, ["group_id", "input_pos"], "left").join(taken, ["group_id", "input_pos"], "left")
+    members = marked.select("group_id", "input_pos", "umi", F.coalesce("cluster", "of").alias("cluster"))
+    sizes = _sized(members)
+    if not stop_below:
+        return members.join(sizes, ["group_id", "cluster"]).select("group_id", "input_pos", "umi", "cluster", "size")
+    members, sizes = materialise(members), materialise(sizes)
+    held = members.join(_stops(sizes, stop_below, window), "group_id", "left")
+    formed = held.filter("stop is null or cluster < stop").drop("stop").join(sizes, ["group_id", "cluster"])
+    alone = _in_order(held.filter("cluster >= stop"), "ff_k").withColumns({"cluster": F.col("stop") + F.col("ff_k"), "size": F.lit(1).cast("long")})
+    columns = ["group_id", "input_pos", "umi", "cluster", "size"]
+    return formed.select(*columns).unionByName(alone.select(*columns))
+
+
+HEAD = 256
+
+
+def _first_clusters(rows: DataFrame, thresholds: list[int], samples: int) -> DataFrame:
+    """(threshold, group_id, cluster, input_pos, umi): the members of the first `samples` clusters of each group and threshold.
+
+    Rounds: the first HEAD rows left of each group are scored among themselves, a bounded number of pairs whose scores serve
+    all thresholds, and give the next first barcodes; these are then scored once against the rows left."""
+    left = materialise(rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))))
+    found, have = None, None
+    while True:
+        head = _numbered_by_threshold(left).filter(F.col("ff_k") < HEAD)
+        if have is not None:
+            head = head.join(have, ["threshold", "group_id"], "left").filter(F.coalesce("n", F.lit(0)) < samples).drop("n")
+        head = materialise(head)
+        if head.isEmpty():
+            break
+        some = head.select("group_id", "input_pos", "umi").distinct()
+        b = some.select("group_id", F.col("input_pos").alias("b_pos"), F.col("umi").alias("b_umi"))
+        pairs = some.withColumnRenamed("input_pos", "a_pos").withColumnRenamed("umi", "a_umi").join(b, "group_id").filter("a_pos > b_pos")
+        scored = materialise(with_local(pairs, "a_umi", "b_umi").select("group_id", "a_pos", "b_pos", "score"))
+        keyed = head.withColumn("key", F.concat_ws("\x1f", F.col("threshold").cast("string"), "group_id"))
+        a_side = keyed.select("threshold", "group_id", "key", F.col("input_pos").alias("a_pos"))
+        b_side = keyed.select("threshold", "group_id", F.col("input_pos").alias("b_pos"))
+        edges = scored.join(a_side, ["group_id", "a_pos"]).join(b_side, ["threshold", "group_id", "b_pos"]).filter("score > threshold").select(F.col("key").alias("group_id"), "a_pos", "b_pos")
+        chosen = elect(keyed.select(F.col("key").alias("group_id"), "input_pos"), materialise(edges)).select(F.col("group_id").alias("key"), "input_pos")
+        new = keyed.join(chosen, ["key", "input_pos"], "left_semi").select("threshold", "group_id", "input_pos", "umi")
+        before = new if have is None else new.join(have, ["threshold", "group_id"], "left")
+        start = F.lit(0) if have is None else F.coalesce("n", F.lit(0))
+        rank = F.row_number().over(W.partitionBy("threshold", "group_id").orderBy("input_pos")) - 1  # HEAD rows at most
+        new = materialise(before.withColumn("cluster", (start + rank).cast("long")).filter(F.col("cluster") < samples).select("threshold", "group_id", "cluster", F.col("input_pos").alias("b_pos"), F.col("umi").alias("b_umi")))
+        firsts = new.groupBy("group_id", "b_pos").agg(F.first("b_umi").alias("b_umi"), F.collect_list(F.struct("threshold", "cluster")).alias("of"))
+        met = with_local(left.select("group_id", "input_pos", "umi").distinct().join(firsts, "group_id"), "umi", "b_umi")
+        hits = met.select("group_id", "input_pos", "umi", "b_pos", "score", F.inline("of")).filter((F.col("score") > F.col("threshold")) | (F.col("input_pos") == F.col("b_pos"))).filter("input_pos >= b_pos")
+        hits = hits.join(left.select("threshold", "group_id", "input_pos"), ["threshold", "group_id", "input_pos"], "left_semi")
+        got = materialise(hits.groupBy("threshold", "group_id", "input_pos").agg(F.min("cluster").alias("cluster"), F.first("umi").alias("umi")))
+        found = got if found is None else found.unionByName(got)
+        ends = new.groupBy("threshold", "group_id").agg((F.max("cluster") + 1).alias("n"))
+        have = materialise(ends if have is None else have.unionByName(ends).groupBy("threshold", "group_id").agg(F.max("n").alias("n")))
+        after = materialise(left.join(got, ["threshold", "group_id", "input_pos"], "left_anti"))
+        forget(left, head, scored, new)
+        left = after
+    return found if found is not None else left.withColumn("cluster", F.lit(0).cast("long"))
+
+
+def _numbered_by_threshold(rows: DataFrame) -> DataFrame:
+    return numbered(rows, "ff_k", ["threshold", "group_id"], [(F.floor(F.col("input_pos") / BLOCK), False)], ["input_pos"]).withColumn("ff_k", F.col("ff_k") - 1)
 
 
 def threshold_scan(barcodes: DataFrame, thresholds: list[int], samples: int = 25, most: int = 200) -> DataFrame:
     """(threshold, mean_similarity, median_size, gain) over the first `samples` clusters of each group and threshold.
 
-    A cluster's similarity is the mean local score of the pairs among its first `most` members, 0 for a single one; both are
-    part of the scan's definition. gain is the similarity's over the threshold before.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = lambda c: [local_score(a, b)[0] for i, a in enumerate(c) for b in c[i + 1:]]
-        out = []
-        for (threshold, cluster), one in pdf.groupby(["threshold", "cluster"]):
-            scores = score(one.sort_values("place")["umi"].tolist()[:most])
-            out.append((threshold, cluster, len(one), sum(scores) / len(scores) if scores else 0.0))
-        return pd.DataFrame(out, columns=["threshold", "cluster", "size", "similarity"])
-
-    placed = barcodes.select("group_id", "umi").withColumn("place", F.monotonically_increasing_id())
-    found = None
-    for t in thresholds:
-        one = threshold_clusters(placed, t).select("group_id", "umi", "cluster", F.lit(t).alias("threshold"))
-        found = one if found is None else found.unionByName(one)
-    kept = found.filter(F.col("cluster") < samples).join(placed, ["group_id", "umi"])
-    per = kept.groupBy("group_id", "threshold").applyInPandas(run, "threshold int, cluster long, size long, similarity double")
-    out = per.groupBy("threshold").agg(F.avg("similarity").alias("mean_similarity"), F.median("size").alias("median_size"))
+    barcodes: group_id, input_pos (unique within a group), umi. A cluster's similarity is the mean local score of the pairs among
+    its first `most` members, 0 for a single one; both are part of the scan's definition. gain is the similarity's over the
+    threshold before. Equal barcodes are members each."""
+    rows = materialise(barcodes.select("group_id", F.col("input_pos").cast("long").alias("input_pos"), "umi"))
+    members = materialise(_first_clusters(rows, sorted(set(thresholds)), samples))
+    sizes = members.groupBy("threshold", "group_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    key = ["threshold", "group_id", "cluster"]
+    placed = numbered(members, "place", key, [(F.floor(F.col("input_pos") / BLOCK), False)], ["input_pos"]).filter(F.col("place") <= most)
+    a = placed.select(*key, F.col("input_pos").alias("a_pos"), F.col("umi").alias("a_umi"))
+    pairs = a.join(placed.select(*key, F.col("input_pos").alias("b_pos"), F.col("umi").alias("b_umi")), key).filter("a_pos > b_pos")
+    similar = with_local(pairs.select(*key, "a_umi", "b_umi"), "a_umi", "b_umi").groupBy(*key).agg(F.avg("score").alias("similarity"))
+    per = sizes.join(similar, key, "left")
+    out = per.groupBy("threshold").agg(F.avg(F.coalesce("similarity", F.lit(0.0))).alias("mean_similarity"), F.median("size").alias("median_size"))
     return out.withColumn("gain", F.col("mean_similarity") - F.lag("mean_similarity").over(W.partitionBy(F.lit(0)).orderBy("threshold")))  # a row a threshold
 
 
@@ -188,21 +267,21 @@ def elbow(scan: DataFrame, length: int, least: int = 15) -> DataFrame:
 
 
 def extract_by_probe(reads: DataFrame, probe: str, length: int, min_score: int, side: str = "down") -> DataFrame:
-    """(read_id, umi, score): the bases next to the probe's best alignment, on either strand; none if out of bounds."""
-    flip = str.maketrans("ACGT", "TGCA")
-
-    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in found:
-            out = []
-            for read_id, seq in zip(pdf["read_id"], pdf["seq"]):
-                tries = [(local_score(probe, s), s) for s in (seq, seq[::-1].translate(flip))]
-                (score, low, high), s = max(tries, key=lambda x: x[0][0])
-                a, b = (high, high + length) if side == "down" else (low - length, low)
-                if score >= min_score and a >= 0 and b <= len(s):
-                    out.append((read_id, s[a:b], score))
-            yield pd.DataFrame(out, columns=["read_id", "umi", "score"])
-
-    return reads.select("read_id", "seq").mapInPandas(run, "read_id long, umi string, score int")
+    """(read_id, umi, score): the bases next to the probe's best alignment, on either strand; none if out of bounds.
+
+    A read whose score reaches min_score shares an unbroken stretch with the probe: reads (or their reverse complements) without
+    any of the probe's stretches of that length are passed over before anything is aligned. The forward strand wins ties."""
+    k = _shared_stretch(len(probe), min_score - 1)
+    if k < 1:
+        raise ValueError("the score cannot exceed the probe's length")
+    grams = sorted({probe[i:i + k] for i in range(len(probe) - k + 1)})
+    strands = F.array(F.struct(F.lit(0).alias("strand"), F.col("seq").alias("s")), F.struct(F.lit(1).alias("strand"), reverse_complement(F.col("seq")).alias("s")))
+    each = reads.select("read_id", F.inline(strands)).filter(reduce(lambda x, y: x | y, (F.col("s").contains(g) for g in grams)))
+    scored = with_local(each.withColumn("probe", F.lit(probe)), "probe", "s").filter(F.col("score") >= min_score)
+    at = F.col("end") if side == "down" else F.col("start") - length
+    best = scored.groupBy("read_id").agg(F.min_by(F.struct(at.alias("at"), "s", "score"), F.struct(-F.col("score"), "strand")).alias("x"))
+    fits = best.select("read_id", "x.*").filter((F.col("at") >= 0) & (F.col("at") + length <= F.length("s")))
+    return fits.select("read_id", F.substring(F.col("s"), F.col("at") + 1, F.lit(length)).alias("umi"), "score")
 
 
 def write_clusters(reads: DataFrame, path: str, least: int = 1) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from founderflow.functions import numbering
 from founderflow.functions import sequences as S
-from founderflow.operators import clustering, compare, estimate, quality, reads, simulate
+from founderflow.operators import alignment, clustering, compare, estimate, quality, reads, simulate
 from founderflow.operators.similarity import similar_pairs
 from founderflow.plans import pipeline
 from founderflow.plans.storage import materialise
@@ -106,12 +106,15 @@ def umi_similarity_pairs(spark, sf_dir):
     return similar_pairs(rows, rows, D).select("group_id", F.col("a_pos").cast("long").alias("a_pos"), F.col("b_pos").cast("long").alias("b_pos"), "dist")
 
 
-@query("""with g as (select l.x as len, e.x as err from (select unnest([8, 12, 15, 16, 18, 19, 25, 26, 36, 50]) as x) l, (select unnest([0.001, 0.005, 0.01, 0.02, 0.03, 0.05]::double[]) as x) e),
-z as (select *, len * err + (case when len <= 15 then 1.96 when len <= 25 then 2.576 when len <= 35 then 3.29 else 3.89 end)::double * sqrt(err * (1 - err) * len) as x from g)
-select len, err, (1 + case when len <= 15 then floor(x) else floor(x + 0.5) end)::int as bound from z""")
+@query("with " + READS_SQL + """, e as (select group_id, count(*) filter (m <= 2)::double / (count(*) * 18) as err from reads group by group_id),
+g as (select distinct group_id, length(umi)::int as len from reads), z as (select g.*, err, len * err + (case when len <= 15 then 1.96 when len <= 25 then 2.576 when len <= 35 then 3.29 else 3.89 end)::double * sqrt(err * (1 - err) * len) as x from g join e using (group_id))
+select group_id, len, (1 + case when len <= 15 then floor(x) else floor(x + 0.5) end)::int as bound from z""")
 def umi_dist_bound(spark, sf_dir):
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (8, 12, 15, 16, 18, 19, 25, 26, 36, 50)))).alias("len")).select("len", F.explode(F.array(*map(F.lit, (0.001, 0.005, 0.01, 0.02, 0.03, 0.05)))).alias("err"))
-    return grid.select("len", "err", S.distance_bound_column(F.col("len"), F.col("err")).alias("bound"))
+    """The distance bound of each length of barcodes, under the edits a base of a group's reads."""
+    r = reads_view(spark, sf_dir)
+    rate = r.groupBy("group_id").agg((F.sum(F.when(F.col("m") <= 2, 1).otherwise(0)).cast("double") / (F.count(F.lit(1)) * 18)).alias("err"))
+    lengths = r.select("group_id", F.length("umi").alias("len")).distinct().join(rate, "group_id")
+    return lengths.select("group_id", "len", S.distance_bound_column(F.col("len"), F.col("err")).alias("bound"))
 
 
 @query(HIGH_SQL + " select group_id, umi, founder, dist::int as dist, is_founder from named")
@@ -332,7 +335,8 @@ GREEDY_BEST = "coalesce(min(e.dist * 10000000 + e.b_pos) filter (e.b_pos <= ((e.
 
 @query(HIGH_SQL.replace("min(e.dist * 10000000 + e.b_pos) as x", GREEDY_BEST) + " select group_id, input_pos::bigint as input_pos, umi, founder, founder_pos::bigint as founder_pos, dist::int as dist, is_founder from named")
 def umi_greedy(spark, sf_dir):
-    return clustering.cluster_groups(counts_view(spark, sf_dir), D, greedy=True, pool=500, head=50)
+    c = clustering.cluster(materialise(counts_view(spark, sf_dir)), D, greedy=(500, 50))
+    return c.select("group_id", "input_pos", "umi", "founder", "founder_pos", "dist", "is_founder")
 
 
 @query(HIGH_SQL + " select group_id, umi, founder, dist::int as dist, is_founder from named")
@@ -412,4 +416,107 @@ def umi_error_bars(spark, sf_dir):
 
 @query()
 def umi_simulate(spark, sf_dir):
-    return simulate.reads(simulate.parents(spark, 100, 18), 0.005, mean_children=20)
+    """Families of simulated reads of the barcodes from which the table's reads come."""
+    parents = reads_view(spark, sf_dir).select(F.col("parent").alias("umi")).distinct()
+    numbered = numbering.numbered(parents, "label", [], [(F.substring("umi", 1, 4), False)], ["umi"])
+    return simulate.reads(numbered, 0.005, mean_children=20)
+
+
+@query("with " + EDGES_SQL.replace(f"<= {D}", "<= 3") + " select group_id, a_pos::bigint as a_pos, b_pos::bigint as b_pos, dist::int as dist from edges")
+def umi_similarity_pairs_d3(spark, sf_dir):
+    """Pairs within three edits, where pieces have four letters and barcodes choose how they are cut."""
+    rows = materialise(counts_view(spark, sf_dir))
+    return similar_pairs(rows, rows, 3).select("group_id", F.col("a_pos").cast("long").alias("a_pos"), F.col("b_pos").cast("long").alias("b_pos"), "dist")
+
+
+# A fifth of all orders give reads that end within the barcode.
+SHORT_READS_SQL = READS_SQL.replace("reads as (select", "whole as (select") + ", reads as (select * replace (case when l_orderkey % 5 = 3 then substr(umi, 1, 13) else umi end as umi) from whole)"
+OVERHANG_EDGES_SQL = EDGES_SQL.replace(READS_SQL, SHORT_READS_SQL).replace(", levenshtein(a.umi, b.umi) as dist", ", case when levenshtein(a.umi, b.umi) <= 3 then levenshtein(a.umi, b.umi) else 3 end as dist").replace(
+    f"abs(length(a.umi) - length(b.umi)) <= {D} and levenshtein(a.umi, b.umi) <= {D}", "levenshtein(a.umi, b.umi) <= 3 or (length(b.umi) > length(a.umi) and (starts_with(b.umi, a.umi) or ends_with(b.umi, a.umi)))")
+
+
+def _short_counts(spark, sf_dir):
+    r = reads_view(spark, sf_dir).withColumn("umi", F.when(F.col("l_orderkey") % 5 == 3, F.substring("umi", 1, 13)).otherwise(F.col("umi")))
+    return clustering.with_positions(r.groupBy("group_id", "umi").agg(F.count(F.lit(1)).alias("n_reads")))
+
+
+@query("with recursive " + OVERHANG_EDGES_SQL + ", high as (select * from edges), usable as (select * from edges)" + CLUSTER_SQL.format(min_reads=1) + " select group_id, umi, founder, dist::int as dist, is_founder from named")
+def umi_clusters_overhang(spark, sf_dir):
+    """Three edits by the padded distance: barcodes that end early go to the founders that begin like them."""
+    return clustering.cluster(materialise(_short_counts(spark, sf_dir)), 3, overhang=True).select("group_id", "umi", "founder", "dist", "is_founder")
+
+
+@query("with recursive " + SHORT_READS_SQL + """, p as (select distinct umi, parent from reads),
+walk as (select umi, parent, 'NNN' || umi || 'NNN' as a, 'NNN' || parent || 'NNN' as b, 0 as j, range(0, length(umi) + 7)::integer[] as d from p
+    union all select umi, parent, a, b, j + 1, list_reduce(list_prepend([0::integer], list_transform(range(1, length(a) + 1), lambda i: [least(d[i] + case when substr(a, i, 1) = substr(b, j + 1, 1) then 0 else 1 end, d[i + 1] + 1)::integer])),
+        lambda x, y: list_append(x, least(y[1], x[-1] + 1)::integer)) from walk where j < length(b)),
+best as (select umi, parent, min(d[-1] * 1000 + j) as x from walk group by umi, parent)
+select umi, parent, (x // 1000)::int as dist, (x % 1000)::int as "end" from best""")
+def umi_infix_ends(spark, sf_dir):
+    """The padded distance of each barcode to the one it comes from, and where the nearest part of that ends first."""
+    r = reads_view(spark, sf_dir).withColumn("umi", F.when(F.col("l_orderkey") % 5 == 3, F.substring("umi", 1, 13)).otherwise(F.col("umi")))
+    return alignment.with_infix(r.select("umi", "parent").distinct(), "umi", "parent")
+
+
+@query(HIGH_SQL + " select group_id, umi, founder, dist::int as dist, dist::int as edits, (length(umi) - length(founder))::int as longer, true as whole from named where not is_founder")
+def umi_edit_paths(spark, sf_dir):
+    """How each absorbed barcode comes from its founder: its path's edits are its distance, and account for every base of both."""
+    c = clustering.cluster(materialise(counts_view(spark, sf_dir)), D).filter(~F.col("is_founder"))
+    e = alignment.with_path(c.select("group_id", "umi", "founder", "dist"), "founder", "umi").withColumn("e", alignment.path_edits(F.col("path")))
+    used = lambda *kinds: sum((F.col(f"e.{k}") for k in kinds[1:]), F.col(f"e.{kinds[0]}"))
+    whole = (used("same", "sub", "del") == F.length("founder")) & (used("same", "sub", "ins") == F.length("umi"))
+    return e.select("group_id", "umi", "founder", "dist", used("sub", "ins", "del").alias("edits"), (F.col("e.ins") - F.col("e.del")).alias("longer"), whole.alias("whole"))
+
+
+def _local_sql(todo: str) -> str:
+    """Best local score x of each (a, b) of a table, and the first place y of b at which it ends."""
+    return f"""rows_of as (select a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as h, 0 as x, 0 as y from {todo}
+    union all select a, b, i + 1, n, case when list_max(n) > x then list_max(n) else x end, case when list_max(n) > x then list_position(n, list_max(n)) - 1 when list_max(n) = x then least(y, list_position(n, x) - 1) else y end
+    from (select *, list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [greatest(0, h[j] + case when substr(a, i + 1, 1) = substr(b, j, 1) then 1 else -1 end, h[j + 1] - 1)::integer])),
+        lambda p, q: list_append(p, greatest(q[1], p[-1] - 1)::integer)) as n from rows_of where i < length(a))),
+scored as (select a, b, x, y from rows_of where i = length(a))"""
+
+
+LOCAL = 16
+THRESHOLD_SQL = "with recursive " + COUNTS_SQL + f""",
+words as (select distinct umi, length(umi) as n from rows_),
+grams as (select umi, i, substr(umi, i::int, 7) as g from words, unnest(range(1, n - 5)) as t(i)),
+todo as (select distinct a.umi as a, b.umi as b from grams a join grams b on a.g = b.g and abs(a.i - b.i) <= 2 and a.umi < b.umi),
+{_local_sql('todo')},
+alike as (select a, b from scored where x > {LOCAL} union all select b, a from scored where x > {LOCAL}),
+edges as (select r.group_id, r.input_pos as a_pos, s.input_pos as b_pos, 0 as dist from rows_ r join alike on a = r.umi join rows_ s on s.group_id = r.group_id and s.umi = b and s.input_pos < r.input_pos),
+high as (select * from edges), usable as (select * from edges)""" + CLUSTER_SQL.format(min_reads=1)
+
+
+@query(THRESHOLD_SQL + " select group_id, umi, input_pos::bigint as input_pos, (dense_rank() over (partition by group_id order by founder_pos) - 1)::bigint as cluster, count(*) over (partition by group_id, founder_pos) as size from named")
+def umi_threshold_clusters(spark, sf_dir):
+    """In order of reads, each barcode left takes all left whose local alignment with it scores above 16."""
+    return compare.threshold_clusters(materialise(counts_view(spark, sf_dir)), LOCAL).select("group_id", "umi", "input_pos", "cluster", "size")
+
+
+@query()
+def umi_threshold_scan(spark, sf_dir):
+    """Similarity within the first clusters under several thresholds, and the threshold at the elbow."""
+    scan = materialise(compare.threshold_scan(materialise(counts_view(spark, sf_dir)), [9, 11, 13, 15, 17]))
+    rounded = scan.select("threshold", F.round("mean_similarity", 9).alias("mean_similarity"), "median_size", F.round("gain", 9).alias("gain"))
+    return rounded.join(F.broadcast(compare.elbow(rounded, 18, 9).withColumnRenamed("threshold", "elbow")))  # one row
+
+
+PROBE = "GATTACAGGT"
+PROBE_SQL = ", fq as (select l_orderkey * 10 + l_linenumber as read_id, substr(umi, 1, p) || case when m % 3 = 0 then 'GATTACAGGT' when m % 3 = 1 then 'GATACAGGT' else 'GATTCCAGGT' end || substr(umi, p) as s from reads)"
+
+
+@query("with recursive " + READS_SQL + PROBE_SQL + f""", one as (select read_id, min(s) as s from fq group by read_id),
+strands as (select read_id, 0 as strand, case when read_id % 2 = 0 then s else reverse(translate(s, 'ACGT', 'TGCA')) end as s from one union all select read_id, 1, case when read_id % 2 = 0 then reverse(translate(s, 'ACGT', 'TGCA')) else s end from one),
+todo as (select distinct '{PROBE}' as a, s as b from strands), {_local_sql('todo')},
+best as (select read_id, arg_max(struct_pack(x := x, y := y, s := s), x * 2 - strand) as z from strands join scored on b = s where x >= 7 group by read_id)
+select read_id::bigint as read_id, substr(z.s, z.y + 1, 6) as umi, z.x::int as score from best where z.y + 6 <= length(z.s)""")
+def umi_probe_barcodes(spark, sf_dir):
+    """Six bases behind a probe that may hold an error, in reads of either strand."""
+    r = reads_view(spark, sf_dir)
+    p, kind = F.col("p"), F.col("m") % 3
+    probe = F.when(kind == 0, PROBE).when(kind == 1, "GATACAGGT").otherwise("GATTCCAGGT")
+    s = F.concat(F.substring(F.col("umi"), F.lit(1), p), probe, F.substring(F.col("umi"), p, F.length("umi")))
+    one = r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), s.alias("s")).groupBy("read_id").agg(F.min("s").alias("s"))
+    fq = one.select("read_id", F.when(F.col("read_id") % 2 == 0, F.col("s")).otherwise(S.reverse_complement(F.col("s"))).alias("seq"))
+    return compare.extract_by_probe(fq, PROBE, 6, 7)

@@ -23,12 +23,7 @@ def correct(counts: DataFrame, max_length: int, distance: int = 1, error_rate: f
     if min_reads is None:
         got = estimate.estimate(counts, model, angle, prob).first()
         min_reads = int(got["rpu_cutoff"]) if got else 1
-    if greedy:
-        short = rows.withColumn("umi", F.substring("umi", 1, max_length))
-        assigned = clustering.cluster_groups(short, d, min_reads, greedy=True, pool=pool, head=head).join(rows.select("group_id", "input_pos", "n_reads"), ["group_id", "input_pos"])
-    else:
-        assigned = clustering.cluster(rows, d, min_reads, max_length)
-    assigned = materialise(assigned)
+    assigned = materialise(clustering.cluster(rows, d, min_reads, max_length, greedy=(pool, head) if greedy else None))
     if strict_runs:
         assigned = assigned.withColumn("group_id", F.substring_index("group_id", "\x1f", 1))
     counted = materialise(clustering.founder_counts(assigned))

@@ -2,6 +2,7 @@
 
 import random
 
+import models
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def test_relational_equals_serial(spark, d, min_reads, tail, head):
     got = {(r.group_id, r.input_pos): (r.founder_pos, r.dist, r.is_founder) for r in clustering.cluster(spark.createDataFrame(rows, SCHEMA), d, min_reads, tail=tail, head_rows=head, head_share=0.2).collect()}
     want = {}
     for g in {r[0] for r in rows}:
-        for pos, founder, dist, is_founder in clustering.serial([(u, n, i) for h, u, n, i in rows if h == g], d, min_reads):
+        for pos, founder, dist, is_founder in models.serial([(u, n, i) for h, u, n, i in rows if h == g], d, min_reads):
             want[g, pos] = (founder, dist, is_founder)
     assert got == want
 
@@ -55,7 +56,7 @@ def test_pairs_equal_brute_force(spark, d):
     want = set()
     for _, a, _, i in rows:
         for _, b, _, j in rows:
-            if i > j and clustering._grams(a) & clustering._grams(b) and (x := clustering.within(a, b, d)) >= 0:
+            if i > j and models._grams(a) & models._grams(b) and (x := models.within(a, b, d)) >= 0:
                 want.add((i, j, x))
     assert got == want
 
@@ -86,13 +87,70 @@ def test_invariant_to_partitioning(spark):
     assert one == sorted(map(tuple, clustering.cluster(df.repartition(7, F.rand(3)), 2).collect()))
 
 
-def test_greedy_keeps_founders(spark):
-    df = spark.createDataFrame(simulated(8), SCHEMA)
-    plain = {(r.group_id, r.input_pos) for r in clustering.cluster(df, 2).filter("is_founder").collect()}
-    greedy = {(r.group_id, r.input_pos) for r in clustering.cluster_groups(df, 2, greedy=True, pool=50, head=10).filter("is_founder").collect()}
-    assert plain == greedy
+def serial_result(rows, d, min_reads=1, **mode):
+    want = {}
+    for g in {r[0] for r in rows}:
+        for pos, founder, dist, is_founder in models.serial([(u, n, i) for h, u, n, i in rows if h == g], d, min_reads, **mode):
+            want[g, pos] = (founder, dist, is_founder)
+    return want
+
+
+def result(clustered):
+    return {(r.group_id, r.input_pos): (r.founder_pos, r.dist, r.is_founder) for r in clustered.collect()}
+
+
+@pytest.mark.parametrize("pool,head,min_reads", [(50, 10, 1), (7, 0, 1), (30, 5, 3), (10, 10, 1)])
+def test_greedy_equals_serial(spark, pool, head, min_reads):
+    rows = [(g, u, n, 3 * i) for g, u, n, i in simulated(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = result(clustering.cluster(df, 2, min_reads, greedy=(pool, head)))
+    assert got == serial_result(rows, 2, min_reads, greedy=True, pool=pool, head=head)
+    assert {k for k, v in got.items() if v[2]} == {k for k, v in result(clustering.cluster(df, 2, min_reads)).items() if v[2]}
+
+
+@pytest.mark.parametrize("d", [2, 3, 4])
+def test_overhang_equals_serial(spark, d):
+    rng = random.Random(d)
+    rows = []
+    for g, u, n, i in simulated(d + 40, parents=15):
+        rows.append((g, u + "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 0, 1, 4, 6]))) if rng.random() < 0.5 else rng.choice(["N", "NN", ""]) + u, n, i))
+    got = result(clustering.cluster(spark.createDataFrame(rows, SCHEMA), d, 2, head_rows=10, head_share=0.2, overhang=True))
+    assert got == serial_result(rows, d, 2, overhang=True)
+    assert got != result(clustering.cluster(spark.createDataFrame(rows, SCHEMA), d, 2)) or d < 3
 
 
 def test_overhang():
-    assert clustering.infix_within("ACGTACGT", "ACGTACGTTTTT", 3) == 3
-    assert clustering.within("ACGTACGT", "ACGTACGTTTTT", 3) == -1
+    assert models.infix_within("ACGTACGT", "ACGTACGTTTTT", 3) == 3
+    assert models.within("ACGTACGT", "ACGTACGTTTTT", 3) == -1
+
+
+@pytest.mark.parametrize("d,length", [(3, 18), (3, 16), (4, 21), (5, 25)])
+def test_pairs_of_many_edits_equal_brute_force(spark, d, length):
+    """Pieces of four letters: all ways to cut, hot stretches in a third of all barcodes, lengths around the usual one."""
+    rng = random.Random(length)
+    rows = simulated(d, parents=10, length=length, groups=1)
+    more = ["".join(rng.choice("ACGT") for _ in range(length)) for _ in range(40)]
+    more += [u[:5] + "AAAAAA" + u[11:] for u in more[:20]] + [u[:9] + "N" + u[10:] for u in more[:3]] + more[:2]
+    for u in more[:30]:
+        v = list(u)
+        for _ in range(d):
+            k, at = rng.randint(0, 2), rng.randrange(len(v))
+            v[at:at + 1] = [[rng.choice("ACGT")], [], [v[at], rng.choice("ACGT")]][k]
+        more.append("".join(v))
+    rows = [("g", u, 1, i) for i, u in enumerate([r[1] for r in rows] + more)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.a_pos, r.b_pos, r.dist) for r in similar_pairs(df, df, d).collect()}
+    assert got == {(i, j, x) for _, a, _, i in rows for _, b, _, j in rows if i > j and models._grams(a) & models._grams(b) and (x := models.within(a, b, d)) >= 0}
+
+
+def test_hot_stretches_do_not_pile_up(spark):
+    """A third of all barcodes hold the same six letters; no piece that is joined on gathers as many."""
+    rng = random.Random(4)
+    some = ["".join(rng.choice("ACGT") for _ in range(18)) for _ in range(900)]
+    rows = [("g", u[:7] + "AAAAAA" + u[13:] if i % 3 == 0 else u, 1, i) for i, u in enumerate(some)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    from founderflow.operators import similarity
+
+    most = similarity._rarest(similarity._cut(df, 3)).groupBy("group_id", "ln", "cut", "piece", "letters").count().agg(F.max("count")).first()[0]
+    sixes = df.select(F.explode(similarity.kmers(F.col("umi"))).alias("g")).groupBy("g").count().agg(F.max("count")).first()[0]
+    assert sixes >= 300 and most <= 0.1 * len(rows)

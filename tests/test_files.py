@@ -82,7 +82,7 @@ def test_edits(spark):
 
 
 def brute(rows, method, t=1):
-    from founderflow.operators.clustering import within
+    from models import within
 
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
     near = {u: [v for v, m in order if u != v and within(u, v, t) >= 0 and (method == "cluster" or n >= 2 * m - 1)] for u, n in order}
@@ -104,7 +104,7 @@ def brute(rows, method, t=1):
 
 def brute_cover(rows):
     """Per component the fewest of the best ranked that cover it with their neighbours, tried one after the other."""
-    from founderflow.operators.clustering import within
+    from models import within
 
     order = [u for u, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
     rank = {u: i for i, u in enumerate(order, 1)}
@@ -131,19 +131,12 @@ def test_methods(spark, method):
     assert bucket == sum(n for _, n in rows)
 
 
-def test_alignment_methods(spark):
-    df = spark.createDataFrame([("1", u) for u in ("ACGTACGT", "ACGTACGA", "TTTTGGGG")], "group_id string, umi string")
-    assert sorted(r["size"] for r in compare.threshold_clusters(df, 5).collect()) == [1, 2, 2]
-    scan = {r.threshold: r for r in compare.threshold_scan(df, [2, 5, 9]).collect()}
-    assert {t: (r.mean_similarity, r.median_size) for t, r in scan.items()} == {2: (3.5, 1.5), 5: (3.5, 1.5), 9: (0.0, 1.0)}
-    assert scan[2].gain is None and scan[5].gain == 0 and scan[9].gain == -3.5
+def test_elbow(spark):
     many = spark.createDataFrame([(t, s) for t, s in ((10, 5.0), (15, 8.0), (20, 9.0), (25, 9.1), (30, 20.0))], "threshold int, mean_similarity double")
     from pyspark.sql import Window
 
     gains = many.withColumn("gain", F.col("mean_similarity") - F.lag("mean_similarity").over(Window.orderBy("threshold")))
     assert compare.elbow(gains, 18).first().threshold == 20 and compare.elbow(gains, 60).first().threshold is None
-    fq = spark.createDataFrame([(0, "AAGATTACACCGG"), (1, "CCGGTGTAATCTT"), (2, "GATTACA")], "read_id long, seq string")
-    assert {r.read_id: r.umi for r in compare.extract_by_probe(fq, "GATTACA", 4, 6).collect()} == {0: "CCGG", 1: "CCGG"}
 
 
 def test_simulation_and_fact_files(spark, tmp_path):
