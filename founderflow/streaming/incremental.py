@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from founderflow.operators.clustering import _grams, within
+from founderflow.functions.sequences import K
 
 
 def count_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -17,17 +17,48 @@ def count_stream(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("group_id", "umi").agg(F.sum("n_reads").alias("n_reads"))
 
 
+def _grams(umi: str) -> list[str]:
+    up = umi.upper()
+    return sorted({g for i in range(len(up) - K + 1) if set(g := up[i:i + K]) <= set("ACGT")})
+
+
+def _distance(a: str, b: str) -> int:
+    """Edit distance, a machine word for a column."""
+    if not a:
+        return len(b)
+    holds: dict[str, int] = {}
+    for i, x in enumerate(a):
+        holds[x] = holds.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = every, 0, len(a)
+    for y in b:
+        same = holds.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = (down | ~(across | up)) & every, up & across
+        score += bool(rise & last) - bool(fall & last)
+        keep, rise, fall = same | down, (rise << 1 | 1) & every, (fall << 1) & every
+        up, down = (fall | ~(keep | rise)) & every, rise & keep
+    return score
+
+
 def assign_stream(rows: DataFrame, d: int = 1) -> DataFrame:
     """(group_id, umi, founder) in order of arrival. State is a group's founders; they only grow in number."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         founders: list[str] = list(state.get[0]) if state.exists else []
+        index: dict[str, list[int]] = {}
+        for k, f in enumerate(founders):
+            for g in _grams(f):
+                index.setdefault(g, []).append(k)
         out = []
         for pdf in frames:
             for umi in pdf["umi"]:
                 grams = _grams(umi)
-                near = [(x, k) for k, f in enumerate(founders) if grams & _grams(f) and (x := within(umi, f, d)) >= 0]
+                met = {k for g in grams for k in index.get(g, ()) if abs(len(founders[k]) - len(umi)) <= d}
+                near = [(x, k) for k in met if (x := _distance(umi, founders[k])) <= d]
                 if not near:
+                    for g in grams:
+                        index.setdefault(g, []).append(len(founders))
                     founders.append(umi)
                 out.append((key[0], umi, founders[min(near)[1]] if near else umi))
         state.update((founders,))

@@ -231,3 +231,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.founder for r in spark.table("assigned").collect()} == {"ACGTACGT"}
+
+
+def test_distance_of_the_stream():
+    import models
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("AC") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert incremental._distance(a, b) == models.within(a, b, 99)
