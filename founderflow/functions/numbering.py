@@ -44,6 +44,17 @@ def runs(rows: DataFrame, value: str, position: str, name: str) -> DataFrame:
     return r.join(ends, F.col("ff_block") == F.col("ff_of")).select(*[r[c] for c in rows.columns], run.cast("long").alias(name))
 
 
+def running(rows: DataFrame, flag: Column, position: str, name: str) -> DataFrame:
+    """Adds name, how many rows up to this one, by position (unique), have the flag."""
+    inside = W.partitionBy("ff_block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    r = rows.withColumns({"ff_block": F.floor(F.col(position) / BLOCK), "ff_flag": F.when(flag, 1).otherwise(0)})
+    ends = r.groupBy(F.col("ff_block").alias("ff_of")).agg(F.sum("ff_flag").alias("ff_n"))
+    along = W.partitionBy(F.lit(0)).orderBy("ff_of").rowsBetween(W.unboundedPreceding, 0)  # a row a block of rows
+    ends = ends.withColumn("ff_start", F.sum("ff_n").over(along) - F.col("ff_n"))
+    own = r.withColumn("ff_own", F.sum("ff_flag").over(inside))
+    return own.join(ends, F.col("ff_block") == F.col("ff_of")).select(*[own[c] for c in rows.columns], (F.col("ff_start") + F.col("ff_own")).cast("long").alias(name))
+
+
 def copies(rows: DataFrame, n: Column, name: str, spread: bool = False) -> DataFrame:
     """Each row n times, numbered from 0; a large n is cut into blocks first, so no array is long. spread deals the blocks to tasks."""
     starts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(BLOCK).cast("long"))

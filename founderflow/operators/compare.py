@@ -57,23 +57,61 @@ def directional_edges(counts: DataFrame, threshold: int = 1) -> DataFrame:
     return down.unionByName(up)
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("group_id", "u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: group_id, u, v, undirected, integers. (group_id, u, v): every node that is not its component's least, and that least.
+
+    Star contraction (Kiveris et al. 2014): in turn each node's larger neighbours are tied to its least one, then its smaller ones, so
+    rounds grow with the logarithm of the longest path. Both steps join on a group's minima; no neighbourhood is gathered."""
+    now = materialise(edges.select("group_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    before = None
+    while (state := _state(now)) != before:
+        before = state
+        both = now.unionByName(now.select("group_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("group_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = materialise(both.join(least, ["group_id", "u"]).filter("v > u").select("group_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("group_id", "u").agg(F.min("v").alias("m"))
+        rest = large.join(low, ["group_id", "u"]).filter("v <> m").select("group_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialise(rest.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        forget(now, large)
+        now = after
+    return now
+
+
 def reached(counts: DataFrame, edges: DataFrame) -> DataFrame:
     """(group_id, umi, n_reads, rank, lead): lead is the best rank from which edges lead to the barcode, its own included.
 
-    Searches that start in rank order and skip barcodes already found give each barcode to the same lead.
+    Searches that start in rank order and skip barcodes already found give each barcode to the same lead. Barcodes tied by edges
+    both ways have one lead, so they are contracted first, however long their chains; what is left is passed on hop by hop. Under
+    directional edges a hop that has no way back halves the reads, so such hops are few.
     """
-    now = materialise(ranked(counts).withColumn("lead", F.col("rank")))
-    written = [now]
+    rows = materialise(ranked(counts))
+    at = lambda name, to: rows.select("group_id", F.col("umi").alias(name), F.col("rank").alias(to))
+    directed = materialise(edges.join(at("src", "s"), ["group_id", "src"]).join(at("dst", "t"), ["group_id", "dst"]).select("group_id", "s", "t").distinct())
+    back = directed.select("group_id", F.col("s").alias("t"), F.col("t").alias("s"))
+    mutual = directed.join(back, ["group_id", "s", "t"], "left_semi")
+    tied = components(mutual.select("group_id", F.col("s").alias("u"), F.col("t").alias("v")))
+    roots = materialise(rows.join(tied.select("group_id", F.col("u").alias("rank"), F.col("v").alias("root")), ["group_id", "rank"], "left").withColumn("root", F.coalesce("root", "rank")))
+    of = lambda name: roots.select("group_id", F.col("rank").alias(name), F.col("root").alias(f"{name}_root"))
+    hops = directed.join(back, ["group_id", "s", "t"], "left_anti").join(of("s"), ["group_id", "s"]).join(of("t"), ["group_id", "t"])
+    hops = materialise(hops.filter("s_root <> t_root").select("group_id", F.col("s_root").alias("s"), F.col("t_root").alias("t")).distinct())
+    ends = hops.select("group_id", F.col("s").alias("root")).unionByName(hops.select("group_id", F.col("t").alias("root"))).distinct()
+    now = materialise(ends.withColumn("lead", F.col("root")))
+    forget(directed)
     while True:
-        sent = edges.join(now.select("group_id", F.col("umi").alias("src"), F.col("lead").alias("from")), ["group_id", "src"]).groupBy("group_id", F.col("dst").alias("umi")).agg(F.min("from").alias("from"))
-        after = now.join(sent, ["group_id", "umi"], "left").select("group_id", "umi", "n_reads", "rank", F.least("lead", F.coalesce("from", "lead")).alias("lead"), (F.coalesce("from", "lead") < F.col("lead")).alias("moved"))
-        after = materialise(after)
-        forget(*written)
-        written = [after]
-        done = after.filter("moved").isEmpty()
+        sent = hops.join(now.select("group_id", F.col("root").alias("s"), F.col("lead").alias("from")), ["group_id", "s"]).groupBy("group_id", F.col("t").alias("root")).agg(F.min("from").alias("from"))
+        after = materialise(now.join(sent, ["group_id", "root"], "left").select("group_id", "root", F.least("lead", F.coalesce("from", "lead")).alias("lead"), (F.coalesce("from", "lead") < F.col("lead")).alias("moved")))
+        forget(now)
+        now = after
+        if after.filter("moved").isEmpty():
+            break
         now = after.drop("moved")
-        if done:
-            return now
+        now._ff_path = after._ff_path
+    leads = now.select("group_id", "root", F.col("lead").alias("far"))
+    return roots.join(leads, ["group_id", "root"], "left").select("group_id", "umi", "n_reads", "rank", F.coalesce("far", "root").alias("lead"))
 
 
 def groups(counts: DataFrame, method: str = "directional", threshold: int = 1) -> DataFrame:

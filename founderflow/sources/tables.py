@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from founderflow.functions.numbering import numbered
+from founderflow.functions.numbering import numbered, running
 
 COUNT_SCHEMA = "group_id string, umi string, n_reads long"
 
@@ -82,9 +82,12 @@ def write_fastq(reads: DataFrame, path: str, order: list[str], compression: str
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, name, seq): records begin with >, their sequence may span lines."""
-    got = spark.read.option("lineSep", ">").text(path).withColumn("record_id", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    return got.select("record_id", F.substring_index("value", "\n", 1).alias("name"), F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s", "").alias("seq"))
+    """(record_id from 0, name, seq): a record begins with a line that begins with >, its sequence may span lines."""
+    heads = F.col("line").startswith(">")
+    lines = running(numbered_lines(spark, path), heads, "line_no", "record").filter("record > 0")
+    body = F.array_sort(F.collect_list(F.when(~heads, F.struct("line_no", "line"))))
+    records = lines.groupBy((F.col("record") - 1).alias("record_id")).agg(F.max(F.when(heads, F.substring("line", 2, 1 << 30))).alias("name"), body.alias("body"))
+    return records.select("record_id", "name", F.regexp_replace(F.array_join(F.transform("body", lambda x: x["line"]), ""), r"\s", "").alias("seq"))
 
 
 def write_fasta(records: DataFrame, path: str) -> None:

@@ -240,3 +240,28 @@ def test_distance_of_the_stream():
     for _ in range(2000):
         a, b = ("".join(rng.choice("AC") for _ in range(rng.randint(0, 9))) for _ in range(2))
         assert incremental._distance(a, b) == models.within(a, b, 99)
+
+
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    (tmp_path / "b.fa").write_text("; before\n>r1 A>C variant\nACG\nT A\n>r2\n>r3 >x\nGG\n\nTT\n")
+    got = [tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "b.fa")).orderBy("record_id").collect()]
+    assert got == [(0, "r1 A>C variant", "ACGTA"), (1, "r2", ""), (2, "r3 >x", "GGTT")]
+
+
+def test_running_counts_across_blocks(spark):
+    from founderflow.functions import numbering
+
+    rows = [(i,) for i in (0, 1, 65_535, 65_536, 131_080, 200_000)]
+    got = numbering.running(spark.createDataFrame(rows, "i long").repartition(3), F.col("i") % 2 == 0, "i", "n").orderBy("i").collect()
+    assert [r.n for r in got] == [1, 1, 1, 2, 3, 4]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(compare, "_state", lambda edges, state=compare._state: rounds.append(1) or state(edges))
+    rng = random.Random(9)
+    names = list(range(10_000))
+    rng.shuffle(names)
+    edges = spark.createDataFrame([("g", a, b) for a, b in zip(names, names[1:])] + [("h", 5, 3), ("h", 3, 3)], "group_id string, u int, v int")
+    got = compare.components(edges).collect()
+    assert len(rounds) <= 20 and {(r.group_id, r.u, r.v) for r in got} == {("g", i, 0) for i in range(1, 10_000)} | {("h", 5, 3)}
