@@ -100,10 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
         index, value = model.sparse()
         return pa.table({"i": pa.array(index, pa.int64()), "w": pa.array(value, pa.float64())})
 
-    # One task learns, as the method is sequential: most_rows rows and most_bytes at most reach it.
-    upto = F.sum(F.length("f")).over(W.orderBy("key", "y").rowsBetween(W.unboundedPreceding, 0))
-    cut_rows = rows.mapInArrow(cut, "y int, key long, f binary").withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto")
+    # One task learns, as the method is sequential: most_rows rows and most_bytes at most reach it. Sizes alone are summed in order.
+    held = common.materialise(rows.mapInArrow(cut, "y int, key long, f binary").withColumns({"i": F.monotonically_increasing_id(), "n": F.length("f")}))
+    upto = F.sum("n").over(W.orderBy("key", "y", "i").rowsBetween(W.unboundedPreceding, 0))
+    within = held.select("key", "y", "i", "n").withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("i")
+    cut_rows = held.join(within, "i").select("y", "key", "f")
     got = cut_rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "i long, w double").toPandas()  # 2**bits rows at most
+    common.forget(held)
     order = np.argsort(got["i"].to_numpy(np.int64))
     return got["i"].to_numpy(np.int64)[order], got["w"].to_numpy(np.float64)[order]
 
