@@ -161,9 +161,8 @@ def test_decontamination(spark):
         bad.add(1000 + i)
     docs = spark.createDataFrame(rows + ODD[:2] + ODD[3:4], DOCS)
     table = spark.createDataFrame(items, "item_id long, text string")
-    for most in (1_000_000, 200):
-        found = {(r.doc_id, r.item_id): r.score for r in decontamination.hits(docs, table, most_grams=most).collect() if r.item_id < 12}
-        assert {d for d, _ in found} == bad and all((1000 + i, i) in found for i in range(12)) and found[1000, 0] == 1.0
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.hits(docs, table).collect() if r.item_id < 12}
+    assert {d for d, _ in found} == bad and all((1000 + i, i) in found for i in range(12)) and found[1000, 0] == 1.0
     kept = {r.doc_id for r in decontamination.clean(docs, table.filter("item_id < 12")).collect()}
     assert kept == {r[0] for r in rows + ODD[:2] + ODD[3:4]} - bad
     assert decontamination.hits(docs, table.limit(0)).count() == 0 and decontamination.clean(docs.limit(0), table).count() == 0
@@ -212,6 +211,34 @@ def test_decontamination_finds_excerpts_of_long_items(spark):
     assert [r.doc_id for r in decontamination.clean(docs, table).collect()] == [4]
 
 
+def test_decontamination_query(spark, frames):
+    """Best item, ties, null and repeated ids of documents and items, copies, null texts, an empty benchmark."""
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    a, b, c = text(30), text(25), text(40)
+    half = " ".join(b.split()[:13])
+    items = [(5, a), (3, a), (7, b), (7, c), (None, c), (None, None), (9, ""), (5, a)]
+    rows = [(1, f"{text(40)} {a} {text(9)}"), (2, f"{b} {text(50)}"), (None, f"{c} {text(5)}"), (None, b), (3, text(80)), (4, None), (5, ""), (6, f"{half} x {a}")]
+    rows += [(1, f"{c} {text(3)}"), (8, a), (8, a), (9, a)]
+    rows = [(d, t, "s", "en") for d, t in rows]
+    path = frames(documents=(rows, DOCS), benchmark=(items, "item_id long, text string"))
+    best = {}
+    known = [(k, t) for k, (_, t) in enumerate(items) if t]
+    numbered = [(k, r[1]) for k, r in enumerate(rows) if r[1]]
+    for (d, k), score in plain_hits(numbered, known).items():
+        best.setdefault(rows[d][0], {}).setdefault(items[k][0], []).append(score)
+    want = {}
+    for d, found in best.items():
+        top = sorted(((-max(v), i is None, i) for i, v in found.items()), key=lambda x: (x[0], x[1], x[2] or 0))[0]
+        want[d] = (top[2], -top[0], sorted(i for i in found if i is not None))
+    got = {r.doc_id: (r.item_id, round(r.score, 9), r["items"]) for r in decontamination.op4_decontaminate(spark, path).collect()}
+    assert got == want and want[1][0] == 3 and want[8][2] == [3, 5]
+    docs, table = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+    assert decontamination.hits(docs, table.limit(0)).count() == 0
+    kept = decontamination.clean(docs.withColumn("ff_key", F.lit("k")).withColumn("item", F.lit(1)), table)
+    assert kept.columns == [*docs.columns, "ff_key", "item"] and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+
+
 def test_toxicity(spark, frames):
     rng = random.Random(6)
     rows, labels = [], []
