@@ -12,7 +12,7 @@ gaps between successive matches those with two edits or more use up k, so s = S
 none: there the two words are one or two places apart in the document, and one or two in the item, and each gap
 begins at another word of the item. An item's ordered word pairs at distances one and two are ranked by how often
 the corpus holds them. The most frequent are left out as long as they touch s - t words of the item at most, with
-t = s / 2 rounded up: the pairs left, the rare seeds, then begin t of the s gaps at least, all within the 3 m - S words
+t = s / 3 rounded up: the pairs left, the rare seeds, then begin t of the s gaps at least, all within the 3 m - S words
 that an alignment covers. So a join of seeds with the documents' pairs, and a count of the places met, lose nothing,
 though no run of unchanged words is needed.
 
@@ -44,7 +44,7 @@ from . import common
 THRESHOLD, EXCERPT = 0.45, 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHORT, STEPS, CELLS = 3, (1, 2), 1 << 18
-FLAGS = 1 << 24
+FLAGS, SLICE, PART = 1 << 24, 1 << 20, 3
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def bounds(length: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
 
 
 def asked(items: DataFrame, threshold: float) -> DataFrame:
-    """(item, words, length, least, span, gaps) of the distinct texts of items that have words."""
+    """(digest, words, length, least, span, gaps, item) of the distinct texts of items that have words; item numbers them."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -77,11 +77,12 @@ def asked(items: DataFrame, threshold: float) -> DataFrame:
                 length = np.diff(at)
                 blobs = pa.array([words[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
                 numbers = [pa.array(x) for x in (length, *bounds(length, threshold))]
-                out = pa.RecordBatch.from_arrays([part.column(0), blobs, *numbers], ["item", "words", "length", "least", "span", "gaps"])
+                out = pa.RecordBatch.from_arrays([part.column(0), blobs, *numbers], ["digest", "words", "length", "least", "span", "gaps"])
                 yield out.filter(pa.array(length > 0))
 
-    nodes = items.select(_key("text").alias("item"), "text").filter("text is not null").groupBy("item").agg(F.first("text").alias("text"))
-    return common.materialise(nodes.mapInArrow(run, "item binary, words binary, length long, least long, span long, gaps long"))
+    nodes = items.select(_key("text").alias("digest"), "text").filter("text is not null").groupBy("digest").agg(F.first("text").alias("text"))
+    out = nodes.mapInArrow(run, "digest binary, words binary, length long, least long, span long, gaps long")
+    return common.materialise(out.withColumn("item", F.monotonically_increasing_id()))
 
 
 def grams(table: DataFrame) -> DataFrame:
@@ -98,9 +99,9 @@ def grams(table: DataFrame) -> DataFrame:
                     first, value, second = [np.zeros(1, np.int64)], [words], [words]
                 place = np.concatenate(first)
                 columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (value, [words[place]], second)]
-                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(place), pa.binary()), columns[0], pa.array(place), *columns[1:]], ["item", "value", "place", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), item.as_py())), columns[0], pa.array(place), *columns[1:]], ["item", "value", "place", "a", "b"])
 
-    return table.select("item", "words").mapInArrow(run, "item binary, value long, place long, a long, b long")
+    return table.select("item", "words").mapInArrow(run, "item long, value long, place long, a long, b long")
 
 
 def _flags(values: DataFrame) -> np.ndarray:
@@ -133,7 +134,7 @@ def counted(docs: DataFrame, pairs: DataFrame, text: str, alone: bool) -> DataFr
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for start, size in common.batches(batch.column(0)):
+            for start, size in common.batches(batch.column(0), SLICE):
                 _, _, got = _met(batch.column(0).slice(start, size), *sent.value, alone)
                 got, n = np.unique(got, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["value", "n"])
@@ -148,7 +149,7 @@ def seeds(pairs: DataFrame, table: DataFrame, counts: DataFrame) -> DataFrame:
     # A word of the item is touched by the more frequent of its two pairs; equal values are peers of one rank.
     ranked = ranked.withColumn("new", (F.row_number().over(Window.partitionBy("item", "place").orderBy(*order)) == 1).cast("int"))
     ranked = ranked.withColumn("touched", F.sum("new").over(Window.partitionBy("item").orderBy(F.struct((-F.col("n")).alias("n"), "value"))))
-    ranked = ranked.join(table.select("item", "span", F.ceil(F.col("gaps") / 2).alias("least_met"), "gaps"), "item")
+    ranked = ranked.join(table.select("item", "span", F.ceil(F.col("gaps") / PART).alias("least_met"), "gaps"), "item")
     return ranked.filter(F.col("touched") > F.col("gaps") - F.col("least_met")).select("item", "value", "span", "least_met").distinct()
 
 
@@ -158,15 +159,17 @@ def met(docs: DataFrame, rare: DataFrame, words: DataFrame, text: str, alone: bo
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for start, size in common.batches(batch.column(1)):
+            for start, size in common.batches(batch.column(1), SLICE):
                 part = batch.slice(start, size)
                 doc, place, value = _met(part.column(1), *sent.value, alone)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(place), pa.array(value.view(np.int64))], ["key", "place", "value"])
 
     places = docs.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), text).mapInArrow(run, "key binary, place long, value long")
-    both = places.join(rare, "value").groupBy("key", "item", "span", "least_met").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    both = places.join(rare.select("item", "value"), "value").groupBy("key", "item").agg(F.collect_set("place").alias("places"))
+    both = both.join(rare.select("item", "span", "least_met").distinct(), "item").filter(F.col("least_met") <= F.size("places"))
+    both = both.withColumn("places", F.array_sort("places"))
     near = "exists(sequence(0, size(places) - cast(least_met as int)), j -> places[j + cast(least_met as int) - 1] - places[j] < span)"
-    return both.filter(F.col("least_met") <= F.size("places")).filter(near)
+    return both.filter(near)
 
 
 def _stretches(places: np.ndarray, span: int, least_met: int, n: int) -> Iterator[tuple[int, int]]:
@@ -182,11 +185,11 @@ def stretches(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """(key, item, stretch): word hashes of where the items may align. Texts and places are sorted together by text."""
     texts = docs.select(_key(text).alias("key"), F.col(text).alias("text")).join(found.select("key").distinct(), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    both = texts.select("key", F.lit(0).alias("kind"), "text", F.lit(None).cast("binary").alias("item"), F.lit(None).cast("array<long>").alias("places"), F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("least_met"))
+    both = texts.select("key", F.lit(0).alias("kind"), "text", F.lit(None).cast("long").alias("item"), F.lit(None).cast("array<long>").alias("places"), F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("least_met"))
     both = both.unionByName(found.select("key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "item", "places", "span", "least_met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(0, np.uint64)
+        words, kinds = np.zeros(0, np.uint64), (pa.binary(), pa.int64(), pa.binary())
         for batch in batches:
             kind, span, least_met = (batch.column(k).to_pylist() for k in (1, 5, 6))
             out: list[tuple] = []
@@ -200,12 +203,12 @@ def stretches(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
                     out.append((key, item, words[low:high].tobytes()))
                     size += 8 * (high - low)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["key", "item", "stretch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "item", "stretch"])
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["key", "item", "stretch"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "item", "stretch"])
 
-    return both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "key binary, item binary, stretch binary")
+    return both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "key binary, item long, stretch binary")
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -254,7 +257,7 @@ def aligned(cut: DataFrame, table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(score[high] / (MATCH * length[high]))], ["key", "item", "score"])
 
     both = cut.join(table, "item").select("key", "item", "stretch", "words", "least", "length")
-    return both.mapInArrow(run, "key binary, item binary, score double").groupBy("key", "item").agg(F.max("score").alias("score"))
+    return both.mapInArrow(run, "key binary, item long, score double").groupBy("key", "item").agg(F.max("score").alias("score"))
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -265,7 +268,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", threshold: fl
     rare = common.materialise(seeds(pairs, table, counted(docs, pairs, text, alone)))
     words = pairs.join(rare.select("item", "value"), ["item", "value"], "left_semi").select(F.explode(F.array("a", "b")).alias("w")).distinct()
     found = common.materialise(met(docs, rare, words, text, alone))
-    return common.materialise(aligned(stretches(docs, found, text), table))
+    scored = aligned(stretches(docs, found, text), table).join(table.select("item", "digest"), "item")
+    return common.materialise(scored.select("key", F.col("digest").alias("item"), "score"))
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
