@@ -18,9 +18,9 @@ though no run of unchanged words is needed.
 
 Steps, each over all rows, and none for each block of items: corpus counts of the items' pairs; the join of the seeds
 with the documents' pairs, counted by text and item; texts met and their items' places sorted together, so that
-a task holds one text at a time and cuts the stretches; stretches joined to their items and aligned in batches. Equal
-texts are one (128-bit digests), so copies are aligned once. Sent to tasks: two tables of at most 2^24 flags, which
-only spare the joins rows that meet nothing. Nothing else is collected; joins are Spark's to broadcast or shuffle.
+a task holds one text at a time and cuts the stretches (other texts are not moved, but for those a Bloom filter lets through); stretches joined to their items and aligned in batches. Equal
+texts are one (128-bit digests), so copies are aligned once. Sent to tasks: two tables of at most 2^24 flags and
+that filter of at most 2^26 bits, which only spare the joins rows that meet nothing. Nothing else is collected; joins are Spark's to broadcast or shuffle.
 
 Words are maximal runs of letters, digits and non-ASCII bytes, in lower case. Defined results: null and empty texts
 and items without words hit nothing; items shorter than three words are hit where they occur whole, and longer
@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .neardup import likely
 
 THRESHOLD, EXCERPT = 0.45, 13
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -183,7 +184,10 @@ def _stretches(places: np.ndarray, span: int, least_met: int, n: int) -> Iterato
 
 def stretches(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """(key, item, stretch): word hashes of where the items may align. Texts and places are sorted together by text."""
-    texts = docs.select(_key(text).alias("key"), F.col(text).alias("text")).join(found.select("key").distinct(), "key", "left_semi")
+    keys = common.materialise(found.select("key").distinct().withColumn("node", F.xxhash64("key")))
+    rows = docs.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), F.col(text).alias("text"))
+    texts, _ = likely(rows.withColumn("node", F.xxhash64("key")), keys)  # so that a shuffle holds hardly more than the texts met
+    texts = texts.select("key", "text").join(keys, "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     both = texts.select("key", F.lit(0).alias("kind"), "text", F.lit(None).cast("long").alias("item"), F.lit(None).cast("array<long>").alias("places"), F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("least_met"))
     both = both.unionByName(found.select("key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "item", "places", "span", "least_met"))
