@@ -548,5 +548,5 @@ def test_pipeline(spark, frames):
 def test_registry():
     from founderflow.llm import registry
 
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(registry.ORACLES) <= set(registry.QUERIES)
