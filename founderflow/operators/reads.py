@@ -31,14 +31,15 @@ def count_barcodes(reads: DataFrame, group: str = "1") -> DataFrame:
     return reads.groupBy("umi").agg(F.count(F.lit(1)).alias("n_reads")).select(F.lit(group).alias("group_id"), "umi", "n_reads")
 
 
-def regroup(reads: DataFrame, assignments: DataFrame, by_group: bool = False) -> DataFrame:
+def regroup(reads: DataFrame, assignments: DataFrame, by_group: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Tagged reads (name, seq, qual) renamed to their founder; reads of unknown barcodes drop out.
 
     By barcode alone, a barcode in several groups gives a row for each; with by_group, reads carry group_id.
+    `keep` names columns of the reads that stay beside these.
     """
     name, umi = untagged(F.col("name"))
     own = reads.withColumns({"read_name": name, "umi": umi})
     keys = ["group_id", "umi"] if by_group else ["umi"]
     table = assignments.select("umi", "founder", *(["group_id"] if by_group else []))
     joined = own.join(table, keys)
-    return joined.select(*keys, "founder", F.concat("read_name", F.lit("_"), "founder").alias("name"), "seq", "qual")
+    return joined.select(*keys, "founder", F.concat("read_name", F.lit("_"), "founder").alias("name"), "seq", "qual", *(keep or []))

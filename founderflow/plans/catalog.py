@@ -15,7 +15,7 @@ from founderflow.functions import sequences as S
 from founderflow.operators import alignment, clustering, compare, estimate, quality, reads, simulate
 from founderflow.operators.similarity import similar_pairs
 from founderflow.plans import pipeline
-from founderflow.plans.storage import materialise
+from founderflow.plans.storage import materialise, shared_dir
 from founderflow.sources import tables
 
 D = 2
@@ -520,3 +520,27 @@ def umi_probe_barcodes(spark, sf_dir):
     one = r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), s.alias("s")).groupBy("read_id").agg(F.min("s").alias("s"))
     fq = one.select("read_id", F.when(F.col("read_id") % 2 == 0, F.col("s")).otherwise(S.reverse_complement(F.col("s"))).alias("seq"))
     return compare.extract_by_probe(fq, PROBE, 6, 7)
+
+
+FILES_SQL = MATES_SQL + """, fq as (select row_number() over (order by l_orderkey, l_linenumber) - 1 as read_id, 'r' || l_orderkey || '.' || l_linenumber as name, umi || 'GATTACA' as s1 from one),
+cut as (select read_id, name, substr(s1, 1, 18) as umi, substr(s1, 19) as seq from fq), counts as (select '1' as group_id, umi, count(*) as n_reads from cut group by umi)"""
+FILES_EDGES_SQL = EDGES_SQL.replace(",\ncounts as (select group_id, umi, count(*) as n_reads from reads group by group_id, umi)", ONE_SQL + FILES_SQL.replace(ONE_SQL, ""))
+
+
+@query("with recursive " + FILES_EDGES_SQL + ", high as (select * from edges), usable as (select * from edges)" + CLUSTER_SQL.format(min_reads=1) + """ select read_id::bigint as read_id, name || '_' || founder as name, seq, repeat('F', length(seq)) as qual, 'GATTACA' || name as mate,
+    row_number() over (order by founder, read_id) - 1 as place from cut join named using (umi)""")
+def umi_fastq_in_out(spark, sf_dir):
+    """From files to files: both mates as FASTQ, one of them zipped, barcodes cut, counted and corrected, reads grouped by founder and written."""
+    r, base = _one_a_line(spark, sf_dir), shared_dir(spark)
+    keys, name = ["l_orderkey", "l_linenumber"], F.concat(F.lit("r"), "l_orderkey", F.lit("."), "l_linenumber")
+    one = lambda seq, comment: r.select(*keys, F.concat(name, F.lit(comment)).alias("name"), seq.alias("seq"), F.repeat(F.lit("F"), F.length(seq)).alias("qual"))
+    tables.write_fastq(one(F.concat("umi", F.lit("GATTACA")), " 1:N"), f"{base}/r1", keys)
+    tables.write_fastq(one(F.concat(F.lit("GATTACA"), name), " 2:N"), f"{base}/r2", keys, "gzip")
+    tagged = materialise(reads.extract(tables.read_fastq(spark, f"{base}/r1"), tables.read_fastq(spark, f"{base}/r2"), (1, 18)))
+    founders = clustering.cluster(materialise(clustering.with_positions(reads.count_barcodes(tagged))), D)
+    first = tagged.select("read_id", F.col("name1").alias("name"), F.col("seq1").alias("seq"), F.col("qual1").alias("qual"), "seq2")
+    grouped = materialise(reads.regroup(first, founders, keep=["read_id", "seq2"]))
+    tables.write_fastq(grouped, f"{base}/grouped", ["founder", "read_id"])
+    back = tables.read_fastq(spark, f"{base}/grouped").withColumnRenamed("read_id", "place")
+    mates = grouped.select("name", F.col("read_id").alias("first_id"), F.col("seq2").alias("mate"))
+    return back.join(mates, "name").select(F.col("first_id").alias("read_id"), "name", "seq", "qual", "mate", "place")

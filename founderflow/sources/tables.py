@@ -1,4 +1,4 @@
-"""Readers and writers: count tables, assignments, estimates, FASTQ, FASTA, simulations, benchmark facts."""
+"""Readers and writers: count tables, assignments, estimates, FASTA, simulations, benchmark facts; FASTQ is in fastq.py."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from founderflow.functions.numbering import numbered, running
+from founderflow.sources.fastq import read_fastq, write_fastq  # noqa: F401
 
 COUNT_SCHEMA = "group_id string, umi string, n_reads long"
 
@@ -66,21 +67,6 @@ def show_estimate(record: DataFrame) -> str:
     return "\n".join(f"{k}\t{v}" for k, v in lines)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id from 0, name, seq, qual); gzip by suffix. Four lines are one record; a file is numbered as a whole."""
-    rows = numbered_lines(spark, path)
-    part = F.col("line_no") % 4
-    one = lambda k: F.max(F.when(part == k, F.col("line")))
-    return rows.groupBy(F.floor(F.col("line_no") / 4).alias("read_id")).agg(F.substring(one(0), 2, 1 << 30).alias("name"), one(1).alias("seq"), one(3).alias("qual"))
-
-
-def write_fastq(reads: DataFrame, path: str, order: list[str], compression: str | None = None) -> None:
-    """Sorted by `order`, one record of four lines a row."""
-    record = F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual")
-    writer = reads.orderBy(*order).select(record.alias("value")).write
-    (writer.option("compression", compression) if compression else writer).text(path)
-
-
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(record_id from 0, name, seq): a record begins with a line that begins with >, its sequence may span lines."""
     heads = F.col("line").startswith(">")

@@ -36,6 +36,50 @@ def test_fastq_round_trip(spark, tmp_path, zipped):
     assert reads.count_barcodes(reads.extract(fq, None, (9, 9))).count() == 4
 
 
+def _records(rng, n):
+    quality = "@+I#5"
+    return [(f"r{i} {rng.choice(['1:N', '@', '+'])}", "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 5, 30]))), "".join(rng.choice(quality) for _ in range(rng.choice([1, 5, 30])))) for i in range(n)]
+
+
+@pytest.mark.parametrize("split", [25, 50, 333])
+def test_fastq_across_splits(spark, tmp_path, split):
+    """Records that cross the edges of splits, qualities that look like headers, several files, an unfinished end."""
+    rng = random.Random(split)
+    files = [_records(rng, n) for n in (12, 0, 1, 7)]
+    for i, records in enumerate(files):
+        (tmp_path / f"{i}.fastq").write_text("".join(f"@{a}\n{b}\n+{rng.choice(['', 'again'])}\n{c}\n" for a, b, c in records) + ["", "", "\n", "@half\nACG\n"][i])
+    keys = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "8"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        fq = tables.read_fastq(spark, str(tmp_path))
+        got = [tuple(r) for r in fq.orderBy("read_id").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == [(i, *r) for i, r in enumerate(r for records in files for r in records)]
+
+
+def test_fastq_moves_no_reads(spark, tmp_path):
+    (tmp_path / "r.fastq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(50)))
+    fq = tables.read_fastq(spark, str(tmp_path / "r.fastq"))
+    plan = fq._jdf.queryExecution().executedPlan().toString()
+    inside = plan[:plan.index("MapInArrow")]
+    assert "Union" in inside and "Exchange" not in inside.replace("BroadcastExchange", "")
+    (tmp_path / "bad.fastq").write_text("@r\nACGT\nACGT\n+\nIIII\nIIII\n" * 4)
+    with pytest.raises(Exception, match="four lines"):
+        tables.read_fastq(spark, str(tmp_path / "bad.fastq")).count()
+    (tmp_path / "none.fastq").write_text("")
+    assert tables.read_fastq(spark, str(tmp_path / "none.fastq")).count() == 0
+
+
+def test_fastq_of_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None, "I"), (2, None, "C", None)], "at int, name string, seq string, qual string")
+    tables.write_fastq(rows, str(tmp_path / "out"), ["at"])
+    assert [tuple(r) for r in tables.read_fastq(spark, str(tmp_path / "out")).orderBy("read_id").collect()] == [(0, "a", "", "I"), (1, "", "C", "")]
+
+
 def test_regroup(spark):
     fq = spark.createDataFrame([("a_b_ACGT c", "GG", "II"), ("x_TTTT", "CC", "JJ"), ("x_AAAA", "CC", "JJ")], "name string, seq string, qual string")
     assigned = spark.createDataFrame([("1", "ACGT", "ACGG"), ("2", "ACGT", "ACCC"), ("1", "TTTT", "TTTT")], "group_id string, umi string, founder string")
