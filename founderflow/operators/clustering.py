@@ -81,6 +81,17 @@ def _split(rows: DataFrame, head_rows: int, head_share: float) -> tuple[DataFram
     return (marked.filter(F.col("input_pos") <= F.col("cut")).drop("cut"), marked.filter(F.col("input_pos") > F.col("cut")).drop("cut"))
 
 
+def later_founders(rest: DataFrame, known: DataFrame, d: int, tail: int = TAIL, similar_pairs: Callable = similar_pairs) -> tuple[DataFrame, DataFrame]:
+    """Founders (group_id, input_pos) among `rest`, all of which comes after the founders `known`, and the pairs of its rows and earlier founders."""
+    row = ["group_id", "input_pos"]
+    met = materialise(similar_pairs(rest, known, d))
+    left = materialise(rest.join(met.select("group_id", F.col("a_pos").alias("input_pos")), row, "left_anti"))
+    edges = materialise(similar_pairs(left, left, d))
+    second = materialise(elect(left, edges, tail))
+    late = similar_pairs(rest, left.join(second, row, "left_semi"), d)
+    return second, met.unionByName(late)
+
+
 def _founders(high: DataFrame, d: int, tail: int, head_rows: int, head_share: float, similar_pairs: Callable = similar_pairs) -> tuple[DataFrame, DataFrame]:
     """Founders (group_id, input_pos) of high, and all pairs of a row and an earlier founder.
 
@@ -97,12 +108,8 @@ def _founders(high: DataFrame, d: int, tail: int, head_rows: int, head_share: fl
     near = edges.join(as_b(first), ["group_id", "b_pos"], "left_semi")
     if rest.isEmpty():
         return first, near
-    met = materialise(similar_pairs(rest, head.join(first, row, "left_semi"), d))
-    left = materialise(rest.join(met.select("group_id", F.col("a_pos").alias("input_pos")), row, "left_anti"))
-    edges = materialise(similar_pairs(left, left, d))
-    second = materialise(elect(left, edges, tail))
-    late = similar_pairs(rest, left.join(second, row, "left_semi"), d)
-    return first.unionByName(second), near.unionByName(met).unionByName(late)
+    second, later = later_founders(rest, head.join(first, row, "left_semi"), d, tail, similar_pairs)
+    return first.unionByName(second), near.unionByName(later)
 
 
 def _limits(high: DataFrame, pool: int, head: int) -> DataFrame:

@@ -17,6 +17,7 @@ from founderflow.operators.similarity import similar_pairs
 from founderflow.plans import pipeline
 from founderflow.plans.storage import materialise, shared_dir
 from founderflow.sources import tables
+from founderflow.streaming import incremental
 
 D = 2
 
@@ -544,3 +545,14 @@ def umi_fastq_in_out(spark, sf_dir):
     back = tables.read_fastq(spark, f"{base}/grouped").withColumnRenamed("read_id", "place")
     mates = grouped.select("name", F.col("read_id").alias("first_id"), F.col("seq2").alias("mate"))
     return back.join(mates, "name").select(F.col("first_id").alias("read_id"), "name", "seq", "qual", "mate", "place")
+
+
+@query(HIGH_SQL + " select group_id, umi, founder, dist::int as dist, is_founder from named")
+def umi_stream_founders(spark, sf_dir):
+    """umi_clusters by a stream that is stopped and started again: barcodes with many reads arrive first, those with one last."""
+    counts, base = materialise(counts_view(spark, sf_dir)), shared_dir(spark)
+    for part in ("n_reads > 8", "n_reads between 2 and 8", "n_reads < 2"):
+        counts.filter(part).write.mode("append").parquet(f"{base}/in")
+        rows = spark.readStream.schema(counts.schema).parquet(f"{base}/in")
+        incremental.founders_stream(rows, f"{base}/store", "input_pos", D).trigger(availableNow=True).start().awaitTermination()
+    return incremental.assigned(spark, f"{base}/store").drop("input_pos")

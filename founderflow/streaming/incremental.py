@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from founderflow.functions.numbering import BLOCK, numbered
+from founderflow.operators.clustering import TAIL, later_founders
+from founderflow.plans.storage import exists, forget, materialise
 
-from founderflow.functions.sequences import K
+PLACES = 1 << 40  # of a micro-batch
+FOUNDERS = "group_id string, umi string, input_pos long"
+ASSIGNED = "group_id string, umi string, founder string, dist int, is_founder boolean, input_pos long"
 
 
 def count_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -17,51 +21,52 @@ def count_stream(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("group_id", "umi").agg(F.sum("n_reads").alias("n_reads"))
 
 
-def _grams(umi: str) -> list[str]:
-    up = umi.upper()
-    return sorted({g for i in range(len(up) - K + 1) if set(g := up[i:i + K]) <= set("ACGT")})
-
-
-def _distance(a: str, b: str) -> int:
-    """Edit distance, a machine word for a column."""
-    if not a:
-        return len(b)
-    holds: dict[str, int] = {}
-    for i, x in enumerate(a):
-        holds[x] = holds.get(x, 0) | 1 << i
-    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = every, 0, len(a)
-    for y in b:
-        same = holds.get(y, 0)
-        across = (((same & up) + up) ^ up) | same
-        rise, fall = (down | ~(across | up)) & every, up & across
-        score += bool(rise & last) - bool(fall & last)
-        keep, rise, fall = same | down, (rise << 1 | 1) & every, (fall << 1) & every
-        up, down = (fall | ~(keep | rise)) & every, rise & keep
-    return score
-
-
-def assign_stream(rows: DataFrame, d: int = 1) -> DataFrame:
-    """(group_id, umi, founder) in order of arrival. State is a group's founders; they only grow in number."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        founders: list[str] = list(state.get[0]) if state.exists else []
-        index: dict[str, list[int]] = {}
-        for k, f in enumerate(founders):
-            for g in _grams(f):
-                index.setdefault(g, []).append(k)
-        out = []
-        for pdf in frames:
-            for umi in pdf["umi"]:
-                grams = _grams(umi)
-                met = {k for g in grams for k in index.get(g, ()) if abs(len(founders[k]) - len(umi)) <= d}
-                near = [(x, k) for k in met if (x := _distance(umi, founders[k])) <= d]
-                if not near:
-                    for g in grams:
-                        index.setdefault(g, []).append(len(founders))
-                    founders.append(umi)
-                out.append((key[0], umi, founders[min(near)[1]] if near else umi))
-        state.update((founders,))
-        yield pd.DataFrame(out, columns=["group_id", "umi", "founder"])
-
-    return rows.groupBy("group_id").applyInPandasWithState(run, "group_id string, umi string, founder string", "founders array<string>", "append", "NoTimeout")
+def founders_stream(rows: DataFrame, store: str, order: str, d: int = 1, tail: int = TAIL) -> DataStreamWriter:
+    """A writer that assigns each row of a stream to its nearest founder among those that came before it.
+
+    rows: group_id, umi and a number `order`, by which the rows of a micro-batch come; ties go by barcode. `store` is a
+    folder that all tasks share: founders(store) is the state, assigned(store) the results. The rows of a batch are
+    joined with the founders known by then, and those that meet none are settled among themselves as clustering does.
+    So results are those of a batch run on all rows in the same order, whatever the batches; no group is in one task,
+    and what a batch costs grows with its rows and the founders, not with the rows that came before.
+
+    A batch that is run again after a failure replaces what it wrote: it reads the founders of earlier batches only.
+    An empty batch writes nothing. Rows without a group or barcode are dropped. Barcodes without a 6-mer of A, C, G, T
+    are founders, each time they come.
+    """
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.select("group_id", "umi", F.col(order).alias("at")).filter("group_id is not null and umi is not null")
+        placed = numbered(materialise(own), "place", ["group_id"], [(F.floor(F.col("at") / BLOCK), False)], ["at", "umi"])
+        new = materialise(placed.select("group_id", "umi", (F.lit(batch_id * PLACES) + F.col("place")).alias("input_pos")))
+        if new.isEmpty():
+            return
+        known = founders(spark, store).filter(F.col("input_pos") < batch_id * PLACES)
+        fresh, near = later_founders(new, known, d, tail)
+        fresh = materialise(new.join(fresh, ["group_id", "input_pos"], "left_semi"))
+        names = known.unionByName(fresh).select("group_id", F.col("input_pos").alias("b_pos"), F.col("umi").alias("founder"))
+        best = near.groupBy("group_id", "a_pos").agg(F.min(F.struct("dist", "b_pos")).alias("x")).select("group_id", F.col("a_pos").alias("input_pos"), "x.*").join(names, ["group_id", "b_pos"])
+        met = new.join(best, ["group_id", "input_pos"]).select("group_id", "umi", "founder", F.col("dist").cast("int").alias("dist"), F.lit(False).alias("is_founder"), "input_pos")
+        first = fresh.select("group_id", "umi", F.col("umi").alias("founder"), F.lit(0).alias("dist"), F.lit(True).alias("is_founder"), "input_pos")
+        met.unionByName(first).write.mode("overwrite").parquet(f"{store}/assigned/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{store}/founders/batch={batch_id}")
+        forget(new, fresh)
+
+    return rows.writeStream.foreachBatch(settle).option("checkpointLocation", f"{store}/progress")
+
+
+def founders(spark: SparkSession, store: str) -> DataFrame:
+    """All founders of a stream so far; input_pos is in order of arrival."""
+    return _stored(spark, f"{store}/founders", FOUNDERS)
+
+
+def assigned(spark: SparkSession, store: str) -> DataFrame:
+    """A row for each row that came: its founder and the distance."""
+    return _stored(spark, f"{store}/assigned", ASSIGNED)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*[c.split()[0] for c in schema.split(", ")])

@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import models
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,20 +271,38 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.umi, r.n_reads) for r in spark.table("counts").collect()} == {("ACGTACGT", 5), ("ACGTACGA", 1)}
-    rows = spark.readStream.schema("group_id string, umi string, n_reads long").option("sep", "\t").csv(str(tmp_path / "in"))
-    q = incremental.assign_stream(rows, 1).writeStream.outputMode("append").format("memory").queryName("assigned").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r.founder for r in spark.table("assigned").collect()} == {"ACGTACGT"}
 
 
-def test_distance_of_the_stream():
-    import models
-
-    rng = random.Random(1)
-    for _ in range(2000):
-        a, b = ("".join(rng.choice("AC") for _ in range(rng.randint(0, 9))) for _ in range(2))
-        assert incremental._distance(a, b) == models.within(a, b, 99)
+@pytest.mark.parametrize("tail", [0, 1000])
+def test_founders_of_a_stream(spark, tmp_path, tail):
+    """Three micro-batches, a restart between them, repeats, nulls, and the last one run again: as one serial pass has it."""
+    rng = random.Random(tail)
+    parents = ["".join(rng.choice("ACGT") for _ in range(12)) for _ in range(6)]
+    near = lambda u: u[:(p := rng.randint(0, 11))] + rng.choice(["", "A", "GT"]) + u[p + 1:]
+    rows = [(rng.choice("12"), near(near(rng.choice(parents))), i) for i in range(150)] + [("1", "NNNNNNNN", 150), ("1", "NNNNNNNN", 151)]
+    want = []
+    for group in "12":
+        own = [(u, 1, i) for g, u, i in rows if g == group]
+        umi = {i: u for u, _, i in own}
+        want += [(group, umi[i], umi[f], dist, first) for i, f, dist, first in sorted(models.serial(own, 2))]
+    schema, store = "group_id string, umi string, at long", str(tmp_path / "store")
+
+    def run():
+        q = incremental.founders_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, "at", 2, tail).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    assert incremental.founders(spark, store).count() == incremental.assigned(spark, store).count() == 0
+    for k, part in enumerate((rows[:40], [(None, "ACGTACGT", 0), ("1", None, 0)], rows[40:])):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    for again in (False, True):
+        if again:
+            (tmp_path / "store/progress/commits/2").unlink()
+            (tmp_path / "store/progress/commits/.2.crc").unlink(missing_ok=True)
+            run()
+        got = incremental.assigned(spark, store).orderBy("group_id", "input_pos").collect()
+        assert [(r.group_id, r.umi, r.founder, r.dist, r.is_founder) for r in got] == want
+        assert incremental.founders(spark, store).count() == sum(w[4] for w in want)
 
 
 def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
