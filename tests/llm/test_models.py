@@ -368,6 +368,39 @@ def test_near_duplicates(spark, frames, edits):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(c for c in {(c, n) for _, c, n in want} for c in [c[0]])
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_near_duplicates_on_given_tables(spark):
+    """Every pair of the documents that is similar, by plain multisets of words and an index of their shingles, is in one class, and no others."""
+    path = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    bags, holders = [], {}
+    for i, (_, text) in enumerate(rows):
+        w = (text or "").lower().split()
+        n = min(5, max(1, len(w)))
+        bags.append(Counter(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if w else Counter())
+        for g in bags[-1]:
+            holders.setdefault(g, []).append(i)
+    links, name = [], {i: r[0] for i, r in enumerate(rows)}
+    for i, bag in enumerate(bags):
+        size = sum(bag.values())
+        for j in {j for g in bag for j in holders[g] if j < i}:
+            if min(size, sum(bags[j].values())) >= 0.8 * max(size, sum(bags[j].values())) and sum((bag & bags[j]).values()) >= 0.8 * sum((bag | bags[j]).values()):
+                links.append((i, j))
+    empty = [i for i, bag in enumerate(bags) if not bag]
+    links += list(zip(empty, empty[1:]))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(name[i], name[j])
+            changed |= name[i] != low or name[j] != low
+            name[i] = name[j] = low
+    got = {r.doc_id: r.class_id for r in neardup.op6_near_duplicates(spark, path).collect()}
+    want = {rows[i][0]: c for i, c in name.items()}
+    assert len(links) > 50 and sum(got[rows[i][0]] == got[rows[j][0]] for i, j in links) == len(links)
+    assert got == want
+
+
 def test_prefix_filter_is_exact(spark):
     rng = random.Random(11)
     base = [f"b{i}" for i in range(120)]
