@@ -260,6 +260,19 @@ def test_toxicity(spark, frames):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Labels not learned from, on the given tables: order by score, and the share right at the threshold against always 0."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{path}/labels.parquet"):
+        pytest.skip("needs the given tables")
+    truth = {r.doc_id: r.toxic for r in common.table(spark, path, "labels").collect()}
+    got = [(r.score, r.predicted, truth[r.doc_id]) for r in toxicity.op5_toxicity(spark, path).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    bad, good = [p for p, _, y in got if y == 1], [p for p, _, y in got if y == 0]
+    print("held out", len(got), len(bad), sum((b > g) + 0.5 * (b == g) for g in good for b in bad) / len(good) / len(bad), sum(p == y for _, p, y in got) / len(got))
+    assert len(bad) > 10 and sum((b > g) + 0.5 * (b == g) for g in good for b in bad) / len(good) / len(bad) > 0.9
+    assert sum(p == y for _, p, y in got) / len(got) > len(good) / len(got)
+
+
 def test_ftrl_equals_plain():
     """Follow the regularised leader, coordinate by coordinate, over the whole history of gradients."""
     rng = np.random.default_rng(2)
