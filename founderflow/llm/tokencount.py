@@ -18,7 +18,8 @@ is closed. Maps compose associatively, as index maps with counts; a parallel pre
 the state and count after every chunk, from which each text's total is read. A word may be of any length.
 
 Normalisation and word boundaries are those of the vocabulary file: NFC, lower case by character, then its split
-pattern, which drops white space; the two special strings are found in the raw text first and count one each.
+pattern, which drops white space; the two special strings are found in the raw text first and count one each. The library
+has tables of different ages for these steps, which differ from Python's where characters are younger: LATE_* name those.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are each counted; extra columns pass
 through, and where one has the name of a result that name gets an underscore at its end; an empty table gives no rows.
@@ -28,6 +29,7 @@ The states that a worker added are dropped when they reach `most_states`, which
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -46,6 +48,30 @@ BATCH_BYTES = 4 << 20
 START = 0
 U64 = np.uint64
 
+# To the library's NFC (Unicode 9) these marks are like any other character: they neither move nor compose, and nothing passes them.
+LATE_MARKS = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac"
+    "\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e"
+    "\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f"
+    "\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+# Capitals that the library's lower-casing (Unicode 17) knows and Python's (15.1) doesn't.
+LATE_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+# Neither letters nor numbers to the library's pattern (Unicode 16), but to the regex module's.
+LATE_LETTERS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+LATE = re.compile(f"[{LATE_MARKS}{LATE_LETTERS}{''.join(map(chr, LATE_CAPITALS))}]")
+BETWEEN_MARKS = re.compile(f"[^{LATE_MARKS}]+")
+
 
 def _symbol_of() -> dict[str, int]:
     """Bytes by their printable stand-ins in byte-level vocabularies: printable ones stand for themselves."""
@@ -217,8 +243,10 @@ class Transducer:
         while len(off):
             empty = found[off] < 0
             if empty.any():
-                new = np.unique(key[off[empty]])
+                new, size = np.unique(key[off[empty]]), len(self.key)
                 self.put(np.array([self.build(*divmod(k, 512)) for k in new.tolist()], np.int64))
+                if len(self.key) != size:  # the table has grown: slots found before are void
+                    off = np.arange(len(key))
                 slot[off] = self._slots(key[off])
             else:
                 slot[off] = (slot[off] + 1) & (len(self.key) - 1)
@@ -270,6 +298,7 @@ class Counter:
             raise ValueError("only word-end byte-pair vocabularies with NFC, white space and lower-case normalisation are compiled")
         self.machine = Transducer(pairs, model["end_of_word_suffix"])
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n"
+        self.late = "(?V1)" + regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{LATE_LETTERS}]]", self.pattern)
         self.specials = "|".join(map(regex.escape, sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)))
 
     def compile(self) -> Counter:
@@ -282,10 +311,14 @@ class Counter:
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of the words of all texts, and where each text's symbols end."""
-        joined = "\n".join(t.replace("\n", " ") for t in texts)
+        joined, pattern = "\n".join(t.replace("\n", " ") for t in texts), self.pattern
         if not joined.isascii():
-            joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")  # by character: no final sigma
-        data = np.frombuffer(" ".join(regex.findall(self.pattern, joined.lower())).encode() + b" ", np.uint8)
+            if LATE.search(joined):
+                joined, pattern = BETWEEN_MARKS.sub(lambda m: unicodedata.normalize("NFC", m[0]), joined).translate(LATE_CAPITALS), self.late
+            else:
+                joined = unicodedata.normalize("NFC", joined)
+            joined = joined.replace("Σ", "σ")  # by character: no final sigma
+        data = np.frombuffer(" ".join(regex.findall(pattern, joined.lower())).encode() + b" ", np.uint8)
         gap = (data == 32) | (data == 10)
         out = data.astype(np.int64)
         out[:-1] += 256 * gap[1:]

@@ -206,6 +206,25 @@ def test_tokens_equal_library(library):
     assert ours.counts([None, "a", None]).tolist() == [0, 1, 0] and ours.counts([]).tolist() == []
 
 
+def test_tokens_of_every_character_equal_library(library):
+    """Each code point by itself, doubled, between letters, and among marks that move."""
+    theirs = library[0]
+    ours = tokencount.Counter(__import__("public_tokenizers").path("word_bpe_49k.json"))  # its states grow with the texts
+    for step in range(0, 0x40000, 1 << 16):
+        texts = [f"a{c}b{c}{c} 1{c} a{c}\u0316\u0345 a\u0315{c}\u0301 \U00011935{c}" for c in map(chr, range(step, step + (1 << 16))) if not "\ud800" <= c <= "\udfff"]
+        want = [len(e.ids) for e in theirs.encode_batch(texts, add_special_tokens=False)]
+        got = ours.counts(texts).tolist()
+        assert got == want, [(ascii(t), g, w) for t, g, w in zip(texts, got, want) if g != w][:5]
+
+
+def test_slots_hold_while_the_table_grows(library):
+    """All lanes of a step count, though the step itself makes the table grow."""
+    theirs, ours = library[0], tokencount.Counter(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßщ") for _ in range(rng.randint(1, 60))) for _ in range(6000)]
+    assert ours.counts(texts).tolist() == [len(e.ids) for e in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("text", ["x" * 5_000_000, "ab" * 1_000_000, "".join(random.Random(1).choice("abcdef") for _ in range(300_000)), "word " * 400_000])
 def test_tokens_of_long_texts(library, text):
     theirs, ours = library
