@@ -79,3 +79,16 @@ def test_report(spark):
 @pytest.mark.parametrize("length,rate,want", [(8, 0.03, 2), (12, 0.05, 3), (18, 0.005, 2), (18, 0.01, 2), (25, 0.05, 5), (26, 0.001, 2), (36, 0.05, 8), (50, 0.03, 7)])
 def test_bounds(length, rate, want):
     assert distance_bound(length, rate) == want
+
+
+def test_negative_binomial_cutoff_has_no_upper_end(spark):
+    """Founders of many thousands of reads each: the cutoff is the quantile, wherever it lies."""
+    reads = [12000 + 15 * (k - 150) for k in range(300)]
+    mean = sum(reads) / len(reads)
+    var = sum((n - mean) ** 2 for n in reads) / (len(reads) - 1)
+    r, p = mean * mean / (var - mean), mean / var
+    total, k = 0.0, 0
+    while (total := total + math.exp(math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1) + r * math.log(p) + k * math.log1p(-p))) <= 0.0005:
+        k += 1
+    got = estimate.negative_binomial(spark.createDataFrame([(n,) for n in reads], "n_reads long")).first()
+    assert got["rpu_cutoff"] == k - 1 > 4999
