@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 PAIRS, WORD = 8192, 64
 PAD_A, PAD_B = 254, 255
 BITS = 20
+LANES, FEW, LONG = 2048, 64, 1024
 
 
 def matrix(strings: pa.Array, fill: int, pad: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -28,9 +29,8 @@ def matrix(strings: pa.Array, fill: int, pad: bytes = b"") -> tuple[np.ndarray,
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     side, width = len(pad), int(size.max(initial=1))
     out = np.full((len(size), width + 2 * side), fill, np.uint8)
-    row = np.repeat(np.arange(len(size)), size)
-    column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    out[row, column + side] = body[at[0]:at[-1]] if len(size) else body[:0]
+    if len(size):
+        out[:, side:side + width][np.arange(width) < size[:, None]] = body[at[0]:at[-1]]
     for k, byte in enumerate(pad):
         out[:, k] = byte
         out[np.arange(len(size)), side + size + k] = byte
@@ -85,7 +85,44 @@ def _infix_rows(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) ->
 def local(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, start, end) of the best local alignment of each a in its b; of equal ones the first to end, then the shortest in b.
 
-    A cell holds its score above its start, so one maximum settles both; gaps along a row are a running maximum."""
+    A cell holds its score above room for its end above its start, so one maximum settles all; the pairs are side by side in
+    the narrowest integers that hold a cell, LANES at a time, a row of the table each place of b."""
+    n, wide = len(a), b.shape[1] + 1
+    if n < FEW or wide > LONG:
+        return _local_rows(a, la, b, lb, match, mismatch, gap)
+    bits = int(wide).bit_length()
+    room = 2 * bits + int(match * min(a.shape[1], b.shape[1]) + max(match, -mismatch, -gap, 1)).bit_length()
+    kind = np.int16 if room < 16 else np.int32 if room < 32 else np.int64
+    unit, mask = 1 << 2 * bits, (1 << bits) - 1
+    places = np.arange(wide, dtype=kind)[:, None]
+    ends = ((mask - places.astype(np.int64)) << bits).astype(kind)
+    found = np.empty(n, np.int64)
+    for at in range(0, n, LANES):
+        x, y = np.ascontiguousarray(a[at:at + LANES].T), np.ascontiguousarray(b[at:at + LANES].T)
+        size, some = la[at:at + LANES], x.shape[1]
+        last, now, spare = (np.empty((wide, some), kind) for _ in range(3))
+        last[:] = places
+        best, key = np.full(some, ends[0, 0], kind), np.empty(some, kind)
+        for i in range(len(x)):
+            np.add(last, kind(gap * unit), out=now)
+            np.maximum(now, places, out=now)
+            np.multiply(x[i] == y, kind((match - mismatch) * unit), out=spare[1:], dtype=kind)
+            spare[1:] += last[:-1]
+            spare[1:] += kind(mismatch * unit)
+            np.maximum(now[1:], spare[1:], out=now[1:])
+            for j in range(1, wide):
+                np.add(now[j - 1], kind(gap * unit), out=key)
+                np.maximum(now[j], key, out=now[j])
+            np.add(now, ends, out=spare)
+            spare.max(axis=0, out=key)
+            np.copyto(best, np.maximum(best, key), where=i < size)
+            last, now = now, last
+        found[at:at + LANES] = best
+    return found >> 2 * bits, found & mask, mask - ((found >> bits) & mask)
+
+
+def _local_rows(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, match: int, mismatch: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """local() for few pairs or long strings: a row of the table a base of a, gaps along it a running maximum."""
     places = np.arange(b.shape[1] + 1, dtype=np.int64)
     unit = np.int64(1 << BITS)
     ramp, ends = -gap * unit * places, (unit - 1 - places) << BITS
@@ -160,6 +197,19 @@ def with_local(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return over_pairs(pairs, a, b, {"score": T.IntegerType(), "start": T.IntegerType(), "end": T.IntegerType()}, local)
 
 
+def with_probe(pairs: DataFrame, probe: str, a: str, b: str) -> DataFrame:
+    """Adds strand, score, start and end of the best local alignment of a probe in either string: 0 for a, which wins ties, 1 for b."""
+    body = np.frombuffer(probe.encode(), np.uint8)
+
+    def better(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, ...]:
+        sides = np.broadcast_to(body, (len(a), len(body))), np.full(len(a), len(body))
+        one, two = local(*sides, a, la), local(*sides, b, lb)
+        second = two[0] > one[0]
+        return second, *(np.where(second, y, x) for x, y in zip(one, two))
+
+    return over_pairs(pairs, a, b, {c: T.IntegerType() for c in ("strand", "score", "start", "end")}, better)
+
+
 def path_edits(path: Column) -> Column:
     """Struct of the bases that are the same, substituted, inserted and deleted on a path."""
     count = lambda kind: F.aggregate(F.regexp_extract_all(path, F.lit(rf"(\d+){kind}"), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))

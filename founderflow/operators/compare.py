@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from founderflow.functions.numbering import BLOCK, numbered
 from founderflow.functions.sequences import reverse_complement
-from founderflow.operators.alignment import with_local
+from founderflow.operators.alignment import with_local, with_probe
 from founderflow.operators.clustering import elect, with_positions
 from founderflow.plans.storage import forget, materialise
 
@@ -305,7 +305,8 @@ def elbow(scan: DataFrame, length: int, least: int = 15) -> DataFrame:
 
 
 def extract_by_probe(reads: DataFrame, probe: str, length: int, min_score: int, side: str = "down") -> DataFrame:
-    """(read_id, umi, score): the bases next to the probe's best alignment, on either strand; none if out of bounds.
+    """(read_id, umi, score): the bases next to the probe's best alignment, on either strand; none if out of bounds. A row a read,
+    which stays where it is: both strands are aligned in one pass, without a shuffle.
 
     A read whose score reaches min_score shares an unbroken stretch with the probe: reads (or their reverse complements) without
     any of the probe's stretches of that length are passed over before anything is aligned. The forward strand wins ties."""
@@ -313,12 +314,12 @@ def extract_by_probe(reads: DataFrame, probe: str, length: int, min_score: int,
     if k < 1:
         raise ValueError("the score cannot exceed the probe's length")
     grams = sorted({probe[i:i + k] for i in range(len(probe) - k + 1)})
-    strands = F.array(F.struct(F.lit(0).alias("strand"), F.col("seq").alias("s")), F.struct(F.lit(1).alias("strand"), reverse_complement(F.col("seq")).alias("s")))
-    each = reads.select("read_id", F.inline(strands)).filter(reduce(lambda x, y: x | y, (F.col("s").contains(g) for g in grams)))
-    scored = with_local(each.withColumn("probe", F.lit(probe)), "probe", "s").filter(F.col("score") >= min_score)
+    shares = lambda s: reduce(lambda x, y: x | y, (F.col(s).contains(g) for g in grams))
+    each = reads.select("read_id", F.col("seq").alias("s0"), reverse_complement(F.col("seq")).alias("s1")).filter(shares("s0") | shares("s1"))
+    scored = with_probe(each, probe, "s0", "s1").filter(F.col("score") >= min_score)
     at = F.col("end") if side == "down" else F.col("start") - length
-    best = scored.groupBy("read_id").agg(F.min_by(F.struct(at.alias("at"), "s", "score"), F.struct(-F.col("score"), "strand")).alias("x"))
-    fits = best.select("read_id", "x.*").filter((F.col("at") >= 0) & (F.col("at") + length <= F.length("s")))
+    best = scored.select("read_id", at.alias("at"), F.when(F.col("strand") == 0, F.col("s0")).otherwise(F.col("s1")).alias("s"), "score")
+    fits = best.filter((F.col("at") >= 0) & (F.col("at") + length <= F.length("s")))
     return fits.select("read_id", F.substring(F.col("s"), F.col("at") + 1, F.lit(length)).alias("umi"), "score")
 
 

@@ -35,6 +35,26 @@ def test_infix(most):
     assert list(zip(*(x.tolist() for x in got))) == [semi_global(f"NNN{x}NNN", f"NNN{y}NNN") for x, y in zip(a, b)]
 
 
+@pytest.mark.parametrize("letters", ["A", "AC", "ACGT"])
+@pytest.mark.parametrize("width", [1, 3, 7, 15, 16, 31, 64])
+def test_local_of_many_pairs_equals_its_rows(letters, width):
+    """Cells of 16, 32 and 64 bits, and lanes side by side, against one row at a time."""
+    rng = random.Random(width)
+    a, b = (["".join(rng.choice(letters) for _ in range(rng.randint(0, width))) for _ in range(150)] + [letters[0] * width] for _ in range(2))
+    sides = (*alignment.matrix(pa.array(a), alignment.PAD_A), *alignment.matrix(pa.array(b), alignment.PAD_B))
+    for costs in ((1, -1, -1), (2, -3, -2)):
+        assert [x.tolist() for x in alignment.local(*sides, *costs)] == [x.tolist() for x in alignment._local_rows(*sides, *costs)]
+    assert list(zip(*(x.tolist() for x in alignment.local(*sides)))) == [models.local(x, y) for x, y in zip(a, b)]
+
+
+def test_local_is_narrow(monkeypatch):
+    """Many pairs are aligned side by side, not by the slower rows."""
+    monkeypatch.setattr(alignment, "_local_rows", None)
+    a, b = ["GATTACAGGT"] * 100, ["ACGATTACAGGTAC"] * 100
+    got = alignment.local(*alignment.matrix(pa.array(a), alignment.PAD_A), *alignment.matrix(pa.array(b), alignment.PAD_B))
+    assert [x.tolist() for x in got] == [[10] * 100, [2] * 100, [12] * 100]
+
+
 def test_local():
     a, b = pairs(1500, "ACG")
     got = alignment.local(*alignment.matrix(pa.array(a), alignment.PAD_A), *alignment.matrix(pa.array(b), alignment.PAD_B))
