@@ -532,7 +532,7 @@ FILES_EDGES_SQL = EDGES_SQL.replace(",\ncounts as (select group_id, umi, count(*
     row_number() over (order by founder, read_id) - 1 as place from cut join named using (umi)""")
 def umi_fastq_in_out(spark, sf_dir):
     """From files to files: both mates as FASTQ, one of them zipped, barcodes cut, counted and corrected, reads grouped by founder and written."""
-    r, base = _one_a_line(spark, sf_dir), shared_dir(spark)
+    r, base = materialise(_one_a_line(spark, sf_dir)), shared_dir(spark)
     keys, name = ["l_orderkey", "l_linenumber"], F.concat(F.lit("r"), "l_orderkey", F.lit("."), "l_linenumber")
     one = lambda seq, comment: r.select(*keys, F.concat(name, F.lit(comment)).alias("name"), seq.alias("seq"), F.repeat(F.lit("F"), F.length(seq)).alias("qual"))
     tables.write_fastq(one(F.concat("umi", F.lit("GATTACA")), " 1:N"), f"{base}/r1", keys)

@@ -12,6 +12,7 @@ else that isn't four lines a record raises an error that names the file. Empty f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +40,21 @@ def first_header(lines: list[str]) -> int | None:
 class _Split:
     """The lines of one split as they come: `held` are those not given out yet, from line `place` on."""
 
-    def __init__(self, file: str, start: int):
-        self.file, self.start, self.place = file, start, 0
+    def __init__(self, file: str, start: int, records: bool):
+        self.file, self.start, self.place, self.records = file, start, 0, records
         self.held = pa.array([], pa.string())
         self.aligned = start == 0
 
     def _rows(self, kind: int, place, name, seq=None, qual=None) -> pa.RecordBatch:
         n = len(place)
         none = pa.nulls(n, pa.string())
-        columns = [pa.array(np.full(n, kind, np.int32)), pa.array([self.file] * n, pa.string()), pa.array(np.full(n, self.start)), pa.array(place, pa.int64()), name, none if seq is None else seq, none if qual is None else qual]
+        columns = [pa.array(np.full(n, kind, np.int32)), pa.repeat(pa.scalar(self.file, pa.string()), n), pa.array(np.full(n, self.start)), pa.array(place, pa.int64()), name, none if seq is None else seq, none if qual is None else qual]
         return pa.RecordBatch.from_arrays(columns, ["kind", "file", "start", "place", "name", "seq", "qual"])
 
-    def _edge(self, n: int) -> pa.RecordBatch:
-        out = self._rows(EDGE, np.arange(self.place, self.place + n), self.held.slice(0, n))
+    def _edge(self, n: int) -> Iterator[pa.RecordBatch]:
+        if not self.records:
+            yield self._rows(EDGE, np.arange(self.place, self.place + n), self.held.slice(0, n))
         self.held, self.place = self.held.slice(n), self.place + n
-        return out
 
     def add(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
         self.held = pa.concat_arrays([self.held, lines])
@@ -65,34 +66,39 @@ class _Split:
                 raise ValueError(f"no record of four lines near byte {self.start} of {self.file}")
             self.aligned = True
             if at:
-                yield self._edge(at)
+                yield from self._edge(at)
         n = len(self.held) // 4
         if n:
             line = lambda k: self.held.take(pa.array(np.arange(k, 4 * n, 4)))
             head = line(0)
             if not (pc.all(pc.starts_with(head, HEADER)).as_py() and pc.all(pc.starts_with(line(2), PLUS)).as_py()):
                 raise ValueError(f"a record isn't four lines behind line {self.place} of the split at byte {self.start} of {self.file}")
-            yield self._rows(RECORD, self.place + 4 * np.arange(n), pc.utf8_slice_codeunits(head, 1), line(1), line(3))
+            if self.records:
+                yield self._rows(RECORD, self.place + 4 * np.arange(n), pc.utf8_slice_codeunits(head, 1), line(1), line(3))
             self.held, self.place = self.held.slice(4 * n), self.place + 4 * n
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if len(self.held):
-            yield self._edge(len(self.held))
-        yield self._rows(TOTAL, [self.place], pa.nulls(1, pa.string()))
+            yield from self._edge(len(self.held))
+        if not self.records:
+            yield self._rows(TOTAL, [self.place], pa.nulls(1, pa.string()))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], records: bool) -> Iterator[pa.RecordBatch]:
+    """Either the records within splits, or the splits' edges and totals; what isn't asked for isn't sent back."""
     split = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        file, start = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-        new = [i for i in range(1, len(file)) if start[i] != start[i - 1] or file[i] != file[i - 1]]
-        for a, b in zip([0, *new], [*new, len(file)]):
-            if split is None or (split.file, split.start) != (file[a], int(start[a])):
+        n, file, start = batch.num_rows, batch.column(1), batch.column(2)
+        change = pc.or_(*(pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in (file, start)))
+        new = (np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist()
+        for a, b in zip([0, *new], [*new, n]):
+            here = file[a].as_py(), start[a].as_py()
+            if split is None or (split.file, split.start) != here:
                 if split is not None:
                     yield from split.end()
-                split = _Split(file[a], int(start[a]))
+                split = _Split(*here, records)
             yield from split.add(batch.column(0).slice(a, b - a).cast(pa.string()))
     if split is not None:
         yield from split.end()
@@ -111,11 +117,10 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_id from 0, name, seq, qual), numbered in order of file names and lines. The files are read twice: for
     split totals and edges, which are written at once, and for records when the result is used."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
-    parsed = lines.mapInArrow(_parse, FIELDS)
-    small = materialise(parsed.filter(F.col("kind") != RECORD))
+    small = materialise(lines.mapInArrow(partial(_parse, records=False), FIELDS))
     before = materialise(_before(small.filter(F.col("kind") == TOTAL).select("file", "start", "place")))
     read_id = (F.col("records") + F.floor((F.col("lines") + F.col("place")) / 4)).alias("read_id")
-    inside = parsed.filter(F.col("kind") == RECORD).join(before, ["file", "start"]).select(read_id, "name", "seq", "qual")
+    inside = lines.mapInArrow(partial(_parse, records=True), FIELDS).join(before, ["file", "start"]).select(read_id, "name", "seq", "qual")
     at = (F.col("lines") + F.col("place")).alias("line_no")
     edges = small.filter(F.col("kind") == EDGE).join(before, ["file", "start"]).select(read_id, (at % 4).alias("k"), F.col("name").alias("line"))
     part = lambda k: F.max(F.when(F.col("k") == k, F.col("line")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from founderflow.functions import sequences as S
 from founderflow.operators import compare, quality, reads, simulate
 from founderflow.plans import pipeline
-from founderflow.sources import tables
+from founderflow.sources import fastq, tables
 from founderflow.streaming import incremental
 
 
@@ -62,6 +62,17 @@ def test_fastq_across_splits(spark, tmp_path, split):
     assert got == [(i, *r) for i, r in enumerate(r for records in files for r in records)]
 
 
+def test_fastq_passes_send_back_what_they_need():
+    """The pass for totals and edges gives no records, the one for records nothing else."""
+    import pyarrow as pa
+
+    lines = [x for i in range(9) for x in (f"@r{i}", "ACGT", "+", "IIII")]
+    batch = lambda start, part: pa.RecordBatch.from_arrays([pa.array(part), pa.array(["f"] * len(part)), pa.array([start] * len(part), pa.int64())], ["value", "file", "start"])
+    both = pa.concat_tables([pa.Table.from_batches([batch(0, lines[:18])]), pa.Table.from_batches([batch(99, lines[18:])])]).combine_chunks().to_batches()
+    kinds = {r: [k for b in fastq._parse(iter(both), records=r) for k in b.column(0).to_pylist()] for r in (False, True)}
+    assert kinds == {False: [fastq.EDGE] * 2 + [fastq.TOTAL] + [fastq.EDGE] * 2 + [fastq.TOTAL], True: [fastq.RECORD] * 8}
+
+
 def test_fastq_moves_no_reads(spark, tmp_path):
     (tmp_path / "r.fastq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(50)))
     fq = tables.read_fastq(spark, str(tmp_path / "r.fastq"))
