@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,28 @@ def ngrams(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return h[whole], doc[whole], whole
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives the memory it no longer needs back to the system as its task ends.
+
+    Python workers outlive tasks and stages; without this each holds what its largest task took."""
+
+    def lean_run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(found)
+        finally:
+            give_back()
+
+    return lean_run
+
+
+def give_back() -> None:
+    """Returns freed memory, Arrow's and the C library's, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has one
+    if trim:
+        trim(0)
+
+
 def batches(column: pa.Array, most: int = 2 << 20):
     """Slices (start, length) of a batch, each with at most that many bytes of text or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)

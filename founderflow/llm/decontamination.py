@@ -82,7 +82,7 @@ def asked(items: DataFrame, threshold: float) -> DataFrame:
                 yield out.filter(pa.array(length > 0))
 
     nodes = items.select(_key("text").alias("digest"), "text").filter("text is not null").groupBy("digest").agg(F.first("text").alias("text"))
-    out = nodes.mapInArrow(run, "digest binary, words binary, length long, least long, span long, gaps long")
+    out = nodes.mapInArrow(common.lean(run), "digest binary, words binary, length long, least long, span long, gaps long")
     return common.materialise(out.withColumn("item", F.monotonically_increasing_id()))
 
 
@@ -102,7 +102,7 @@ def grams(table: DataFrame) -> DataFrame:
                 columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (value, [words[place]], second)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), item.as_py())), columns[0], pa.array(place), *columns[1:]], ["item", "value", "place", "a", "b"])
 
-    return table.select("item", "words").mapInArrow(run, "item long, value long, place long, a long, b long")
+    return table.select("item", "words").mapInArrow(common.lean(run), "item long, value long, place long, a long, b long")
 
 
 def _flags(values: DataFrame) -> np.ndarray:
@@ -140,7 +140,7 @@ def counted(docs: DataFrame, pairs: DataFrame, text: str, alone: bool) -> DataFr
                 got, n = np.unique(got, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["value", "n"])
 
-    return docs.select(text).mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(common.lean(run), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
 
 
 def seeds(pairs: DataFrame, table: DataFrame, counts: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def met(docs: DataFrame, rare: DataFrame, words: DataFrame, text: str, alone: bo
                 doc, place, value = _met(part.column(1), *sent.value, alone)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(place), pa.array(value.view(np.int64))], ["key", "place", "value"])
 
-    places = docs.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), text).mapInArrow(run, "key binary, place long, value long")
+    places = docs.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), text).mapInArrow(common.lean(run), "key binary, place long, value long")
     both = places.join(rare.select("item", "value"), "value").groupBy("key", "item").agg(F.collect_set("place").alias("places"))
     both = both.join(rare.select("item", "span", "least_met").distinct(), "item").filter(F.col("least_met") <= F.size("places"))
     both = both.withColumn("places", F.array_sort("places"))
@@ -212,7 +212,7 @@ def stretches(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "item", "stretch"])
 
-    return both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "key binary, item long, stretch binary")
+    return both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(common.lean(run), "key binary, item long, stretch binary")
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -261,7 +261,7 @@ def aligned(cut: DataFrame, table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(score[high] / (MATCH * length[high]))], ["key", "item", "score"])
 
     both = cut.join(table, "item").select("key", "item", "stretch", "words", "least", "length")
-    return both.mapInArrow(run, "key binary, item long, score double").groupBy("key", "item").agg(F.max("score").alias("score"))
+    return both.mapInArrow(common.lean(run), "key binary, item long, score double").groupBy("key", "item").agg(F.max("score").alias("score"))
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -148,7 +148,7 @@ def signed(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([blobs[16 * i:16 * i + 16] for i in range(n)], pa.binary()), lists], names)
 
-    return common.materialise(numbered.mapInArrow(run, schema))
+    return common.materialise(numbered.mapInArrow(common.lean(run), schema))
 
 
 def likely(rows: DataFrame, nodes: DataFrame, node: str = "node", most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +169,7 @@ def likely(rows: DataFrame, nodes: DataFrame, node: str = "node", most_bits: int
             some = np.flatnonzero(word)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(word[some])], ["i", "w"])
 
-    got = nodes.select("node").mapInArrow(mark, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
+    got = nodes.select("node").mapInArrow(common.lean(mark), "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
     word = np.zeros(bits >> 6, np.int64)
     word[got["i"].to_numpy(np.int64)] = got["w"].to_numpy(np.int64)
     sent = rows.sparkSession.sparkContext.broadcast(word)
@@ -182,7 +182,7 @@ def likely(rows: DataFrame, nodes: DataFrame, node: str = "node", most_bits: int
                     may &= (np.right_shift(sent.value[at >> 6], at & 63) & 1).astype(bool)
                 yield batch.filter(pa.array(may == wanted))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(common.lean(run), rows.schema)
 
     return sieve(True), sieve(False)
 
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 near = [overlap(x, y) >= similarity for x, y in zip(*sides)]
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(common.lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def across(texts: DataFrame, marks: DataFrame, similarity: float, cells: int = 1
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
     often = np.zeros(cells, np.int64)
-    got = marked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = marked.mapInArrow(common.lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     often[got["cell"].to_numpy()] = got["n"].to_numpy()
     sent = spark.sparkContext.broadcast(often)
     names = ["side", "token", "class", "node", "root", "place", "size"]
@@ -295,7 +295,7 @@ def across(texts: DataFrame, marks: DataFrame, similarity: float, cells: int = 1
                 kinds = [np.int32, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(out, kinds)], names)
 
-    rows = marked.mapInArrow(cut, "side int, token long, class int, node long, root long, place int, size int")
+    rows = marked.mapInArrow(common.lean(cut), "side int, token long, class int, node long, root long, place int, size int")
     y, x = (rows.filter(F.col("side") == k).select("token", "class", *[F.col(c).alias(f"{c}_{k}") for c in names[3:]]) for k in (0, 1))
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_0") + F.col("size_1")) - 1e-9)
     near = (F.col("root_0") != F.col("root_1")) & (F.col("place_0") <= F.col("size_0") - least) & (F.col("place_1") <= F.col("size_1") - least)

@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
         return pa.table({"i": pa.array(index, pa.int64()), "w": pa.array(value, pa.float64())})
 
     # One task learns, as the method is sequential: most_rows rows and most_bytes at most reach it. Sizes alone are summed in order.
-    held = common.materialise(rows.mapInArrow(cut, "y int, key long, f binary").withColumns({"i": F.monotonically_increasing_id(), "n": F.length("f")}))
+    held = common.materialise(rows.mapInArrow(common.lean(cut), "y int, key long, f binary").withColumns({"i": F.monotonically_increasing_id(), "n": F.length("f")}))
     upto = F.sum("n").over(W.orderBy("key", "y", "i").rowsBetween(W.unboundedPreceding, 0))
     within = held.select("key", "y", "i", "n").withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("i")
     cut_rows = held.join(within, "i").select("y", "key", "f")
@@ -129,7 +129,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = B
                 total = np.add.reduceat(dense[f].astype(np.float64), at[:-1]) if n else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], [*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def model_for(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -250,3 +250,25 @@ def test_runs_keep_other_columns(spark):
     assert [tuple(r) for r in got["x"].runs_] == [(0, 8, 2)] and got["x"].collapsed == "a b c"
     assert got["y"].runs_ == [] and got["y"].collapsed == ""
     assert periodic.with_runs(docs.limit(0)).count() == 0
+
+
+def test_workers_give_memory_back():
+    """After a lean map of many small pieces this process is about as large as before, though a plain one keeps them."""
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, pyarrow as pa
+from founderflow.llm import common
+size = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+def run(found):
+    held = []
+    for batch in found:
+        held += [np.full(1000, i, np.int64) for i in range(25_000)]
+    keep.append(np.full(1000, 1, np.int64))  # lies behind what is freed
+    yield batch
+keep, before = [], size()
+list(common.lean(run)(iter([pa.RecordBatch.from_arrays([pa.array([1])], ["x"])])))
+print(size() - before)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 60
